@@ -7,7 +7,8 @@ jump, and where it may not, a bucket by the hash of the window's last two words
 compare word by word. Windows of each length have tables of their own.
 
 Defined results: a null text has no words and is not contaminated; items without words match nothing; a window that
-several items share counts for each; repeated rows are searched each on their own; an empty benchmark matches nothing.
+several items share counts for each; repeated rows are searched each on their own; an empty benchmark matches nothing; other columns of
+the input stay, but for those with the names of results.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     benchmark is searched in rounds, each with its own group of items; hit words are or-ed over the rounds, so the
     results are the same.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("_mask", "_found", "_n_words", "_n_hit", "_items")
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).cast("binary").alias("raw"))
     size = items.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("n")).first()["n"]
     rounds = max(1, -(-int(size) // max_broadcast))

@@ -7,7 +7,7 @@ a count for each of its keys. Documents probe these arrays; lines are never join
 
 Defined results: a null or empty text is one empty line; an empty key never goes; a key that repeats within one
 document counts once; repeated rows are documents of their own; an empty table gives an empty result; other columns
-of the input don't matter (``drop_lines`` keeps them).
+of the input don't matter (``drop_lines`` keeps them, but for those with the names of its own results).
 """
 
 from __future__ import annotations
@@ -180,7 +180,7 @@ def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, keys_per
     ``keys_per_shard`` keys). Where all shards together are larger, the documents are probed in several rounds, each
     with its own group of shards, and a line goes if any round finds it: results are the same.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("_gone", "_n_lines", "_n_dropped")
     frequent, path = C.stage(line_counts(docs, text).where(F.col("n") >= min_docs), "lines")
     built, shards = build_shards(frequent, frequent.count(), keys_per_shard)
     built, _ = C.stage(built, "line-shards")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_mphf
+from . import decontaminate, line_mphf, media_chunks, token_ids, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_token_ids": token_ids.op1_token_ids,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_media_chunks": media_chunks.op4_media_chunks,
         "op7_line_dedup": line_mphf.op7_line_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
     }
