@@ -68,7 +68,7 @@ class Featurizer:
 class Ftrl:
     """Per-coordinate FTRL-proximal; the weight of a coordinate is 0 unless its |z| exceeds l1."""
 
-    def __init__(self, size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)  # the last is the bias
 
@@ -77,11 +77,9 @@ class Ftrl:
         w = (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def learn(self, at: np.ndarray, scale: float, y: int, weight: float) -> None:
+    def learn(self, at: np.ndarray, y: int, weight: float) -> None:
         w = self.weights(at)
-        p = 1 / (1 + np.exp(-np.clip(scale * w[:-1].sum() + w[-1], -35, 35)))
-        g = np.full(len(at), (p - y) * weight * scale)
-        g[-1] = (p - y) * weight
+        g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * weight
         s = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
         self.z[at] += g - s * w
         self.n[at] += g * g
@@ -101,8 +99,9 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = 3) -> Model:
-    """Fit on a bounded sample of ``labelled`` (rows with ``text``, ``label`` 0 or 1, and ``doc_id``)."""
+def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = 2, positive: float = 4.0) -> Model:
+    """Fit on a bounded sample of ``labelled`` (rows with ``text``, ``label`` 0 or 1, and ``doc_id``); a row of label 1
+    counts ``positive`` times, as such rows are few."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.xxhash64(F.col(doc_id).cast("string")).alias("k"), F.xxhash64(text).alias("t"), F.col(label).cast("int").alias("y"), F.col(text).alias("text"))
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +120,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: s
         order = np.random.default_rng(epoch).permutation(len(got))
         for k in order:
             at = np.append(np.frombuffer(got[k][3], "<u4").astype(np.int64), 1 << bits)
-            model.learn(at, 1.0, got[k][2], 1.0)
+            model.learn(at, got[k][2], positive if got[k][2] else 1.0)
     w = model.weights(np.arange((1 << bits) + 1))
     at = np.flatnonzero(w[:-1])
     return Model(at, w[at], float(w[-1]), True, bits)
