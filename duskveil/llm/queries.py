@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_mphf, media_chunks, token_ids, toxicity
+from . import bloom_lm, decontaminate, line_mphf, media_chunks, token_ids, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_ids": token_ids.op1_token_ids,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_media_chunks": media_chunks.op4_media_chunks,
+        "op6_lm_score": bloom_lm.op6_lm_score,
         "op7_line_dedup": line_mphf.op7_line_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
     }
