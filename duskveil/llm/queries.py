@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, decontaminate, line_mphf, media_chunks, token_ids, toxicity
+from . import bloom_lm, decontaminate, line_mphf, media_chunks, sentencepiece_backend, token_ids, toxicity, trie_counts
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op6_lm_score": bloom_lm.op6_lm_score,
         "op7_line_dedup": line_mphf.op7_line_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_sentencepiece": sentencepiece_backend.op9_sentencepiece,
+        "op10_token_counts": trie_counts.op10_token_counts,
     }
 
 
