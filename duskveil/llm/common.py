@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,3 +127,37 @@ def batches(it: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordB
         per = max(1, int(b.num_rows * max_bytes / max(1, b.nbytes)))
         for k in range(0, b.num_rows, per):
             yield b.slice(k, per)
+
+
+def bloom(ids: DataFrame, n: int, max_bytes: int = 8 << 20, parts: int = 64):
+    """A broadcast Bloom filter of the ``n`` long ids of a one-column table, of at most ``max_bytes``.
+
+    It only spares work: what passes goes on to an exact join, and a filter that is too full lets all pass.
+    """
+    bits = min(max_bytes * 8 // parts, -(-max(n, 64) * 10 // parts) + 64) // 8 * 8
+    name = ids.columns[0]
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(bits, np.uint8)
+        for at in _bloom_bits(pdf[name].to_numpy(), bits):
+            out[at] = 1
+        return pd.DataFrame({"part": [int(key[0])], "raw": [np.packbits(out, bitorder="little").tobytes()]})
+
+    raw = np.zeros(parts * bits // 8, np.uint8)
+    dealt = ids.withColumn("_part", F.pmod(name, F.lit(parts)).cast("int"))
+    for r in dealt.groupBy("_part").applyInPandas(build, "part int, raw binary").toLocalIterator():
+        raw[r["part"] * bits // 8 : (r["part"] + 1) * bits // 8] = np.frombuffer(r["raw"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast((raw, bits, parts))
+
+
+def _bloom_bits(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [below(mix64(ids.view(np.uint64), 50 + k), bits).astype(np.int64) for k in range(5)]
+
+
+def may_hold(ids: np.ndarray, bloom_filter: tuple) -> np.ndarray:
+    """Which int64 ids may be in a filter of ``bloom``; all that are in it are among them."""
+    raw, bits, parts = bloom_filter
+    base, out = (ids % parts) * bits, np.ones(len(ids), bool)
+    for at in _bloom_bits(ids, bits):
+        out &= (raw[(base + at) >> 3] >> ((base + at) & 7).astype(np.uint8) & 1).astype(bool)
+    return out

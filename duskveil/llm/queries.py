@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, decontaminate, line_mphf, media_chunks, sentencepiece_backend, token_ids, toxicity, trie_counts
+from . import bloom_lm, dart_minhash, decontaminate, line_mphf, media_chunks, sentencepiece_backend, token_ids, toxicity, trie_counts
 
 
 def queries() -> dict:
     return {
         "op1_token_ids": token_ids.op1_token_ids,
+        "op2_near_dedup": dart_minhash.op2_near_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_media_chunks": media_chunks.op4_media_chunks,
         "op6_lm_score": bloom_lm.op6_lm_score,
