@@ -1,6 +1,57 @@
-"""The corpus pipeline: five stages over documents, each written and reread as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's input.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents: toxicity
+drops the documents it rejects, line dedup drops frequent lines from texts (n_chars follows; a document that is left without text
+stays), near-dedup keeps one document of each class, decontamination drops documents with a twentieth of their words in benchmark windows. The last
+gives each document's SentencePiece ids, and digests of them and of the decoded text.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from duskveil.llm import common as C
+from duskveil.llm import dart_minhash, decontaminate, line_mphf, sentencepiece_backend, toxicity
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit_documents(docs, C.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("_score < 0.5").select(*docs.columns)
+
+
+def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_mphf.drop_lines(docs)
+    return out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dart_minhash.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = decontaminate.mark_hits(docs, C.table(spark, sf_dir, "benchmark"))
+    return out.where(~decontaminate.contaminated()).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_backend.encode_decode(docs, sentencepiece_backend.model_path(), keep_ids=True)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_frequent_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("sentencepiece", encode),
+]
+
+#: SQL expresses neither the classifier nor the tokenizer.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs, _ = C.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -26,6 +26,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -299,3 +300,20 @@ def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     rows = classes(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     named = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(named, "root").select("doc_id", "class_id", "class_size")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each class of near copies: that of the smallest doc_id (a null last), the first in the
+    table of equal ones. Rows are known by their place in the table, so ``docs`` must be a plain read (or a staged table)."""
+    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
+    found, _ = C.stage(classes(rows.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), "_rid")), "classes")
+    best = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid"))["_rid"].alias("stays")).where("n > 1")
+    gone, _ = C.stage(found.join(best, "root").where("_rid <> stays").select("_rid"), "copies")
+    shared = C.bloom(gone, gone.count())
+
+    @F.pandas_udf("boolean")
+    def maybe(rid):
+        return pd.Series(C.may_hold(rid.to_numpy(), shared.value))
+
+    flagged = rows.withColumn("_maybe", maybe("_rid"))
+    return flagged.where(~F.col("_maybe")).unionByName(flagged.where("_maybe").join(gone, "_rid", "left_anti")).drop("_rid", "_maybe").select(*(f"`{c}`" for c in docs.columns))
