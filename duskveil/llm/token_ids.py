@@ -16,6 +16,8 @@ by content; an empty table gives empty files.
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +33,8 @@ from . import common as C
 LENGTHS = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3) + 1
 #: Ids in a block, about; a longer document stands alone.
 BLOCK_IDS = 1 << 18
-MEMO = 400_000
+#: Pieces that a worker remembers, before it starts anew.
+MEMO = 600_000
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -63,7 +66,9 @@ class Encoder:
 
     The tokenizer's own rules split a text at white space before anything else, and its normaliser acts on each piece
     alone (``splits_at_space`` verifies this against the definition); so each distinct piece is encoded once and
-    remembered. Another kind of tokenizer encodes whole texts.
+    remembered. A piece of Latin-1 letters, or of these with a full stop or comma, is a word and a mark to the rules, in any case of
+    letters; distinct words are encoded many at a time, and each ends with the one token that bears the word end. Another kind of tokenizer encodes
+    whole texts.
     """
 
     def __init__(self, path: str):
@@ -74,35 +79,67 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
         self.by_piece = splits_at_space(path)
         self.memo: dict[str, bytes] = {}
+        suffix = json.load(open(path, encoding="utf-8"))["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.vocab, bool)
+        if suffix:
+            self.ends[[k for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        if self.by_piece:
+            self.marks = dict(zip(".,", self._encode([".", ","])))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> None:
+        """Remember words of letters in lower case, 1000 to a text."""
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part) and last[-1] == len(ids):
+                raw, bounds = ids.tobytes(), [0, *(last * self.dtype.itemsize).tolist()]
+                self.memo.update((w, raw[x:y]) for w, x, y in zip(part, bounds, bounds[1:]))
+            else:
+                self.memo.update(zip(part, self._encode(part)))
+
+    def _learn(self, new: list[str]) -> None:
+        words, others = {}, []
+        for p in new:
+            core = p[:-1] if p[-1] in self.marks else p
+            if core.isalpha() and max(core) < "\u0100":
+                words[p] = core.lower()
+            else:
+                others.append(p)
+        self._words(list(dict.fromkeys(w for w in words.values() if w not in self.memo)))
+        memo = self.memo
+        for p, w in words.items():
+            memo[p] = memo[w] + self.marks[p[-1]] if p[-1] in self.marks else memo[w]
+        for k in range(0, len(others), 50_000):
+            memo.update(zip(others[k : k + 50_000], self._encode(others[k : k + 50_000])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._encode(texts)
         if len(self.memo) > MEMO:
-            self.memo = {}
-        out, memo = [], self.memo
-        pieces = [x.split() for x in texts]
-        new = list(dict.fromkeys(p for x in pieces for p in x if p not in memo))
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            memo.update(zip(part, self._encode(part)))
-        for x in pieces:
-            out.append(b"".join(map(memo.__getitem__, x)))
-        return out
+            self.memo.clear()
+        # split() also parts a text at four controls that the rules don't count as white space: such texts go whole
+        memo, pieces = self.memo, [[x] if any(c in x for c in "\x1c\x1d\x1e\x1f") else x.split() for x in texts]
+        self._learn(list({p for x in pieces for p in x}.difference(memo)))
+        return [b"".join(map(memo.__getitem__, x)) for x in pieces]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder: what it has learnt serves all its tasks."""
+    return Encoder(path)
 
 
 def splits_at_space(path: str) -> bool:
     """Whether the file's rules drop white space and encode what lies between as if it stood alone."""
-    import json
-
     rules = json.load(open(path, encoding="utf-8"))
     steps = (rules.get("normalizer") or {}).get("normalizers", [])
     pre = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
     plain = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
-    drops = bool(pre) and pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and r"[^\s" in pre[0]["pattern"].get("Regex", "")
+    drops = bool(pre) and pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and pre[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in rules.get("added_tokens", []))
     return plain and drops and added and not rules.get("post_processor") and not (len(pre) > 1 and pre[1].get("add_prefix_space"))
 
@@ -114,7 +151,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = Encoder(path)
+        enc = encoder(path)
         tail = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         for b in (y for x in it for y in C.batches([x], 4 << 20)):
             ids = [x + tail for x in enc.encode([x or "" for x in b.column(1).to_pylist()])]
@@ -132,7 +169,8 @@ def write_token_files(docs: DataFrame, path: str, to: str, doc_id: str = "doc_id
     """
     spark = docs.sparkSession
     ids, staged = C.stage(encoded(docs, path, doc_id, text, end_id), "token-ids")
-    width, vocab = Encoder(path).dtype.itemsize, max(Encoder(path).vocab, (end_id or 0) + 1)
+    enc = encoder(path)
+    width, vocab = enc.dtype.itemsize, max(enc.vocab, (end_id or 0) + 1)
     kind = f"<u{width}"
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,3 +63,11 @@ def test_other_tokenizer_takes_whole_texts():
     enc = X.Encoder(path)
     ids = np.frombuffer(enc.encode(["two words  here"])[0], enc.dtype)
     assert enc.tokenizer.decode(ids.tolist()) == "two words  here"
+
+
+def test_pieces_are_encoded_as_whole_texts_are():
+    enc = X.Encoder(X.tokenizer_path("word_bpe_49k.json"))
+    texts = ["Don't stop, WON'T. we're A.B.C., x.", "É, é. É Straße ÄÖ, ª º µ. ", "a,b a, ,a .,. ... 12. 3,4 x1, ", "İstanbul ΣΑΣ, ς. e\u0301 e\u0301, \u0301", "<|endoftext|> a<|startoftext|>b,", "東京, 東京。\u00a0a\u2003b\u200bc\x00d\x1fe \x85f"]
+    for t in texts:
+        want = enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode([t])[0], enc.dtype).tolist() == want, t
