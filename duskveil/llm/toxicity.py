@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +66,16 @@ class Featurizer:
         return np.unique(np.concatenate(parts) >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Ascending indices as byte planes of their differences, compressed: the sample waits on the driver in this form."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(at, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.cumsum(planes.T.copy().view("<u4").reshape(-1), dtype=np.int64)
+
+
 class Ftrl:
     """Per-coordinate FTRL-proximal; the weight of a coordinate is 0 unless its |z| exceeds l1."""
 
@@ -107,7 +118,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: s
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Featurizer(bits)
         for b in it:
-            at = [f(x).astype("<u4").tobytes() for x in C.utf8(b.column(3))]
+            at = [packed(f(x)) for x in C.utf8(b.column(3))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(at, pa.binary())], ["k", "t", "y", "at"])
 
     near = rows.select("k", "t").orderBy("k", "t").limit(max_rows).agg(F.max(F.struct("k", "t"))).first()[0]
@@ -119,7 +130,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: s
     for epoch in range(epochs):
         order = np.random.default_rng(epoch).permutation(len(got))
         for k in order:
-            at = np.append(np.frombuffer(got[k][3], "<u4").astype(np.int64), 1 << bits)
+            at = np.append(unpacked(got[k][3]), 1 << bits)
             model.learn(at, got[k][2], positive if got[k][2] else 1.0)
     w = model.weights(np.arange((1 << bits) + 1))
     at = np.flatnonzero(w[:-1])

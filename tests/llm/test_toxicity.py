@@ -59,4 +59,6 @@ def test_features():
     f = X.Featurizer(18)
     assert len(f(b"")) == 0 and len(f(b"one")) == 2
     assert (f("One, two THREE".encode()) == f(b"one two three")).all()
+    for text in (b"", b"one", b"one two three " * 50):
+        assert (X.unpacked(X.packed(f(text))) == f(text)).all()
     assert C.utf8 and (f(b"a b c d") != f(b"d c b a")).any()
