@@ -13,7 +13,8 @@ The exact part. Only anchors that recur matter (a Bloom filter of bounded size p
 through in error stands alone and does nothing). An anchor's extent is the bytes of all strings that have it as anchor; occurrences with equal
 extents are one class, and of these all but the first are repeated whole. Where several classes share an anchor,
 the strings of each class's first occurrence are compared one by one: each but the earliest is repeated. Bytes
-under repeated strings go. So copies cost a row for each anchor, and no group is ever paired with itself.
+under repeated strings go. So copies cost a row for each anchor, no group is ever paired with itself, and an anchor with very
+many classes has its strings dealt out one by one.
 
 Defined results: a null or empty text has no bytes; a text under 100 bytes stays; documents are ordered by doc_id (a null
 first), equal doc_ids by their place in the table; strings are judged on the input; an empty table gives an empty
@@ -42,6 +43,20 @@ BATCHES = 4
 CHUNK = 4 << 20
 PLACE_BITS = 24  # of a key's place in a chunk, under its hash
 BLOOM = 32 << 20
+#: Extents of one anchor that may meet in one task; the strings of larger groups are dealt one by one.
+LARGE = 20_000
+
+
+def key_hash(k0: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of 24 bytes, given as three numbers."""
+    h = k0 * np.uint64(C.GOLDEN)
+    h += k1
+    h *= np.uint64(C.MIX1)
+    h += k2
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(C.MIX2)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 class Sample:
@@ -59,14 +74,7 @@ class Sample:
         if n < LENGTH:
             return
         w = self.word.astype(np.uint64)
-        h = w[:-16] * np.uint64(C.GOLDEN)
-        h += w[8:-8]
-        h *= np.uint64(C.MIX1)
-        h += w[16:]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(C.MIX2)
-        h ^= h >> np.uint64(29)
-        self.hash = h[:n]
+        self.hash = key_hash(w[:-16], w[8:-8], w[16:])[:n]
         if n >= 1 << PLACE_BITS:
             place, keep = np.uint64((1 << 32) - 1), np.uint64(0xFFFFFFFF00000000)  # a single document this long
         else:
@@ -100,8 +108,13 @@ class Sample:
         return self.hash[self.anchor] if len(self.anchor) else np.zeros(0, np.uint64)
 
 
-#: An entry of a suffix array: 24 bytes of the suffix as three numbers, its name, where it first occurs, whether it recurs.
-ENTRY = np.dtype([("k0", "<u8"), ("k1", "<u8"), ("k2", "<u8"), ("name", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("more", "u1")])
+#: An entry of a suffix array: 24 bytes of the suffix as three numbers, where it first occurs, whether it recurs.
+ENTRY = np.dtype([("k0", "<u8"), ("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("more", "u1")])
+
+
+def entry_names(x: np.ndarray) -> np.ndarray:
+    """The names of entries: the hash that chooses anchors."""
+    return key_hash(x["k0"].copy(), x["k1"].copy(), x["k2"].copy())
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -160,7 +173,7 @@ class Family:
 
             def flush():
                 x = merged(held)
-                dealt = C.below(C.mix64(x["name"], 3), shards).astype(np.int64)
+                dealt = C.below(C.mix64(entry_names(x), 3), shards).astype(np.int64)
                 order = np.argsort(dealt, kind="stable")
                 bounds = np.searchsorted(dealt[order], np.arange(shards + 1))
                 got = [(k, pack(x[order[a:b]])) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
@@ -170,7 +183,7 @@ class Family:
                 s = Sample(C.utf8(b.column(1)))
                 x = np.zeros(len(s.anchor), ENTRY)
                 keys = s.keys()
-                x["k0"], x["k1"], x["k2"], x["name"] = keys[:, 0], keys[:, 1], keys[:, 2], s.names()
+                x["k0"], x["k1"], x["k2"] = keys[:, 0], keys[:, 1], keys[:, 2]
                 ids = np.array([-(2**63) if d is None else d for d in b.column(0).to_pylist()], np.int64)
                 x["doc"], x["at"] = ids[s.doc], s.anchor - s.starts[s.doc]
                 held.append(x)
@@ -183,8 +196,9 @@ class Family:
 
         return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "shard int, packed binary")
 
-    def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
-        """Take in a batch; (shard, names): the packed names of suffixes that now recur, and the path of that table."""
+    def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """Take in a batch; (shard, names): the packed names of suffixes that now recur."""
+        self.merge()
         rows = self.suffixes(docs, doc_id, text).withColumn("level", F.lit(-1))
         for k, (_, level, _) in enumerate(self.levels):
             rows = rows.unionByName(level.select("shard", "packed", F.lit(k).alias("level")))
@@ -194,21 +208,31 @@ class Family:
             old = np.zeros(len(batch), bool)
             for raw in pdf.loc[pdf["level"] >= 0, "packed"]:
                 old |= scan(batch, unpack(raw))
-            names = np.unique(batch["name"][old | (batch["more"] > 0)])
+            names = np.unique(entry_names(batch[old | (batch["more"] > 0)]))
             return pd.DataFrame({"shard": [int(key[0])], "names": [names.tobytes()], "packed": [pack(batch[~old])]})
 
         met, path = C.stage(rows.groupBy("shard").applyInPandas(meet, "shard int, names binary, packed binary"), "suffix-level", "none")
+        names, _ = C.stage(met.select("shard", "names"), "suffix-names", "none")
         self.levels.append((1, met.select("shard", "packed"), path))
-        names = met.select("shard", "names")
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a, _), (_, b, _) = self.levels[-2:]
+        return names
+
+    def merge(self) -> None:
+        """Merge levels of equal size, the newest first. It runs before a batch comes in."""
 
-            def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-                return pd.DataFrame({"shard": [int(key[0])], "packed": [pack(merged([unpack(x) for x in pdf["packed"]]))]})
+        def both(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"shard": [int(key[0])], "packed": [pack(merged([unpack(x) for x in pdf["packed"]]))]})
+
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (n, a, old), (_, b, new) = self.levels[-2:]
+            level, path = C.stage(a.unionByName(b).groupBy("shard").applyInPandas(both, "shard int, packed binary"), "suffix-level", "none")
+            self.levels[-2:] = [(2 * n, level, path)]
+            for x in (old, new):
+                C.drop_path(self.spark, x)
 
-            both, path = C.stage(a.unionByName(b).groupBy("shard").applyInPandas(merge, "shard int, packed binary"), "suffix-level", "none")
-            self.levels[-2:] = [(2 * n, both, path)]
-        return names, path
+    def drop(self) -> None:
+        for _, _, path in self.levels:
+            C.drop_path(self.spark, path)
+        self.levels = []
 
 
 def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -216,43 +240,95 @@ def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def recurring(rows: DataFrame, names) -> DataFrame:
-    """Anchors that may recur: (name, x1, x2: the extent's hash, rid, doc_id, first, last: starts of strings, anchor)."""
+    """Anchors that may recur: (name, x: the extent's hash, rid, doc_id, first, last: starts of strings)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (y for x in it for y in C.batches([x], CHUNK)):
             s = Sample(C.utf8(b.column(2)))
             k = np.flatnonzero(C.may_hold(s.names().view(np.int64), names.value))
             base, first, last, anchor = s.starts[s.doc[k]], s.first[k], s.last[k], s.anchor[k]
-            h, raw = xxhash.xxh3_128_digest, s.raw
-            x = np.frombuffer(b"".join([h(raw[i : j + LENGTH], seed=a - i) for i, j, a in zip(first.tolist(), last.tolist(), anchor.tolist())]), "<i8").reshape(-1, 2)
+            h, raw = xxhash.xxh3_64_intdigest, s.raw
+            x = np.fromiter((h(raw[i : j + LENGTH], seed=a - i) for i, j, a in zip(first.tolist(), last.tolist(), anchor.tolist())), np.uint64, len(k))
             take = pa.array(s.doc[k])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s.names()[k].view(np.int64)), pa.array(x[:, 0]), pa.array(x[:, 1]), b.column(0).take(take), b.column(1).take(take), *(pa.array((y - base).astype(np.int32)) for y in (first, last))],
-                ["name", "x1", "x2", "rid", "doc_id", "first", "last"],
+                [pa.array(s.names()[k].view(np.int64)), pa.array(x.view(np.int64)), b.column(0).take(take), b.column(1).take(take), *(pa.array((y - base).astype(np.int32)) for y in (first, last))],
+                ["name", "x", "rid", "doc_id", "first", "last"],
             )
 
-    return rows.mapInArrow(run, "name long, x1 long, x2 long, rid long, doc_id long, first int, last int")
+    return rows.mapInArrow(run, "name long, x long, rid long, doc_id long, first int, last int")
 
 
-def single_strings(rows: DataFrame, wanted) -> DataFrame:
-    """The strings of anchors of which hash(rid, first) may be wanted: (w1, w2: the string's hash, rid, doc_id, at)."""
+def contexts(rows: DataFrame, wanted) -> DataFrame:
+    """The extents of which hash(rid, first) may be wanted: (name, rid, doc_id, first, offset: of the anchor, bytes)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (y for x in it for y in C.batches([x], CHUNK)):
-            raws = C.utf8(b.column(2))
-            s = Sample(raws)
+            s = Sample(C.utf8(b.column(2)))
             rid = np.array(b.column(0).to_pylist(), np.int64)[s.doc]
-            k = np.flatnonzero(C.may_hold(place_name(rid, s.first - s.starts[s.doc]), wanted.value))
-            h, raw, got, doc, at = xxhash.xxh3_128_digest, s.raw, [], [], []
-            for i, j, d, base in zip(s.first[k].tolist(), s.last[k].tolist(), s.doc[k].tolist(), s.starts[s.doc[k]].tolist()):
-                got += [h(raw[x : x + LENGTH]) for x in range(i, j + 1)]
-                doc += [d] * (j - i + 1)
-                at += range(i - base, j + 1 - base)
-            x = np.frombuffer(b"".join(got), "<i8").reshape(-1, 2)
-            take = pa.array(doc, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int32())], ["w1", "w2", "rid", "doc_id", "at"])
+            first = s.first - s.starts[s.doc]
+            k = np.flatnonzero(C.may_hold(place_name(rid, first), wanted.value))
+            raw, take = s.raw, pa.array(s.doc[k])
+            got = [raw[i : j + LENGTH] for i, j in zip(s.first[k].tolist(), s.last[k].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s.names()[k].view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(first[k].astype(np.int32)), pa.array((s.anchor - s.first)[k].astype(np.int32)), pa.array(got, pa.binary())],
+                ["name", "rid", "doc_id", "first", "offset", "bytes"],
+            )
+
+    return rows.mapInArrow(run, "name long, rid long, doc_id long, first int, offset int, bytes binary")
+
+
+MARKS = "rid long, first int, end int"
+
 
-    return rows.mapInArrow(run, "w1 long, w2 long, rid long, doc_id long, at int")
+def repeated_strings(found: DataFrame, shards: int) -> DataFrame:
+    """Ranges under strings of extents that an earlier extent of the same anchor holds too. Extents are dealt by their
+    anchors' names, so equal strings meet; a shard goes through its extents in the order of their documents."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "rid", "first"], na_position="first", kind="stable")
+        h, raws, names = xxhash.xxh3_64_intdigest, pdf["bytes"].tolist(), pdf["name"].tolist()
+        sizes = np.array([len(r) - LENGTH + 1 for r in raws], np.int64)
+        seeds = [n & 0xFFFFFFFFFFFFFFFF for n in names]
+        strings = np.fromiter((h(r[i : i + LENGTH], seed=n) for r, n in zip(raws, seeds) for i in range(len(r) - LENGTH + 1)), np.uint64, int(sizes.sum()))
+        _, back = np.unique(strings, return_inverse=True)
+        first = np.full(int(back.max()) + 1, len(strings))
+        np.minimum.at(first, back, np.arange(len(strings)))
+        again = first[back] != np.arange(len(strings))
+        return _ranges(again, sizes, pdf["rid"].to_numpy(), pdf["first"].to_numpy())
+
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").applyInPandas(run, MARKS)
+
+
+def _ranges(again: np.ndarray, sizes: np.ndarray, rid: np.ndarray, first: np.ndarray) -> pd.DataFrame:
+    """Runs of repeated strings within each extent as byte ranges of its document."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(again)) - (np.cumsum(sizes) - sizes)[owner]
+    k = np.flatnonzero(again)
+    new = np.append(True, (np.diff(k) > 1) | (owner[k[1:]] != owner[k[:-1]])) if len(k) else np.zeros(0, bool)
+    start, stop = k[new], k[np.append(new[1:], True)] if len(k) else k
+    begin = first[owner[start]]
+    return pd.DataFrame({"rid": rid[owner[start]], "first": (begin + at[start]).astype(np.int32), "end": (begin + at[stop] + LENGTH).astype(np.int32)})
+
+
+def repeated_in_large_groups(found: DataFrame) -> DataFrame:
+    """The same for anchors with very many extents: each string is a row, dealt by its own hash."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (y for x in it for y in C.batches([x], 1 << 20)):
+            raws = b.column(5).to_pylist()
+            sizes = np.array([len(r) - LENGTH + 1 for r in raws], np.int64)
+            h = xxhash.xxh3_128_digest
+            w = np.frombuffer(b"".join([h(r[i : i + LENGTH]) for r in raws for i in range(len(r) - LENGTH + 1)]), "<i8").reshape(-1, 2)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner] + np.array(b.column(3).to_pylist(), np.int64)[owner]
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), b.column(1).take(take), b.column(2).take(take), pa.array(at.astype(np.int32))], ["w1", "w2", "rid", "doc_id", "at"])
+
+    strings = found.select("name", "rid", "doc_id", "first", "offset", "bytes").mapInArrow(run, "w1 long, w2 long, rid long, doc_id long, at int")
+    spot = F.struct("doc_id", "rid", "at")
+    earliest, _ = C.stage(strings.groupBy("w1", "w2").agg(F.min(spot).alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1"), "earliest")
+    return strings.join(earliest, ["w1", "w2"]).where(~spot.eqNullSafe(F.col("one"))).select("rid", F.col("at").alias("first"), (F.col("at") + LENGTH).alias("end"))
 
 
 def place_name(rid: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -276,8 +352,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
     family, names = Family(spark, shards), []
     for part in batches_of(docs, doc_id, batches):
-        names.append(family.append(part, doc_id, text)[0])
+        names.append(family.append(part, doc_id, text))
         C.release_shuffles(spark)
+    family.drop()
     known = names[0]
     for x in names[1:]:
         known = known.unionByName(x)
@@ -292,9 +369,10 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches
     rows = numbered(docs, doc_id, text)
     found, _ = C.stage(recurring(rows, again), "recurring")
     place = F.struct("doc_id", "rid", "first")
-    kinds, _ = C.stage(found.groupBy("name", "x1", "x2").agg(F.min(place).alias("one"), F.count(F.lit(1)).alias("n")), "extents")
-    whole = found.join(kinds.where("n > 1"), ["name", "x1", "x2"]).where(~place.eqNullSafe(F.col("one"))).select("rid", "first", (F.col("last") + LENGTH).alias("end"))
-    several = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("name")
+    kinds, _ = C.stage(found.groupBy("name", "x").agg(F.min(place).alias("one"), F.count(F.lit(1)).alias("n")), "extents")
+    C.release_shuffles(spark)
+    whole = found.join(kinds.where("n > 1"), ["name", "x"]).where(~place.eqNullSafe(F.col("one"))).select("rid", "first", (F.col("last") + LENGTH).alias("end"))
+    several, _ = C.stage(kinds.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared-anchors")
     firsts, _ = C.stage(kinds.join(several, "name").select("one.rid", "one.first"), "first-extents")
 
     def named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,11 +380,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches
             yield pa.RecordBatch.from_arrays([pa.array(place_name(*(np.array(b.column(k).to_pylist(), np.int64) for k in (0, 1))))], ["place"])
 
     wanted = C.bloom(firsts.mapInArrow(named, "place long"), firsts.count(), BLOOM)
-    strings, _ = C.stage(single_strings(rows, wanted), "strings")
-    spot = F.struct("doc_id", "rid", "at")
-    earliest = strings.groupBy("w1", "w2").agg(F.min(spot).alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    some = strings.join(earliest, ["w1", "w2"]).where(~spot.eqNullSafe(F.col("one"))).select("rid", F.col("at").alias("first"), (F.col("at") + LENGTH).alias("end"))
-    marks, _ = C.stage(whole.unionByName(some), "repeats")
+    extents, _ = C.stage(contexts(rows, wanted), "contexts")
+    large = several.where(F.col("c") > LARGE).select("name")
+    some = repeated_strings(extents.join(large, "name", "left_anti"), shards)
+    more = repeated_in_large_groups(extents.join(large, "name", "left_semi"))
+    marks, _ = C.stage(whole.unionByName(some).unionByName(more), "repeats")
     C.release_shuffles(spark)
     return marks
 
@@ -362,3 +440,19 @@ def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 def digest(kept: bytes) -> str:
     return hashlib.sha256(kept).hexdigest()
+
+
+OP5_SQL = """
+with d as (select row_number() over (order by doc_id nulls first) as rid, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select rid, i, substr(h, cast(2 * i + 1 as bigint), 200) as s from (select rid, h, unnest(range(0, len(h) // 2 - 99)) as i from d)),
+m as (select rid, i, row_number() over (partition by s order by rid, i) as nth from w),
+g as (select rid, i from m where nth > 1),
+j as (select rid, i, coalesce(i - lag(i) over (partition by rid order by i) > 100, true) as new from g),
+k as (select rid, i, sum(cast(new as int)) over (partition by rid order by i) as run from j),
+u as (select rid, run, min(i) as a, max(i) + 100 as b from k group by rid, run),
+q as (select rid, a, b, coalesce(lag(b) over (partition by rid order by a), 0) as before, row_number() over (partition by rid order by a desc) = 1 as final from u),
+kept as (select q.rid, sum(b - a) as removed, count(*) as spans, string_agg(substr(h, cast(2 * before + 1 as bigint), cast(2 * (a - before) as bigint)) || case when final then substr(h, cast(2 * b + 1 as bigint)) else '' end, '' order by a) as x
+         from q join d using (rid) group by q.rid)
+select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(x, h))) as kept_sha256
+from d left join kept using (rid)
+"""

@@ -42,8 +42,10 @@ def test_documents(spark):
     assert cases.collected(X.op5_suffix_dedup(spark, cases.SF)) == want and sum(r[2] for r in want) > 0
 
 
-def test_pieces_that_overlap(spark, tmp_path):
+@pytest.mark.parametrize("large", [X.LARGE, 3])
+def test_pieces_that_overlap(spark, tmp_path, monkeypatch, large):
     """Passages cut from each other, shifted and edited: many classes for one anchor."""
+    monkeypatch.setattr(X, "LARGE", large)
     rng = np.random.default_rng(6)
     body = "".join(rng.choice(list("ab c"), 900))
     rows = []
@@ -63,7 +65,7 @@ def test_levels_grow_geometrically(spark):
     for part in X.batches_of(docs, "doc_id", 7):
         family.append(part)
         sizes.append([n for n, _, _ in family.levels])
-    assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]]
+    assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1], [4, 1, 1], [4, 2, 1]]
     entries = np.concatenate([X.unpack(r["packed"]) for _, level, _ in family.levels for r in level.collect()])
     keys = entries[["k0", "k1", "k2"]]
     assert len(np.unique(keys)) == len(keys) > 1000
