@@ -64,7 +64,7 @@ def logs_sql() -> str:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log records: k, level, channel, message, and context struct<user: struct<...>, age, active, score, note, tags>."""
-    user = F.struct("email", "ssn", "card", "name", F.col("consent").alias("gdpr_consent"))
+    user = F.struct("email", "ssn", "card", "name", F.col("consent").alias("agreed"))
     ctx = F.struct(user.alias("user"), "age", F.col("consent").alias("active"), "score", F.col("phone").alias("note"), F.array("ip", "name").alias("tags"))
     return logs(spark, sf_dir).select("k", "level", "channel", "message", ctx.alias("context"))
 

@@ -111,17 +111,17 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select("k", "context.user.*", F.col("context.note").alias("note"))
 
 
-@query("field_remove", f"select k, email, card, name, consent as gdpr_consent, {quoted(PHONE)} as note from (select k, {quoted(EMAIL)} as email, {quoted(CC)} as card, name, consent from {LOGS})")
+@query("field_remove", f"select k, email, card, name, consent as agreed, {quoted(PHONE)} as note from (select k, {quoted(EMAIL)} as email, {quoted(CC)} as card, name, consent from {LOGS})")
 def _(spark, sf_dir):
     return _flat(Processor(Config(fields={"user.ssn": FieldMask.remove()})).mask(records(spark, sf_dir)))
 
 
-@query("field_replace", f"select k, {quoted(EMAIL)} as email, {quoted(SSN)} as ssn, 'MASKED' as card, 'gone' as name, consent as gdpr_consent, {quoted(PHONE)} as note from {LOGS}")
+@query("field_replace", f"select k, {quoted(EMAIL)} as email, {quoted(SSN)} as ssn, 'MASKED' as card, 'gone' as name, consent as agreed, {quoted(PHONE)} as note from {LOGS}")
 def _(spark, sf_dir):
     return _flat(Processor(Config(fields={"user.card": FieldMask.replace("MASKED"), "user.name": "gone"})).mask(records(spark, sf_dir)))
 
 
-@query("field_regex", f"select k, {quoted(EMAIL)} as email, concat('###-##', substring(ssn, 7)) as ssn, {quoted(CC)} as card, name, consent as gdpr_consent, {quoted(PHONE)} as note from {LOGS}")
+@query("field_regex", f"select k, {quoted(EMAIL)} as email, concat('###-##', substring(ssn, 7)) as ssn, {quoted(CC)} as card, name, consent as agreed, {quoted(PHONE)} as note from {LOGS}")
 def _(spark, sf_dir):
     return _flat(Processor(Config(fields={"user.ssn": FieldMask.regex(r"/^\d{3}-\d{2}/", "###-##")})).mask(records(spark, sf_dir)))
 
@@ -297,7 +297,7 @@ def _(spark, sf_dir):
 
 @query("rule_field_present", _when("true"))
 def _(spark, sf_dir):
-    return _ruled(spark, sf_dir, field=rules.has_field("user.gdpr_consent"))
+    return _ruled(spark, sf_dir, field=rules.has_field("user.agreed"))
 
 
 @query("rule_field_missing", _when("false"))
@@ -307,7 +307,7 @@ def _(spark, sf_dir):
 
 @query("rule_field_value", _when("consent"))
 def _(spark, sf_dir):
-    return _ruled(spark, sf_dir, value=rules.field_equals("user.gdpr_consent", True))
+    return _ruled(spark, sf_dir, value=rules.field_equals("user.agreed", True))
 
 
 @query("rule_value_of_other_type", _when("false"))
@@ -317,7 +317,7 @@ def _(spark, sf_dir):
 
 @query("rule_and", _when("level = 'ERROR' and consent and k % 2 = 1"))
 def _(spark, sf_dir):
-    return _ruled(spark, sf_dir, level=rules.level_in("ERROR"), value=rules.field_equals("user.gdpr_consent", True), own=lambda schema: F.col("k") % 2 == 1)
+    return _ruled(spark, sf_dir, level=rules.level_in("ERROR"), value=rules.field_equals("user.agreed", True), own=lambda schema: F.col("k") % 2 == 1)
 
 
 @query("rule_custom_error_passes", _when("true"))
@@ -346,7 +346,7 @@ def _(spark, sf_dir):
 @query("strategy_conditional_or", f"select k, case when level = 'ERROR' or consent then 'C' else email end as email from {LOGS}")
 def _(spark, sf_dir):
     inner = S.FieldPathStrategy(fields={"user.email": "C"})
-    manager = S.StrategyManager([S.ConditionalStrategy(inner=inner, rules={"a": rules.level_in("ERROR"), "b": rules.field_equals("user.gdpr_consent", True)}, require_all=False)])
+    manager = S.StrategyManager([S.ConditionalStrategy(inner=inner, rules={"a": rules.level_in("ERROR"), "b": rules.field_equals("user.agreed", True)}, require_all=False)])
     return manager.mask(records(spark, sf_dir)).select("k", "context.user.email")
 
 
