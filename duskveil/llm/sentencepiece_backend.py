@@ -183,7 +183,6 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model = ModelFile.load(path)
-        self.tokenizer = build(self.model)
         self.steps = normalizer(self.model)
         self.plain = not self.model.charsmap and not self.model.squeeze and self.model.escape
         self.separable = self.model.separable()
@@ -195,6 +194,10 @@ class Codec:
             raw = bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode()
             self.bytes_of.append(raw)
 
+    @functools.cached_property
+    def tokenizer(self):
+        return build(self.model)
+
     def normalize(self, text: str) -> str:
         if self.plain:
             text = text.replace(" ", MARK)

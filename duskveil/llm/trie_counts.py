@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .sentencepiece_backend import NORMAL, USER_DEFINED, ModelFile, codec_of, model_path
 
-NODES = 600_000
+NODES = 250_000
 
 
 class Trie:
