@@ -1,13 +1,14 @@
 """Token counts by dynamic programming over a trie of pre-tokens.
 
 A text's pre-tokens are the segments of its normalised form (sentencepiece_backend): a run of markers with what follows
-it, and line ends. Each task inserts its distinct pre-tokens in a trie. A node stands for a prefix; the best unigram
-score of that prefix, and the number of tokens on its best path, are computed when the node is made, from its ancestors:
-once for all pre-tokens that share the prefix. The node where a pre-token ends (its terminal) thereby holds its
-count. A path's score is the sum of its pieces' scores; of equal paths, the one whose last piece starts first wins. A character that is
-no piece scores the lowest piece's score less 10, and counts as its UTF-8 bytes under byte fallback, else as one token.
+it, and line ends. Distinct pre-tokens are inserted in a trie, many at a time: sorted, those with a common prefix stand side by side,
+and the nodes of one depth are the distinct prefixes of that length. A node's best unigram score, and the
+number of tokens on its best path, are computed from its ancestors, once for all pre-tokens that share the prefix, and for all nodes of a
+depth together. The node where a pre-token ends (its terminal) holds its count. A path's score is the sum of its
+pieces' scores; of equal paths, the one whose last piece starts first wins. A character that is no piece scores the
+lowest piece's score less 10, and counts as its UTF-8 bytes under byte fallback, else as one token.
 
-A task's trie is bounded: beyond ``NODES`` nodes it starts anew, which changes no count. Nothing is shuffled.
+A worker remembers terminals, at most about ``TERMINALS`` of them, and then starts anew, which changes no count. Nothing is shuffled.
 
 Defined results: a null or empty text has no tokens and a score of 0; repeated rows are counted each on their own; an empty table
 gives an empty result; extra columns don't matter.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,57 +26,125 @@ from pyspark.sql import functions as F
 from . import common as C
 from .sentencepiece_backend import NORMAL, USER_DEFINED, ModelFile, codec_of, model_path
 
-NODES = 250_000
+TERMINALS = 250_000
+#: Pre-tokens of more characters take a path of their own, without shared prefixes.
+WIDTH = 40
+ROWS = 10_000  # pre-tokens inserted together
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
 
 
 class Trie:
-    """Prefixes of pre-tokens with forward scores and token counts."""
+    """Terminals of pre-tokens: token counts and scores."""
 
     def __init__(self, model: ModelFile):
-        self.scores = {p: float(s) for p, s, kind in model.pieces if kind in (NORMAL, USER_DEFINED)}
-        self.longest = max(map(len, self.scores), default=1)
+        self.scores = {p: float(s) for p, s, kind in model.pieces if kind in (NORMAL, USER_DEFINED) and p}
+        self.longest = min(max(map(len, self.scores), default=1), WIDTH)
         self.unknown = min(self.scores.values(), default=0.0) - 10
         self.bytes = model.byte_fallback
+        self.base = np.uint64(C.GOLDEN)
+        self.powers = np.array([pow(C.GOLDEN, k, 1 << 64) for k in range(WIDTH + 1)], np.uint64)
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: ascending hashes, scores
+        by: dict[int, list] = {}
+        for p, s in self.scores.items():
+            if len(p) <= WIDTH:
+                by.setdefault(len(p), []).append((p, s))
+        for n, own in by.items():
+            h = self._hashes(np.stack([_codes(p) for p, _ in own]))[:, n]
+            order = np.argsort(h)
+            self.pieces[n] = h[order], np.array([s for _, s in own])[order]
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.best, self.count = [0.0], [0]
         self.terminal: dict[str, int] = {}
+        self.count, self.best = np.zeros(0, np.int64), np.zeros(0)
+
+    def _hashes(self, chars: np.ndarray) -> np.ndarray:
+        """Of each row, the hash of each prefix."""
+        out = np.zeros((len(chars), chars.shape[1] + 1), np.uint64)
+        for d in range(chars.shape[1]):
+            out[:, d + 1] = out[:, d] * self.base + (chars[:, d] + np.uint64(1)) * np.uint64(C.MIX1)
+        return out
 
-    def insert(self, token: str) -> int:
-        """The terminal node of a pre-token."""
-        path, node = [0], 0
-        children, best, count, scores = self.children, self.best, self.count, self.scores
-        for d, ch in enumerate(token, 1):
-            at = children[node].get(ch)
-            if at is None:
-                top, n = None, 0
-                for k in range(max(0, d - self.longest), d):
-                    s = scores.get(token[k:d])
-                    if s is not None and (top is None or best[path[k]] + s > top):
-                        top, n = best[path[k]] + s, count[path[k]] + 1
-                if ch not in scores and (top is None or best[node] + self.unknown > top):
-                    top, n = best[node] + self.unknown, count[node] + (len(ch.encode()) if self.bytes else 1)
-                at = len(best)
-                children[node][ch] = at
-                children.append({})
-                best.append(top)
-                count.append(n)
-            node = at
-            path.append(node)
-        self.terminal[token] = node
-        return node
-
-    def counts(self, segments: list[str]) -> tuple[int, float]:
-        """(tokens, score) of a text's pre-tokens."""
-        terminal = self.terminal
-        for x in set(segments).difference(terminal):
-            self.insert(x)
-        nodes = [terminal[x] for x in segments]
-        out = sum(map(self.count.__getitem__, nodes)), float(sum(map(self.best.__getitem__, nodes)))
-        if len(self.best) > NODES:
+    def insert(self, tokens: list[str]) -> None:
+        """Insert distinct pre-tokens, and remember what their terminals hold."""
+        short = sorted(t for t in tokens if len(t) <= WIDTH)
+        parts = [self._levels(short[k : k + ROWS]) for k in range(0, len(short), ROWS)]
+        long = [t for t in tokens if len(t) > WIDTH]
+        parts += [tuple(np.array(x) for x in zip(*map(self._alone, long)))] if long else []
+        for k, t in enumerate([*short, *long], len(self.terminal)):
+            self.terminal[t] = k
+        self.count = np.concatenate([self.count, *(p[0] for p in parts)]).astype(np.int64)
+        self.best = np.concatenate([self.best, *(p[1] for p in parts)])
+
+    def _levels(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(token counts, scores) of sorted pre-tokens: the trie's nodes depth by depth."""
+        size = np.array([len(t) for t in tokens])
+        width, n = int(size.max()), len(tokens)
+        chars = np.zeros((n, width), np.uint64)
+        chars[np.arange(width) < size[:, None]] = _codes("".join(tokens))
+        differ = np.concatenate([chars[1:] != chars[:-1], np.ones((n - 1, 1), bool)], axis=1)
+        shared = np.concatenate([[0], np.minimum(differ.argmax(1), np.minimum(size[1:], size[:-1]))])
+        h = self._hashes(chars)
+        best, count = np.zeros((n, width + 1)), np.zeros((n, width + 1), np.int64)
+        for d in range(1, width + 1):
+            rows = np.flatnonzero(size >= d)
+            new = shared[rows] < d  # the first row of each node
+            node = rows[new]
+            top, k = np.full(len(node), -np.inf), np.zeros(len(node), np.int64)
+            single = np.zeros(len(node), bool)
+            for w in range(min(self.longest, d), 0, -1):  # the longest last piece first: it starts first
+                if w not in self.pieces:
+                    continue
+                keys, scores = self.pieces[w]
+                want = h[node, d] - h[node, d - w] * self.powers[w]
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == want)
+                score = best[node[hit], d - w] + scores[at[hit]]
+                more = score > top[hit]
+                hit, score = hit[more], score[more]
+                top[hit], k[hit] = score, count[node[hit], d - w] + 1
+                if w == 1:
+                    single[np.flatnonzero(keys[at] == want)] = True
+            score = best[node, d - 1] + self.unknown
+            odd = np.flatnonzero(~single & (score > top))
+            if len(odd):
+                c = chars[node[odd], d - 1]
+                length = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF) if self.bytes else np.ones(len(odd), np.int64)
+                top[odd], k[odd] = score[odd], count[node[odd], d - 1] + length
+            of = np.cumsum(new) - 1
+            best[rows, d], count[rows, d] = top[of], k[of]
+        every = np.arange(n)
+        return count[every, size], best[every, size]
+
+    def _alone(self, token: str) -> tuple[int, float]:
+        best, count = [0.0], [0]
+        for d in range(1, len(token) + 1):
+            top, n = None, 0
+            for k in range(max(0, d - self.longest), d):
+                s = self.scores.get(token[k:d])
+                if s is not None and (top is None or best[k] + s > top):
+                    top, n = best[k] + s, count[k] + 1
+            ch = token[d - 1]
+            if ch not in self.scores and (top is None or best[-1] + self.unknown > top):
+                top, n = best[-1] + self.unknown, count[-1] + (len(ch.encode()) if self.bytes else 1)
+            best.append(top)
+            count.append(n)
+        return count[-1], best[-1]
+
+    def counts(self, texts: list[list[str]]) -> list[tuple[int, float]]:
+        """(tokens, score) of each text's pre-tokens."""
+        if len(self.terminal) > TERMINALS:
             self.clear()
+        new = {x for t in texts for x in t}.difference(self.terminal)
+        if new:
+            self.insert(list(new))
+        out = []
+        for t in texts:
+            at = np.fromiter(map(self.terminal.__getitem__, t), np.int64, len(t))
+            out.append((int(self.count[at].sum()), float(self.best[at].sum())))
         return out
 
 
@@ -84,9 +154,9 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
         trie = Trie(codec.model)
-        for b in (y for x in it for y in C.batches([x], 4 << 20)):
+        for b in (y for x in it for y in C.batches([x], 2 << 20)):
             cut = [codec.segments(codec.normalize(x or "")) for x in b.column(1).to_pylist()]
-            got = [trie.counts(x) for x in cut]
+            got = trie.counts(cut)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in cut], pa.int64()), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "n_pretokens", "n_tokens", "score"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

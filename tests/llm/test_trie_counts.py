@@ -54,10 +54,11 @@ def test_documents(spark):
 def test_small_trie_starts_anew(monkeypatch):
     model = S.ModelFile.load(S.model_path())
     words = ["▁" + "".join(random.Random(k).choice("thearin") for _ in range(9)) for k in range(500)]
-    whole = X.Trie(model).counts(words)
-    monkeypatch.setattr(X, "NODES", 50)
+    [whole] = X.Trie(model).counts([words])
+    monkeypatch.setattr(X, "TERMINALS", 50)
+    monkeypatch.setattr(X, "ROWS", 7)
     t = X.Trie(model)
-    parts = [t.counts([w]) for w in words]
+    parts = [x for k in range(0, 500, 20) for x in t.counts([[w] for w in words[k : k + 20]])]
     assert sum(n for n, _ in parts) == whole[0] and abs(sum(s for _, s in parts) - whole[1]) < 1e-6
 
 
@@ -69,4 +70,13 @@ def test_matches_the_unigram_lattice():
     rng = random.Random(4)
     for _ in range(300):
         w = "▁" + "".join(rng.choice("ab") for _ in range(rng.randrange(1, 12)))
-        assert trie.counts([w])[0] == len(t.encode(w).ids)
+        assert trie.counts([[w]])[0][0] == len(t.encode(w).ids)
+
+
+def test_long_and_odd_pretokens():
+    m = S.ModelFile.load(S.model_path())
+    trie, rng = X.Trie(m), random.Random(7)
+    words = ["▁" + "".join(rng.choice("thear é東\x00") for _ in range(n)) for n in (0, 1, 5, 38, 39, 40, 41, 90) for _ in range(6)] + ["\n", "▁▁▁"]
+    for w, got in zip(words, trie.counts([[w] for w in words])):
+        score, n = best(w, trie.scores, trie.unknown, True)
+        assert got[0] == n and abs(got[1] - score) < 1e-3, w
