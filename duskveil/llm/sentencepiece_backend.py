@@ -221,17 +221,31 @@ class Codec:
             self.memo.clear()
         memo = self.memo
         cut = [self.segments(self.normalize(x)) for x in texts]
-        new = list({s for x in cut for s in x}.difference(memo))
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            memo.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-            if self.model.kind == BPE:
-                memo.update((s, np.array(merge_runs(self.model, self.ids, s), "<u4").tobytes()) for s in part if MARK * 2 in s)
+        self._learn(list({s for x in cut for s in x}.difference(memo)))
         out = [np.frombuffer(b"".join(map(memo.__getitem__, x)), "<u4") for x in cut]
         if not self.separable:
             self.memo = {}
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode distinct segments, many to a text where line ends part them: a line end is a byte of its own, which
+        merges with nothing, so what lies between two of them are a segment's ids."""
+        memo, end = self.memo, self.ids.get("<0x0A>")
+        joined = self.separable and self.model.kind == BPE and self.model.byte_fallback and end is not None
+        plain = [s for s in new if s != "\n" and MARK * 2 not in s] if joined else []
+        groups = [plain[k : k + 64] for k in range(0, len(plain), 64)]
+        for part, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == end)).tolist()
+            if len(cuts) == len(part) - 1:
+                raw = ids.tobytes()
+                memo.update((s, raw[a:b]) for s, a, b in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)]))
+        rest = [s for s in new if s not in memo]
+        if self.model.kind == BPE:
+            memo.update((s, np.array(merge_runs(self.model, self.ids, s), "<u4").tobytes()) for s in rest if MARK * 2 in s)
+            rest = [s for s in rest if MARK * 2 not in s]
+        memo.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.model.add_prefix and text.startswith(" ") else text
