@@ -40,7 +40,7 @@ LENGTH = 100
 KEY = 24
 SPAN = LENGTH - KEY + 1  # key starts within a string
 BATCHES = 4
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 PLACE_BITS = 24  # of a key's place in a chunk, under its hash
 BLOOM = 32 << 20
 #: Extents of one anchor that may meet in one task; the strings of larger groups are dealt one by one.
@@ -188,7 +188,7 @@ class Family:
                 x["doc"], x["at"] = ids[s.doc], s.anchor - s.starts[s.doc]
                 held.append(x)
                 size += len(x)
-                if size > 1_000_000:
+                if size > 300_000:
                     yield flush()
                     held, size = [], 0
             if size:
