@@ -4,8 +4,9 @@ The media of a payload is a WAV file: 8-bit mono samples at 8 kHz, a sample for
 over the media's bytes; a chunk ends where its upper bits are 0, but not before ``MIN`` and at ``MAX`` bytes at the
 latest. A chunk is named by its digest. Spark joins deduplicate: of all media that hold a chunk, the one with the
 smallest hash lends it, and the others refer to it. The store has a row for each distinct media: the ordered digests
-(the recipe), and the compressed bytes of the chunks that it holds itself. Chunk bytes cross the network once on
-the way into the store; on the way out only the chunks that some other media lends do.
+(the recipe), and the compressed bytes of the chunks that it holds itself. Media that occur once and share no chunk are
+written where they are read; the bytes of others cross the network once on the way into the store, and on the way out only the chunks
+that some other media lends do.
 
 Reading joins referred chunks to their recipes, rebuilds the media, and verifies every chunk digest and the media's own
 hash; a mismatch raises.
@@ -154,25 +155,48 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def write_store(docs: DataFrame, shared: DataFrame, to: str, dictionary: bytes, text: str = "text", level: int = 9) -> None:
-    """Write the store under ``to``: a row for each distinct media."""
+def media_ids(names: list[bytes]) -> np.ndarray:
+    """The first eight bytes of each media's hash."""
+    return np.frombuffer(b"".join(x[:8] for x in names), "<i8")
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
 
-        press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary))
+def involved(column: DataFrame, shared: DataFrame):
+    """A Bloom filter of bounded size of the media that occur again, lend or refer: all others hold their own chunks."""
+
+    def ids(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for _, _, medias, cut in _medias(b, 0):
-                seen: set[bytes] = set()
-                rows = []
-                for m, parts in zip(medias, cut):
-                    if (sha := hashlib.sha256(m).digest()) not in seen:
-                        seen.add(sha)
-                        names = [digest(x) for x in parts]
-                        own = dict(zip(names, parts))
-                        rows.append((sha, b"".join(names), list(own), [press.compress(x) for x in own.values()]))
-                kinds = [pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["media", "recipe", "held", "blobs"])
+            yield pa.RecordBatch.from_arrays([pa.array(media_ids(b.column(0).to_pylist()))], ["id"])
+
+    again = column.groupBy("media").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("media")
+    known, _ = C.stage(again.unionByName(shared.select("media")).distinct().mapInArrow(ids, "id long"), "media-involved")
+    return C.bloom(known, known.count(), 32 << 20)
+
+
+def write_store(docs: DataFrame, shared: DataFrame, some, to: str, dictionary: bytes, text: str = "text", level: int = 9) -> None:
+    """Write the store under ``to``: a row for each distinct media. ``some``: the filter of ``involved``; what it lets
+    pass is gathered by media and joined to ``shared``, all else is written where it was read."""
+
+    def press(pick: bool):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import zstandard
+
+            press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary))
+            for b in it:
+                for _, _, medias, cut in _medias(b, 0):
+                    names = [hashlib.sha256(m).digest() for m in medias]
+                    mine = C.may_hold(media_ids(names), some.value) == pick
+                    seen: set[bytes] = set()
+                    rows = []
+                    for k in np.flatnonzero(mine).tolist():
+                        if names[k] not in seen:
+                            seen.add(names[k])
+                            digests = [digest(x) for x in cut[k]]
+                            own = dict(zip(digests, cut[k]))
+                            rows.append((names[k], b"".join(digests), list(own), [press.compress(x) for x in own.values()], [], []))
+                    kinds = [pa.binary(), pa.binary(), *[pa.list_(pa.binary())] * 4]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["media", "recipe", "held", "blobs", "lent", "missing"])
+
+        return docs.select(text).mapInArrow(run, STORE)
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Without the chunks that another media lends."""
@@ -187,9 +211,9 @@ def write_store(docs: DataFrame, shared: DataFrame, to: str, dictionary: bytes,
             lent = [x or [] for x in b.column(5).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, kind) for x in (held, blobs, lent, missing))], ["media", "recipe", "held", "blobs", "lent", "missing"])
 
-    each = docs.select(text).mapInArrow(run, "media binary, recipe binary, held array<binary>, blobs array<binary>")
-    once = each.groupBy("media").agg(*(F.first(c).alias(c) for c in ("recipe", "held", "blobs")))
-    once.join(shared, "media", "left").select("media", "recipe", "held", "blobs", "missing", "lent").mapInArrow(keep, STORE).write.option("compression", "none").parquet(to)
+    once = press(True).groupBy("media").agg(*(F.first(c).alias(c) for c in ("recipe", "held", "blobs")))
+    gathered = once.join(shared, "media", "left").select("media", "recipe", "held", "blobs", "missing", "lent").mapInArrow(keep, STORE)
+    press(False).unionByName(gathered).write.option("compression", "none").parquet(to)
 
 
 def read_store(spark, at: str, dictionary: bytes) -> DataFrame:
@@ -241,8 +265,10 @@ def store_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Write the media of ``docs``; (the media column: doc_id, n_bytes, media; the store's path; its dictionary)."""
     spark = docs.sparkSession
     column, _ = C.stage(recipes(docs, doc_id, text), "media-column")
+    shared, _ = C.stage(sharing(column), "media-sharing")
     dictionary, to = train_dictionary(docs, text), C.new_path(spark, "media-store")
-    write_store(docs, sharing(column), to, dictionary, text)
+    C.release_shuffles(spark)
+    write_store(docs, shared, involved(column, shared), to, dictionary, text)
     return column.select("doc_id", "n_bytes", "media"), to, dictionary
 
 
