@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .decontaminate import words
+from .decontaminate import _WORDS, words
 
 K, BANDS, ROWS = 120, 24, 5
+#: Coordinates of the longer signatures that judge candidates, a byte of each.
+LONG = 480
 SHINGLE = 5
 SIMILARITY = 0.8
 ROUNDS = 3
@@ -130,7 +132,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` less ``text``, with cid (the set's name), sig (binary: a byte of each coordinate) and bands (array<long>)."""
+    """``docs`` less ``text``, with cid (the set's name) and bands (array<long>: the keys of its buckets)."""
     others = [c for c in docs.columns if c != text]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
 
@@ -138,16 +140,14 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
         shingle = Shingler()
         for b in (y for x in it for y in C.batches([x], 4 << 20)):
             sets = [np.unique(shingle(x)) for x in C.utf8(b.column(0))]
-            sigs = signatures(sets)
-            keys = band_keys(sigs)
-            new = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.astype(np.uint8).tobytes() for s in sigs >> np.uint64(8)], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *new], names=[*others, "cid", "sig", "bands"])
+            new = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array(list(band_keys(signatures(sets))), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *new], names=[*others, "cid", "bands"])
 
-    return docs.select(text, *others).mapInArrow(run, kinds + ", cid long, sig binary, bands array<long>")
+    return docs.select(text, *others).mapInArrow(run, kinds + ", cid long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """(cid, sig, shingles: the ascending lower halves of the set's hashes) for the wanted (cid, sig)."""
+    """(cid, sig: a byte of each of LONG coordinates, shingles: the ascending lower halves of the set's hashes) for the wanted cid."""
     shared = C.bloom(wanted.select("cid"), n)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,31 +162,31 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text")
                     keep.append(k)
             if len(seen) > 200_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([np.unique(sets[k].astype("<u4")).tobytes() for k in keep], pa.binary())], ["cid", "shingles"])
+            own = [sets[k] for k in keep]
+            sigs = (signatures(own, k=LONG) >> np.uint64(8)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([np.unique(s.astype("<u4")).tobytes() for s in own], pa.binary())], ["cid", "sig", "shingles"])
 
-    found = docs.select(text).mapInArrow(run, "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
-    return wanted.select("cid", "sig").join(found, "cid")
-
-
-def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) whose signatures may belong to sets of the wanted similarity (five deviations below it, or more)."""
-    return _agreeing(pairs.join(sets.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb"))
+    found = docs.select(text).mapInArrow(run, "cid long, sig binary, shingles binary").groupBy("cid").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
+    return wanted.select("cid").join(found, "cid")
 
 
 def least_agreement() -> int:
-    return int(K * SIMILARITY - 5 * math.sqrt(K * SIMILARITY * (1 - SIMILARITY)))
+    """Of LONG coordinates, how many agree at least for sets of the wanted similarity: five deviations below the mean."""
+    return int(LONG * SIMILARITY - 5 * math.sqrt(LONG * SIMILARITY * (1 - SIMILARITY)))
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) whose long signatures may belong to sets of the wanted similarity."""
     least = least_agreement()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, K) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, LONG) for k in (2, 3))
             ok = pa.array((x == y).sum(1) >= least)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    one, two = (sets.select(F.col("cid").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -228,13 +228,13 @@ def components(edges: DataFrame) -> DataFrame:
 def link_sets(docs: DataFrame, sketched: DataFrame, text: str = "text") -> DataFrame:
     """(cid, root) for the sets that have links to others; ``sketched``: the sketches of ``docs``."""
     spark = docs.sparkSession
-    each = sketched.groupBy("cid").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    rows = each.select("cid", "sig", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members, _ = C.stage(rows.join(shared, "key").select("key", "cid", "sig", "n"), "buckets")
-    wanted, _ = C.stage(members.groupBy("cid").agg(F.first("sig").alias("sig")), "wanted")
+    each = sketched.groupBy("cid").agg(F.first("bands").alias("bands"))
+    rows = each.select("cid", "bands", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members, _ = C.stage(rows.join(shared, "key").select("key", "band", "cid", "bands"), "buckets")
+    wanted, _ = C.stage(members.select("cid").distinct(), "wanted")
     sets, _ = C.stage(shingle_sets(docs, wanted, wanted.count(), text), "shingle-sets", "none")
-    buckets = members.select("key", "cid", "n")
+    buckets = members.select("key", "cid")
     root = None
     for k in range(ROUNDS):
         turn = F.lit(int(C.mix64(np.array([k], np.uint64), 77).view(np.int64)[0]))
@@ -244,7 +244,7 @@ def link_sets(docs: DataFrame, sketched: DataFrame, text: str = "text") -> DataF
         pairs = _with_root(pairs.withColumnRenamed("a", "cid"), root, "ra").where("ra <> rb").select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
         root = _merge(verified(likely(pairs, sets), sets), root)
         C.release_shuffles(spark)
-    return _merge(verified(_rest(buckets, root, sets), sets), root)
+    return _merge(verified(_rest(members, root, sets), sets), root)
 
 
 def _with_root(rows: DataFrame, root: DataFrame | None, name: str = "root") -> DataFrame:
@@ -259,32 +259,37 @@ def _merge(links: DataFrame, root: DataFrame | None) -> DataFrame:
     return components(links)
 
 
-def _rest(buckets: DataFrame, root: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components that still share a bucket and may be similar: found within blocks of signatures."""
-    now = _with_root(buckets, root)
+def _rest(members: DataFrame, root: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components that still share a bucket and may be similar, each once: found within blocks of signatures."""
+    now = _with_root(members, root)
     mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
-    now = now.select("key", "cid", "root").join(mixed, "key")
+    now, _ = C.stage(now.join(mixed, "key"), "mixed")
     sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+    main, _ = C.stage(sizes.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main")), "main")
     now = now.join(main, "key").join(sets.select("cid", "sig"), "cid")
     now, _ = C.stage(now.withColumn("block", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / BLOCK)).cast("int")).withColumn("light", F.col("root") != F.col("main")), "mixed")
-    pack = [F.collect_list(F.struct("cid", "root", "sig")).alias("rows")]
-    every = now.groupBy("key", "block").agg(*pack)
-    light = now.where("light").groupBy("key", "block").agg(*pack).select("key", F.col("block").alias("other"), F.col("rows").alias("lights"))
+    pack = F.collect_list(F.struct("cid", "root", "sig", "bands"))
+    every = now.groupBy("key", "block").agg(pack.alias("rows"))
+    light = now.where("light").groupBy("key", "block").agg(F.first("band").alias("band"), F.first("main").alias("main"), pack.alias("lights")).drop("block")
     least = least_agreement()
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for one, two in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x, y = (np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(-1, K) for rows in (one, two))
+            for band, main, one, two in zip(*(b.column(k).to_pylist() for k in range(4))):
+                x, y = (np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(-1, LONG) for rows in (one, two))
                 cx, cy, rx, ry = (np.array([r[c] for r in rows], np.int64) for c in ("cid", "root") for rows in (one, two))
-                found = []
+                bx, by = (np.array([r["bands"][:band] for r in rows], np.int64).reshape(len(rows), -1) for rows in (one, two))
+                out_a, out_b = [], []
                 for k in range(len(x)):
-                    ok = np.flatnonzero(((x[k] == y).sum(1) >= least) & (ry != rx[k]))
-                    found += [(min(cx[k], c), max(cx[k], c)) for c in cy[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array([int(f[0]) for f in found], pa.int64()), pa.array([int(f[1]) for f in found], pa.int64())], ["a", "b"])
+                    # two light members meet twice, and those of an earlier common bucket have met there
+                    new = (ry != rx[k]) & ((ry == main) | (cy > cx[k])) & ~(by == bx[k]).any(1)
+                    at = np.flatnonzero(new)
+                    at = at[(x[k] == y[at]).sum(1) >= least]
+                    out_a.append(np.minimum(cx[k], cy[at]))
+                    out_b.append(np.maximum(cx[k], cy[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    return light.join(every, "key").select("lights", "rows").mapInArrow(meet, "a long, b long").distinct()
+    return light.join(every, "key").select("band", "main", "lights", "rows").mapInArrow(meet, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -292,13 +297,14 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     sketched, _ = C.stage(sketches(docs, text), "sketches")
     C.release_shuffles(docs.sparkSession)
     root = link_sets(docs, sketched, text)
-    return _with_root(sketched.drop("sig", "bands"), root).drop("cid")
+    return _with_root(sketched.drop("bands"), root).drop("cid")
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) and class_size for every row."""
     rows = classes(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    named = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    rows, _ = C.stage(rows, "classes")
+    named, _ = C.stage(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "class-names")
     return rows.join(named, "root").select("doc_id", "class_id", "class_size")
 
 
@@ -307,7 +313,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     table of equal ones. Rows are known by their place in the table, so ``docs`` must be a plain read (or a staged table)."""
     rows = docs.withColumn("_rid", F.monotonically_increasing_id())
     found, _ = C.stage(classes(rows.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), "_rid")), "classes")
-    best = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid"))["_rid"].alias("stays")).where("n > 1")
+    best, _ = C.stage(found.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid"))["_rid"].alias("stays")).where("n > 1"), "class-heads")
     gone, _ = C.stage(found.join(best, "root").where("_rid <> stays").select("_rid"), "copies")
     shared = C.bloom(gone, gone.count())
 
@@ -317,3 +323,17 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     flagged = rows.withColumn("_maybe", maybe("_rid"))
     return flagged.where(~F.col("_maybe")).unionByName(flagged.where("_maybe").join(gone, "_rid", "left_anti")).drop("_rid", "_maybe").select(*(f"`{c}`" for c in docs.columns))
+
+
+OP2_SQL = f"""
+with recursive d as (select row_number() over () as rid, doc_id, coalesce({_WORDS}, []) as ws from documents),
+s as (select distinct rid, sh from (select rid, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+      else list_transform(range(1, len(ws) - 3), lambda k: array_to_string(list_slice(ws, k, k + 4), ' ')) end) as sh from d)),
+n as (select rid, count(*) as c from s group by rid),
+p as (select a.rid as x, b.rid as y, count(*) as same from s a join s b on a.sh = b.sh and a.rid <> b.rid group by a.rid, b.rid),
+l as (select x, y from p join n a on x = a.rid join n b on y = b.rid where same >= 0.8 * (a.c + b.c - same) - 1e-9
+      union select a.rid, b.rid from d a, (select min(rid) as rid from d where len(ws) = 0) b where len(a.ws) = 0
+      union select b.rid, a.rid from d a, (select min(rid) as rid from d where len(ws) = 0) b where len(a.ws) = 0),
+r(x, y) as (select rid, rid from d union select r.x, l.y from r join l on r.y = l.x)
+select any_value(a.doc_id) as doc_id, min(b.doc_id) as class_id, count(*) as class_size from r join d a on r.x = a.rid join d b on r.y = b.rid group by r.x
+"""

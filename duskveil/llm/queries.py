@@ -24,5 +24,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    found = {"op7_line_dedup": line_mphf.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+    found = {"op2_near_dedup": dart_minhash.OP2_SQL, "op5_suffix_dedup": suffix_family.OP5_SQL, "op7_line_dedup": line_mphf.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
