@@ -4,7 +4,7 @@ Features of a text are the presence of hashed words, stems (a word's first five
 pairs that skip one or two words. Weights are learned by FTRL-proximal: learning rates for each coordinate, L1 for sparsity; the weights that
 are not zero are broadcast (at most ``2**bits`` of them).
 
-The fit takes a bounded sample of labelled rows: the ``max_rows`` rows with the smallest hash of doc_id, each with at
+The fit takes a bounded sample of labelled rows: the ``max_rows`` labels with the smallest hash of doc_id, each text with at
 most ``2**bits`` distinct features. Scores cover every whole text.
 
 Defined results: a null or empty text has the bias alone; rows without label, or with a null label, teach nothing; a
@@ -14,6 +14,7 @@ label teaches once; extra columns stay, but for one named _score.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,10 @@ class Featurizer:
 
     def __call__(self, raw: bytes) -> np.ndarray:
         """The distinct feature indices of a text, ascending."""
+        return np.unique(self.occurrences(raw))
+
+    def occurrences(self, raw: bytes) -> np.ndarray:
+        """The index of each occurrence of a feature."""
         ws = raw.translate(LETTERS).split()
         if not ws:
             return np.zeros(0, np.int64)
@@ -63,7 +68,7 @@ class Featurizer:
         for seed, gap in ((1, 1), (2, 2), (3, 3)):  # next words, then skip-grams over one and two words
             parts.append((h[:-gap] * m + h[gap:] + np.uint64(seed)) * np.uint64(C.MIX1))
         parts.append(((h[:-2] * m + h[1:-1]) * m + h[2:] + np.uint64(4)) * np.uint64(C.MIX2))
-        return np.unique(np.concatenate(parts) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (np.concatenate(parts) >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
 def packed(at: np.ndarray) -> bytes:
@@ -110,10 +115,12 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = 2, positive: float = 4.0) -> Model:
-    """Fit on a bounded sample of ``labelled`` (rows with ``text``, ``label`` 0 or 1, and ``doc_id``); a row of label 1
-    counts ``positive`` times, as such rows are few."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.xxhash64(F.col(doc_id).cast("string")).alias("k"), F.xxhash64(text).alias("t"), F.col(label).cast("int").alias("y"), F.col(text).alias("text"))
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = 2, positive: float = 4.0) -> Model:
+    """Fit on a bounded sample of ``labels`` (``doc_id``, ``label`` 0 or 1) and the texts of ``docs``; a row of label 1
+    counts ``positive`` times, as such rows are few. The sample is drawn from the labels, so that no text is shuffled: its ids are broadcast."""
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).dropna()
+    picked = known.select("id", "y", F.xxhash64(F.col("id").cast("string")).alias("k")).distinct().orderBy("k", "id", "y").limit(max_rows)
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").select("k", F.xxhash64("text").alias("t"), "y", "text")
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Featurizer(bits)
@@ -121,12 +128,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: s
             at = [packed(f(x)) for x in C.utf8(b.column(3))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(at, pa.binary())], ["k", "t", "y", "at"])
 
-    near = rows.select("k", "t").orderBy("k", "t").limit(max_rows).agg(F.max(F.struct("k", "t"))).first()[0]
-    if near is None:
+    sample = rows.mapInArrow(features, "k long, t long, y int, at binary").dropDuplicates(["k", "t", "y"])
+    ready, path = C.stage(sample, "labelled-features", "none")
+    got = heapq.nsmallest(max_rows, ((r["k"], r["t"], r["y"], r["at"]) for r in ready.toLocalIterator()))
+    C.drop_path(ready.sparkSession, path)
+    if not got:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, False, bits)
     model = Ftrl(1 << bits)
-    sample = rows.where(F.struct("k", "t") <= F.struct(F.lit(near["k"]).alias("k"), F.lit(near["t"]).alias("t"))).dropDuplicates(["k", "t", "y"])
-    got = sorted((r["k"], r["t"], r["y"], r["at"]) for r in sample.mapInArrow(features, "k long, t long, y int, at binary").toLocalIterator())[:max_rows]
     for epoch in range(epochs):
         order = np.random.default_rng(epoch).permutation(len(got))
         for k in order:
@@ -146,8 +154,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         f, w = Featurizer(m.bits), m.dense()
+        heavy = w != 0
         for b in it:
-            z = np.array([m.bias + w[f(x)].sum() for x in C.utf8(b.column(at))])
+            found = (f.occurrences(x) for x in C.utf8(b.column(at)))
+            z = np.array([m.bias + w[np.unique(x[heavy[x]])].sum() for x in found])
             p = 1 / (1 + np.exp(-np.clip(z, -35, 35))) if m.known else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "_score"])
 
@@ -156,8 +166,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def fit_documents(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled documents that are not held out (crc32 of doc_id as text, mod 5, is not 0)."""
-    known = labels.where(C.in_train()).select("doc_id", "toxic")
-    return fit(known.join(docs.select("doc_id", "text"), "doc_id"))
+    return fit(docs, labels.where(C.in_train()))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
