@@ -36,8 +36,11 @@ def test_same_rows(spark, duck, name):
 
 
 def test_limited_audit(spark):
-    got = {r["path"]: r["n"] for r in registry.queries()["audit_limited"](spark, SF).collect()}
-    assert got["rate_limit_exceeded"] >= 0 and got["json_masked"] > 0
+    from duskveil.operators.ratelimit import RateLimiter, limited_events
+
+    events = spark.createDataFrame([("json_masked", k, k) for k in range(10)] + [("user.email", 5, 20)], "path string, s long, seq long")
+    got = Counter(r["path"] for r in limited_events(events, RateLimiter(3, 60), "s", "seq").collect())
+    assert got == {"json_masked": 3, "rate_limit_exceeded": 1, "user.email": 1}
 
 
 def test_entry_without_llm(monkeypatch):
