@@ -1,14 +1,17 @@
-"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, broadcast and probed for smoothed probabilities.
+"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, probed for smoothed probabilities.
 
 Tokens are runs of bytes other than ASCII white space, A-Z lower-cased, then one end. Words and word pairs are counted
 over all training texts: each task counts what it has and deals sorted, packed counts to hash buckets; a bucket sums
 them exactly. A bucket then writes its own segment of the filter: a count of level q (thresholds 1, 2, 3, 4, 6, 8, 11, 16, ...)
 sets the bits of (n-gram, 1) to (n-gram, q). A probe asks for level 1, 2, ... until one is missing.
 
-The filter takes at most ``max_bytes``. It holds all counts while they fit; beyond that, the smallest count that a pair (then
-a word) needs to be held is doubled until the rest fits, as pruned n-gram models do, and what is left out backs off.
-P(w|v) = (c(v w) + mu P(w)) / (c(v) + mu), with P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)); mu is the best of a grid for a
-bounded sample of training texts, each left out of its own counts.
+A segment is sized from the entries of its bucket and holds all of them, at every size of input. The filter is never in one
+place: texts are taken in chunks of about ``CHUNK`` tokens, the distinct n-grams of a chunk go to their buckets, where the
+segments are probed, and the levels come back to the chunk. The number of buckets grows with the input.
+
+P(w|v) = (c(v w) + mu P(w)) / (c(v) + mu), with P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)); mu is the best of a grid for all
+training texts, each left out of its own counts. A token's probability follows from three levels, so numbers of tokens by
+levels are all that the choice of mu needs.
 
 Exact word counts (for the base score) are not in the filter: the ``HOT`` most frequent words are broadcast, all others
 are joined.
@@ -28,17 +31,16 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-MAX_BYTES = 32 << 20
 HASHES = 6
 HOT = 1 << 19
-SAMPLE = 2000
 END = 0x5E5E5E5E5E5E5E5F
 FLUSH = 3_000_000
+CHUNK = 1_500_000
 MEMO = 400_000
 MUS = np.array([4.0**k for k in range(-1, 14)])
 #: The smallest count of each level, made by rule.
@@ -46,6 +48,7 @@ LEVELS = np.unique(np.round(2.0 ** (np.arange(0, 80) / 2)).astype(np.int64))
 #: What a level stands for: the geometric mean of its smallest and largest count; 0 for no level.
 VALUES = np.concatenate([[0.0], np.sqrt(LEVELS * (np.append(LEVELS[1:], LEVELS[-1] * 2) - 1.0))])
 VALUES[1] = 1.0
+WAYS = len(LEVELS) + 1
 PAIR_BITS = np.uint64(16)  # pairs keep the upper 48 bits of their hash
 
 
@@ -109,7 +112,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def count_ngrams(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """A row for each bucket: words and pairs (packed), n (tokens), hist and pair_hist (numbers of n-grams by count)."""
+    """A row for each bucket: words (packed), n (tokens), hist (numbers of words by count), and its segment of the filter."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, held, size = Tokens(), [], 0
@@ -134,16 +137,21 @@ def count_ngrams(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             yield flush()
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {"bucket": [int(key[0])]}
-        for kind, name, hist in ((1, "words", "hist"), (2, "pairs", "pair_hist")):
+        packed, entries = {}, 0
+        for kind in (1, 2):
             parts = [unpack(x) for x in pdf.loc[pdf["kind"] == kind, "packed"]] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))]
             keys, n = summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-            out[name], out[hist] = [pack(keys, n)], [np.bincount(np.minimum(n, 4095), minlength=4096).astype("<i8").tobytes()]
+            packed[kind], entries = pack(keys, n), entries + int(level(n).sum())
             if kind == 1:
-                out["n"] = [int(n.sum())]
-        return pd.DataFrame(out)[["bucket", "words", "hist", "n", "pairs", "pair_hist"]]
+                hist, total = np.bincount(np.minimum(n, 4095), minlength=4096).astype("<i8").tobytes(), int(n.sum())
+        return pd.DataFrame({"bucket": [int(key[0])], "words": [packed[1]], "hist": [hist], "n": [total], "segment": [segment(packed[1], packed[2], (1, 1), bits_for(entries))]})
+
+    return docs.select(text).mapInArrow(count, "kind int, bucket int, packed binary").groupBy("bucket").applyInPandas(add, "bucket int, words binary, hist binary, n long, segment binary")
+
 
-    return docs.select(text).mapInArrow(count, "kind int, bucket int, packed binary").groupBy("bucket").applyInPandas(add, "bucket int, words binary, hist binary, n long, pairs binary, pair_hist binary")
+def bits_for(entries: int) -> int:
+    """The bits of a segment that holds so many entries."""
+    return (math.ceil(entries * HASHES / math.log(2)) + 512) // 8 * 8
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -173,7 +181,7 @@ def segment(words: bytes, pairs: bytes, least: tuple[int, int], bits: int) -> by
 
 @dataclass
 class Filter:
-    """The whole filter; all segments have ``bits`` bits."""
+    """Segments of the filter, with ``bits`` bits each; a segment that is probed in its bucket stands alone."""
 
     raw: np.ndarray
     buckets: int
@@ -198,37 +206,31 @@ class Filter:
             out[left] = j
         return out
 
-    def counts(self, keys: np.ndarray, salt: int) -> np.ndarray:
-        own, back = np.unique(keys, return_inverse=True)
-        return VALUES[self.levels(own, salt)][back]
-
 
 @dataclass
 class Model:
-    filter: Filter
+    buckets: int
     n: int
     v: int
-    least: tuple[int, int]
     hot_keys: np.ndarray  # the most frequent words, ascending by hash, with exact counts
     hot_counts: np.ndarray
     mu: float = 1.0
 
-    def parts(self, h: np.ndarray, out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: c(v w), c(v), P(w). ``out``: what the text itself adds to each count."""
-        own = np.maximum(self.filter.counts(h, 0) - out, 0.0)
-        first = np.maximum(self.filter.counts(np.array([END], np.uint64), 0) - out, 0.0)
-        before = np.concatenate([first, own[:-1]])
-        both = np.minimum(np.maximum(self.filter.counts(pair_keys(h), 1) - out, 0.0), before)
-        return both, before, (own + 0.5) / (self.n + 0.5 * (self.v + 1))
+    def log10(self, codes: np.ndarray, mu: float, out: int = 0) -> np.ndarray:
+        """The log probability of tokens by their codes (see ``codes_of``). ``out``: what the text itself adds to each count."""
+        both, before, own = (np.maximum(VALUES[x] - out, 0.0) for x in (codes // WAYS**2, codes // WAYS % WAYS, codes % WAYS))
+        p = (own + 0.5) / (self.n + 0.5 * (self.v + 1))
+        return np.log10((np.minimum(both, before) + mu * p) / (before + mu))
+
 
-    def log10(self, h: np.ndarray, mu: float | None = None) -> np.ndarray:
-        both, before, p = self.parts(h)
-        mu = mu or self.mu
-        return np.log10((both + mu * p) / (before + mu))
+def codes_of(both: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """One number for the levels of a pair, of its first word and of its second."""
+    return (both.astype(np.int64) * WAYS + before) * WAYS + own
 
 
 def choose_least(hist: np.ndarray, pair_hist: np.ndarray, budget: int) -> tuple[tuple[int, int], int]:
-    """The smallest counts to hold (of words, of pairs) so that the entries fit the budget; and the entries."""
+    """The smallest counts to hold (of words, of pairs) so that the entries fit the budget; and the entries. For callers
+    with a budget: ``train`` has none and holds all counts."""
     q = level(np.arange(4096))
     size = lambda x, n: int((x * q)[n:].sum())  # noqa: E731  counts from 4095 on: see below
     least = (1, 1)
@@ -238,90 +240,163 @@ def choose_least(hist: np.ndarray, pair_hist: np.ndarray, budget: int) -> tuple[
     return least, n
 
 
-def train(docs: DataFrame, text: str = "text", max_bytes: int = MAX_BYTES, sample: DataFrame | None = None) -> tuple[Model, DataFrame]:
-    """A model of ``docs``, and the counts it was made from (a row for each bucket). ``sample``: texts that mu is fit to."""
+def train(docs: DataFrame, text: str = "text", sample: DataFrame | None = None) -> tuple[Model, DataFrame]:
+    """A model of ``docs``, and the counts and segments it was made from (a row for each bucket). ``sample``: texts that mu is fit to."""
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
     counts, _ = C.stage(count_ngrams(docs, text, buckets), "ngram-counts", "none")
-    heads = counts.select("bucket", "hist", "pair_hist", "n").toLocalIterator()  # 64 kB for each bucket, one at a time
-    hist, pair_hist, n = np.zeros(4096, np.int64), np.zeros(4096, np.int64), 0
-    for r in heads:
+    hist, n = np.zeros(4096, np.int64), 0
+    for r in counts.select("hist", "n").toLocalIterator():  # 32 kB for each bucket, one at a time
         hist += np.frombuffer(r["hist"], "<i8")
-        pair_hist += np.frombuffer(r["pair_hist"], "<i8")
         n += r["n"]
-    most_bits = max_bytes * 8
-    least, entries = choose_least(hist, pair_hist, int(most_bits * math.log(2) / HASHES))
-    bits = min(most_bits // buckets, math.ceil(max(entries, 1) * HASHES / math.log(2) / buckets) + 512) // 8 * 8
     above = np.cumsum(hist[::-1])[::-1]  # words with at least that count
     hot_from = int(np.argmax(above <= HOT)) if above[-1] <= HOT else 4096  # more than HOT words of 4095 and more: all are joined
     hot_from = max(hot_from, 1)
 
-    def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frequent(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for r in b.to_pylist():
                 keys, n = unpack(r["words"])
                 hot = n >= hot_from if hot_from < 4096 else np.zeros(len(n), bool)
-                yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([segment(r["words"], r["pairs"], least, bits)], pa.binary()), pa.array([pack(keys[hot], n[hot])], pa.binary())], ["bucket", "segment", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([pack(keys[hot], n[hot])], pa.binary())], ["bucket", "hot"])
 
-    raw, hot = np.zeros(buckets * bits // 8, np.uint8), {}
-    for r in counts.select("bucket", "words", "pairs").mapInArrow(build, "bucket int, segment binary, hot binary").toLocalIterator():
-        raw[r["bucket"] * bits // 8 : (r["bucket"] + 1) * bits // 8] = np.frombuffer(r["segment"], np.uint8)
-        hot[r["bucket"]] = unpack(r["hot"])
+    hot = {r["bucket"]: unpack(r["hot"]) for r in counts.select("bucket", "words").mapInArrow(frequent, "bucket int, hot binary").toLocalIterator()}
     empty = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))]
     parts = [hot[b] for b in sorted(hot)] or empty  # buckets are ranges of hashes: in order
-    model = Model(Filter(raw, buckets, bits), n, int(hist.sum()), least, np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+    model = Model(buckets, n, int(hist.sum()), np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
     if sample is not None:
-        model.mu = fit_mu(sample, model, text)
+        rows = sample.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(True).alias("fit"))
+        model.mu = fit_mu(probe(rows, model, counts, MUS[:0]), model)
     return model, counts
 
 
-def fit_mu(sample: DataFrame, model: Model, text: str = "text") -> float:
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+def fit_mu(probed: DataFrame, model: Model) -> float:
+    """The mu of the grid under which the texts marked for the fit are most probable, each left out of its own counts."""
+    cells = probed.where(F.col("codes").isNotNull()).select(F.explode(F.arrays_zip("codes", "code_n")).alias("x"))
+    got = cells.groupBy(F.col("x.codes").alias("code")).agg(F.sum("x.code_n").alias("n")).orderBy("code").collect()  # WAYS**3 rows at most
+    if not got:
+        return 1.0
+    codes, n = np.array([r["code"] for r in got]), np.array([r["n"] for r in got])
+    total = [float((model.log10(codes, mu, out=1) * n).sum()) for mu in MUS]
+    return float(MUS[int(np.argmax(total))])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, tokens, total = shared.value, Tokens(), np.zeros(len(MUS))
-        for b in (y for x in it for y in C.batches([x], 4 << 20)):
-            both, before, p = m.parts(tokens(C.utf8(b.column(0)))[0], out=1)
-            total += [np.log10((both + mu * p) / (before + mu)).sum() for mu in MUS]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(MUS))), pa.array(total)], ["k", "x"])
 
-    got = {r["k"]: r["x"] for r in sample.select(text).mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()}
-    return float(MUS[max(got, key=lambda k: (got[k], -k))]) if got else 1.0
+def probe(docs: DataFrame, model: Model, counts: DataFrame, mus: np.ndarray) -> DataFrame:
+    """For every row of ``docs`` (doc_id, text, fit): rid, doc_id, n_tokens, hot (tokens among the frequent words) and base (their
+    score), scores (for each of ``mus``), cold and cold_n (the other words). The first row of a chunk has codes and code_n, the
+    numbers of tokens of its ``fit`` texts by levels."""
+    spark, buckets = docs.sparkSession, model.buckets
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast(model)
 
+    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, held, size = Tokens(), [], 0
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    log_all = math.log10(model.n + 0.5 * (model.v + 1))
+        def flush():
+            rids, ids = (pa.concat_arrays([x[k] for x in held]) for k in (0, 1))
+            fit, sizes, h = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
+            chunk = rids[0].as_py()
+            words, at = np.unique(h, return_inverse=True)
+            pairs = np.unique(pair_keys(h))
+            cuts = [np.searchsorted(bucket_of(x, buckets), np.arange(buckets + 1)) for x in (words, pairs)]
+            none = np.zeros(len(h), np.uint32)  # only the keys matter
+            own = [b for b in range(buckets) if any(c[b] < c[b + 1] for c in cuts)]
+            asked = [[pack(x[c[b] : c[b + 1]], none[c[b] : c[b + 1]]) for b in own] for x, c in zip((words, pairs), cuts)]
+            body = [words.tobytes(), zstandard.ZstdCompressor(level=1).compress(at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())]
+            n = len(own)
+            flat = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x), *[len(x)] * n], pa.int32()), x)
+            no = [None] * n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * (n + 1)), pa.array([None, *own], pa.int32()), pa.array([body[0], *asked[0]], pa.binary()), pa.array([body[1], *asked[1]], pa.binary()), flat(rids), flat(ids), pa.array([fit.tobytes(), *no], pa.binary()), pa.array([sizes.astype("<i8").tobytes(), *no], pa.binary())],
+                ["chunk", "bucket", "words", "pairs", "rids", "ids", "fit", "sizes"],
+            )
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, tokens = shared.value, Tokens()
         for b in (y for x in it for y in C.batches([x], 4 << 20)):
             h, sizes = tokens(C.utf8(b.column(2)))
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            at = np.minimum(np.searchsorted(m.hot_keys, h), max(0, len(m.hot_keys) - 1))
-            hot = m.hot_keys[at] == h if len(m.hot_keys) else np.zeros(len(h), bool)
-            base = np.zeros(len(h))
-            base[hot] = np.log10(m.hot_counts[at[hot]] + 0.5) - log_all
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            cold, cold_n = [], []
-            rest, of = h[~hot], doc[~hot]
-            bounds = np.searchsorted(of, np.arange(len(sizes) + 1))
-            for x, y in zip(bounds, bounds[1:]):
-                k, n = np.unique(rest[x:y], return_counts=True)
-                cold.append(k.view(np.int64))
-                cold_n.append(n)
-            flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else [], kind))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes), pa.array(np.add.reduceat(hot.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(m.log10(h), starts)), flat(cold, pa.int64()), flat(cold_n, pa.int64())],
-                ["rid", "doc_id", "n_tokens", "hot", "base", "score", "cold", "cold_n"],
-            )
+            held.append((b.column(0), b.column(1), b.column(3).to_numpy(zero_copy_only=False).astype(bool), sizes, h))
+            size += len(h)
+            if size >= CHUNK:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        raw = np.frombuffer(held["segment"][0].as_py(), np.uint8) if held.num_rows else np.zeros(0, np.uint8)
+        segment_of, out = Filter(raw, 1, 8 * len(raw)), []
+        for salt, name in enumerate(("words", "pairs")):
+            keys, levels = [unpack(x)[0] for x in asked[name].to_pylist()], []
+            for some in C.chunks(keys, 500_000, len):
+                got = segment_of.levels(np.concatenate(some), salt).astype(np.uint8).tobytes()
+                ends = np.cumsum([len(x) for x in some]).tolist()
+                levels += [got[x:y] for x, y in zip([0, *ends], ends)]
+            out.append(pa.array(levels, pa.binary()))
+        return pa.table([asked["chunk"], asked["bucket"], *out], ["chunk", "bucket", "words", "pairs"])
+
+    def gather(key: tuple, body: pa.Table, answers: pa.Table) -> pa.Table:
+        m = shared.value
+        log_all = math.log10(m.n + 0.5 * (m.v + 1))
+        rids, ids = (body[k].combine_chunks().flatten() for k in ("rids", "ids"))
+        fit, sizes = np.frombuffer(body["fit"][0].as_py(), bool), np.frombuffer(body["sizes"][0].as_py(), "<i8")
+        words = np.frombuffer(body["words"][0].as_py(), np.uint64)
+        raw = zstandard.ZstdDecompressor().decompress(body["pairs"][0].as_py())
+        at = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+        h = words[at]
+        answers = answers.sort_by("bucket")  # buckets are ranges of hashes: in order
+        of_word, of_pair = (np.frombuffer(b"".join(answers[k].to_pylist()), np.uint8) for k in ("words", "pairs"))
+        own = of_word[at]
+        end = of_word[np.searchsorted(words, np.uint64(END))]
+        codes = codes_of(of_pair[np.unique(pair_keys(h), return_inverse=True)[1]], np.concatenate([[end], own[:-1]]), own)
+        distinct, codes = np.unique(codes, return_inverse=True)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        scores = np.array([np.add.reduceat(m.log10(distinct, mu)[codes], starts) for mu in mus]).reshape(len(mus), len(sizes))
+        cells = np.bincount(codes[np.repeat(fit, sizes)], minlength=len(distinct))
+        known = np.minimum(np.searchsorted(m.hot_keys, words), max(0, len(m.hot_keys) - 1))
+        hot_word = m.hot_keys[known] == words if len(m.hot_keys) else np.zeros(len(words), bool)
+        base_word = np.zeros(len(words))
+        base_word[hot_word] = np.log10(m.hot_counts[known[hot_word]] + 0.5) - log_all
+        hot, base = hot_word[at], base_word[at]
+        cold, cold_n = [], []
+        bounds = np.concatenate([[0], np.cumsum(~hot)])[np.concatenate([[0], ends])]
+        rest = h[~hot]
+        for x, y in zip(bounds, bounds[1:]):
+            k, n = np.unique(rest[x:y], return_counts=True)
+            cold.append(k.view(np.int64))
+            cold_n.append(n)
+        flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else [], kind))
+        none = [None] * (len(sizes) - 1)
+        any_fit = bool(fit.any())
+        return pa.table(
+            [rids, ids, pa.array(sizes), pa.array(np.add.reduceat(hot.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), flat(list(scores.T), pa.float64()), flat(cold, pa.int64()), flat(cold_n, pa.int64()),
+             pa.array([distinct[cells > 0] if any_fit else None, *none], pa.list_(pa.int64())), pa.array([cells[cells > 0] if any_fit else None, *none], pa.list_(pa.int64()))],
+            ["rid", "doc_id", "n_tokens", "hot", "base", "scores", "cold", "cold_n", "codes", "code_n"],
+        )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "fit")
+    asked, path = C.stage(rows.mapInArrow(ask, f"chunk long, bucket int, words binary, pairs binary, rids array<long>, ids array<{kind}>, fit binary, sizes binary"), "lm-chunks", "none")
+    asks = asked.where(F.col("bucket").isNotNull()).select("chunk", "bucket", "words", "pairs")
+    answers = asks.groupBy("bucket").cogroup(counts.select("bucket", "segment").groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, words binary, pairs binary")
+    answers, _ = C.stage(answers, "lm-levels")
+    C.release_shuffles(spark)  # of the n-grams asked for, before the chunks are shuffled
+    bodies = asked.where(F.col("bucket").isNull()).drop("bucket")
+    each = bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        gather, f"rid long, doc_id {kind}, n_tokens long, hot long, base double, scores array<double>, cold array<long>, cold_n array<long>, codes array<long>, code_n array<long>"
+    )
+    out, _ = C.stage(each, "lm-scores")
+    C.drop_path(spark, path)
+    C.release_shuffles(spark)
+    return out
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    each, _ = C.stage(rows.mapInArrow(run, f"rid long, doc_id {kind}, n_tokens long, hot long, base double, score double, cold array<long>, cold_n array<long>"), "lm-scores")
+
+def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id", text: str = "text", fit: Column | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row. ``fit``: the rows that mu is fit to on the way."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.lit(False) if fit is None else fit).alias("fit"))
+    each = probe(rows, model, counts, np.array([model.mu]) if fit is None else MUS)
+    if fit is not None:
+        model.mu = fit_mu(each, model)
+    mine = F.col("scores")[0 if fit is None else MUS.tolist().index(model.mu)]
+    log_all = math.log10(model.n + 0.5 * (model.v + 1))
     hot_least = int(model.hot_counts.min()) if len(model.hot_counts) else None
 
     def unroll(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +411,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
     rare = each.select("rid", F.explode(F.arrays_zip("cold", "cold_n")).alias("x")).select("rid", F.col("x.cold").alias("key"), F.col("x.cold_n").alias("k"))
     term = F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5)) - F.lit(log_all))
     joined = rare.join(exact, "key", "left").groupBy("rid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("more_known"), F.sum(term).alias("more_base"))
-    return each.drop("cold", "cold_n").join(joined, "rid", "left").select(
+    return each.select("rid", "doc_id", "n_tokens", "hot", "base", mine.alias("score")).join(joined, "rid", "left").select(
         "doc_id", "n_tokens", (F.col("hot") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
     )
@@ -344,10 +419,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    learn = docs.where(C.in_train(held=1))
-    near = learn.select(F.xxhash64("doc_id").alias("k")).orderBy("k").limit(SAMPLE).agg(F.max("k")).first()[0]
-    sample = learn.where(F.xxhash64("doc_id") <= F.lit(near)) if near is not None else None
-    model, counts = train(learn, sample=sample)
+    model, counts = train(docs.where(C.in_train(held=1)))
     C.release_shuffles(spark)
-    out = score(docs, model, counts)
+    out = score(docs, model, counts, fit=C.in_train(held=1))
     return out.select("doc_id", (C.held_remainder() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

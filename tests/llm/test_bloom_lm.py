@@ -84,3 +84,18 @@ def test_pack(values):
     n = np.array([values[int(k)] for k in keys], np.int64)
     got = X.unpack(X.pack(keys, n))
     assert (got[0] == keys).all() and (got[1] == n).all()
+
+
+def test_no_count_is_left_out(spark):
+    rows = [(k, " ".join(f"w{(k * j) % 97}" for j in range(60)), "en", "s", 0, 0, "") for k in range(60)]
+    model, counts = X.train(cases.table(spark, rows))
+    h, _ = X.Tokens()([r[1].encode() for r in rows])
+    segments = {r["bucket"]: np.frombuffer(r["segment"], np.uint8) for r in counts.select("bucket", "segment").collect()}
+    for salt, stream in enumerate((h, X.pair_keys(h))):
+        keys, n = np.unique(stream, return_counts=True)
+        own = X.bucket_of(keys, model.buckets)
+        for b in np.unique(own).tolist():
+            got = X.Filter(segments[b], 1, 8 * len(segments[b])).levels(keys[own == b], salt)
+            assert (got >= X.level(n[own == b])).all()
+    for entries in (10**3, 10**6, 10**9, 10**10):  # no size at which a segment stops growing
+        assert X.bits_for(entries) >= entries * X.HASHES / math.log(2)
