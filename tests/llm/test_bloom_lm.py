@@ -99,3 +99,23 @@ def test_no_count_is_left_out(spark):
             assert (got >= X.level(n[own == b])).all()
     for entries in (10**3, 10**6, 10**9, 10**10):  # no size at which a segment stops growing
         assert X.bits_for(entries) >= entries * X.HASHES / math.log(2)
+
+
+def test_mu_is_fit_to_all_training_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "SAMPLE", 1, raising=False)  # the bound that the fit once had
+    rng = np.random.default_rng(3)
+    rows = [(k, "one two three four " * 30 if k % 8 else " ".join(f"w{x}" for x in rng.integers(0, 4000, 300)), "en", "s", 0, 0, "") for k in range(200)]
+    seen, real = [], X.fit_mu
+    monkeypatch.setattr(X, "fit_mu", lambda *a: seen.append(real(*a)) or seen[-1])
+    X.op6_lm_score(spark, cases.write(spark, tmp_path, rows)).count()
+    texts = [tokens(t) for d, t, *_ in rows if zlib.crc32(str(d).encode()) % 5 != 1]
+    stream = [(a, b) for x in texts for a, b in zip([None, *x], x)]
+    words, pairs = Counter(b for _, b in stream), Counter(stream)
+    n, v = sum(words.values()), len(words)
+    value = lambda c: max(X.VALUES[X.level(np.array(c))] - 1, 0.0)
+    total = dict.fromkeys(X.MUS.tolist(), 0.0)
+    for (a, b), k in pairs.items():
+        before, p = value(words[a]), (value(words[b]) + 0.5) / (n + 0.5 * (v + 1))
+        for mu in total:
+            total[mu] += k * math.log10((min(value(k), before) + mu * p) / (before + mu))
+    assert seen == [max(total, key=total.get)]
