@@ -8,6 +8,10 @@ depth together. The node where a pre-token ends (its terminal) holds its count.
 pieces' scores; of equal paths, the one whose last piece starts first wins. A character that is no piece scores the
 lowest piece's score less 10, and counts as its UTF-8 bytes under byte fallback, else as one token.
 
+The given model is BPE: its scores are ranks of merges, not log probabilities, so ``n_tokens`` and ``score`` say what the best path
+over those scores has, which is the count of no tokenizer. ``n_model_tokens`` is the model's own count: the same
+pre-tokens encoded by its merges (or by its lattice, for a Unigram model), as op9 does.
+
 A worker remembers terminals, at most about ``TERMINALS`` of them, and then starts anew, which changes no count. Nothing is shuffled.
 
 Defined results: a null or empty text has no tokens and a score of 0; repeated rows are counted each on their own; an empty table
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .sentencepiece_backend import NORMAL, USER_DEFINED, ModelFile, codec_of, model_path
+from .sentencepiece_backend import MEMO, NORMAL, USER_DEFINED, Codec, ModelFile, codec_of, model_path
 
 TERMINALS = 250_000
 #: Pre-tokens of more characters take a path of their own, without shared prefixes.
@@ -148,8 +152,16 @@ class Trie:
         return out
 
 
+def model_counts(codec: Codec, texts: list[list[str]]) -> list[int]:
+    """The number of tokens that the model itself gives for each text's pre-tokens."""
+    if len(codec.memo) > MEMO or not codec.separable:
+        codec.memo.clear()
+    codec._learn(list({x for t in texts for x in t}.difference(codec.memo)))
+    return [sum(len(codec.memo[x]) for x in t) // 4 for t in texts]
+
+
 def token_counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_pretokens long, n_tokens long, score double) for every row."""
+    """(doc_id, n_pretokens long, n_tokens long, score double, n_model_tokens long) for every row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
@@ -157,10 +169,10 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
         for b in (y for x in it for y in C.batches([x], 2 << 20)):
             cut = [codec.segments(codec.normalize(x or "")) for x in b.column(1).to_pylist()]
             got = trie.counts(cut)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in cut], pa.int64()), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "n_pretokens", "n_tokens", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in cut], pa.int64()), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64()), pa.array(model_counts(codec, cut), pa.int64())], ["doc_id", "n_pretokens", "n_tokens", "score", "n_model_tokens"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pretokens long, n_tokens long, score double")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pretokens long, n_tokens long, score double, n_model_tokens long")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:

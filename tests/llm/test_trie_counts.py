@@ -80,3 +80,12 @@ def test_long_and_odd_pretokens():
     for w, got in zip(words, trie.counts([[w] for w in words])):
         score, n = best(w, trie.scores, trie.unknown, True)
         assert got[0] == n and abs(got[1] - score) < 1e-3, w
+
+
+def test_the_models_own_count_is_that_of_sentencepiece(spark):
+    import sentencepiece
+
+    rows = [tuple(r) for r in C.table(spark, cases.SF, "documents").limit(120).select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["n_model_tokens"] for r in X.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), S.model_path()).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=S.model_path())
+    assert got == {d: len(library.encode(t or "")) for d, t in rows}
