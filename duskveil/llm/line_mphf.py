@@ -2,8 +2,8 @@
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased. The document frequency
 of each key is counted over all documents (partial counts in each task, one shuffle of hash and count). The keys
-that reach the threshold are dealt to shards by hash; a shard holds a minimal perfect hash, a 32-bit fingerprint and
-a count for each of its keys. Documents probe these arrays; lines are never joined.
+that reach the threshold are dealt to shards by hash; a shard holds a minimal perfect hash, the whole 64-bit hash and
+a count for each of its keys, so that a rarer line is told apart by all 64 bits. Documents probe these arrays; lines are never joined.
 
 Defined results: a null or empty text is one empty line; an empty key never goes; a key that repeats within one
 document counts once; repeated rows are documents of their own; an empty table gives an empty result; other columns
@@ -93,7 +93,8 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:
-    return (C.mix64(keys, 2002) >> np.uint64(32)).astype(np.uint32)
+    """What tells a shard's keys from others: all bits of the key."""
+    return np.asarray(keys, np.uint64)
 
 
 class Shards:
@@ -101,7 +102,7 @@ class Shards:
 
     def __init__(self, rows: list[tuple[int, bytes, bytes, bytes]], shards: int):
         self.shards = shards
-        self.by = {s: (Mphf.from_bytes(m), np.frombuffer(f, np.uint32), np.frombuffer(c, np.uint32)) for s, m, f, c in rows}
+        self.by = {s: (Mphf.from_bytes(m), np.frombuffer(f, np.uint64), np.frombuffer(c, np.uint32)) for s, m, f, c in rows}
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
@@ -158,7 +159,7 @@ def build_shards(counts: DataFrame, n_keys: int, keys_per_shard: int) -> tuple[D
         keys = pdf["h"].to_numpy().view(np.uint64)
         mphf = Mphf.build(keys)
         at = mphf.index(keys)
-        prints, n = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint32)
+        prints, n = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint32)
         prints[at] = fingerprint(keys)
         n[at] = np.minimum(pdf["n"].to_numpy(), 0xFFFFFFFF)
         return pd.DataFrame({"shard": [key[0]], "mphf": [mphf.to_bytes()], "prints": [prints.tobytes()], "counts": [n.tobytes()]})
@@ -176,7 +177,7 @@ def build_shards(counts: DataFrame, n_keys: int, keys_per_shard: int) -> tuple[D
 def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, keys_per_shard: int = 1_000_000, max_broadcast: int = 64 << 20) -> DataFrame:
     """``docs`` with ``text`` freed of frequent lines, and with _n_lines and _n_dropped (long) after its own columns.
 
-    A broadcast holds at most ``max_broadcast`` bytes of shards (a single shard has about 10 bytes for each of its
+    A broadcast holds at most ``max_broadcast`` bytes of shards (a single shard has about 14 bytes for each of its
     ``keys_per_shard`` keys). Where all shards together are larger, the documents are probed in several rounds, each
     with its own group of shards, and a line goes if any round finds it: results are the same.
     """

@@ -51,3 +51,20 @@ def test_mphf():
         assert sorted(m.index(keys).tolist()) == list(range(n))
         other = m.index(C.mix64(np.arange(n, n + 1000, dtype=np.uint64)))
         assert other.min() >= -1 and other.max() < max(1, n)
+
+
+def test_a_rare_line_that_shares_32_bits_with_a_frequent_one_stays():
+    def unmix(z, seed):
+        back = lambda z, n: z ^ z >> n ^ z >> 2 * n  # noqa: E731  shifts of 22 and more
+        z = back(z, 31) * pow(C.MIX2, -1, 1 << 64) % (1 << 64)
+        z = back(z, 27) * pow(C.MIX1, -1, 1 << 64) % (1 << 64)
+        return (back(z, 30) - (seed + 1) * C.GOLDEN) % (1 << 64)
+
+    key = np.array([12345], np.uint64)
+    mixed = int(C.mix64(key, 2002)[0])
+    others = np.array([unmix(mixed ^ k, 2002) for k in range(1, 20_000)], np.uint64)  # the same upper 32 bits
+    assert (C.mix64(others, 2002) >> np.uint64(32) == np.uint64(mixed >> 32)).all()
+    m = X.Mphf.build(key)
+    assert (m.index(others) == 0).any()
+    shards = X.Shards([(0, m.to_bytes(), X.fingerprint(key).tobytes(), np.array([10], np.uint32).tobytes())], 1)
+    assert shards.counts(key).tolist() == [10] and not shards.counts(others).any()
