@@ -33,6 +33,75 @@ def below(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
+#: The multiplier of word hashes (odd), and its inverse.
+STEP = MIX2
+BACK = pow(MIX2, -1, 1 << 64)
+#: Bytes that are hashed at once, about.
+SPAN = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n - 1), modulo 2**64."""
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, 1 << 64))
+        have += more
+    return out
+
+
+class Words:
+    """Hashes of the words of many texts at once, without a step per word.
+
+    ``letters`` maps each byte to what it counts as in a word; a byte that maps to a blank parts words. A word's hash is the sum of a random
+    number for each byte times a power for its place, from running sums over all bytes, mixed with its length.
+    """
+
+    def __init__(self, letters: bytes, seed: int = 0):
+        self.letters, self.seed = letters, seed
+        self.number = mix64(np.arange(256, dtype=np.uint64), 500 + seed)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(uint64 hashes of all words in order, words of each text)."""
+        data = b" ".join(raws).translate(self.letters)
+        starts = np.cumsum([0, *(len(x) + 1 for x in raws)])
+        hashes, at, low = [], [], 0
+        while low < len(data):
+            high = data.find(b" ", low + SPAN) if low + SPAN < len(data) else -1
+            high = len(data) if high < 0 else high
+            h, first, _ = self.spans(np.frombuffer(data, np.uint8, high - low, low))
+            hashes.append(h)
+            at.append(first + low)
+            low = high
+        if not at:
+            return np.zeros(0, np.uint64), np.zeros(len(raws), np.int64)
+        return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(at), starts))
+
+    def spans(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, starts, ends) of the words in mapped bytes."""
+        n = len(x)
+        inside = np.zeros(n + 2, np.int8)
+        inside[1:-1] = x != 32
+        edge = np.diff(inside)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        return self.hashes(x, first, last), first, last
+
+    def hashes(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A hash for each of the byte ranges of ``x``."""
+        n = len(x)
+        if len(self.up) < n:
+            self.up, self.down = _powers(STEP, max(n, SPAN + 4096)), _powers(BACK, max(n, SPAN + 4096))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.number[x] * self.up[:n], out=total[1:])
+        if n > 4 * SPAN:  # a giant word: don't keep tables for it
+            out = mix64((total[last] - total[first]) * self.down[first] + (last - first).astype(np.uint64), self.seed)
+            self.up = self.down = np.ones(1, np.uint64)
+            return out
+        return mix64((total[last] - total[first]) * self.down[first] + (last - first).astype(np.uint64), self.seed)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -88,6 +157,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that no column of a table has."""
+    have, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in have:
+            n = f"_{n}"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for each row's place. Two reads of a file agree only if both split it alike, so the number of
+    splits that Spark aims at, which else follows the executors there are at the moment, is held for the session."""
+    spark, key = docs.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, spark.sparkContext.defaultParallelism)
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null gives b''."""
     if pa.types.is_string(column.type):
