@@ -6,22 +6,24 @@ stream of its own (four ids a control byte). A table of 256 rows gives, for each
 ids, so that numpy decodes a whole block by lookups.
 
 The files are Parquet; a row is a block of documents in ascending doc_id order:
-shard, block (int), first (long: ids of the shard before the block), doc_ids (int64, little endian), nulls (uint8: the
+shard, block (int), first (long: ids of the shard before the block), n (long: ids in the block), doc_ids (int64, little endian), nulls (uint8: the
 id is null), sizes (uint32: ids of each document), control (bytes), data (bytes). ``ranks`` beside them holds
-(rank, id, n).
+(rank, id, n); of equally frequent ids the smaller one ranks first.
 
-Defined results: a null or empty text has the end id alone; a null doc_id comes first; equal doc_ids stay apart, ordered
-by content; an empty table gives empty files.
+Defined results: a null or empty text has the end id alone; very long texts are encoded whole, in a block of their own; a null doc_id comes first; equal
+doc_ids stay apart, ordered by content; repeated rows are documents of their own; an empty table gives empty files; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,7 +36,11 @@ LENGTHS = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.
 #: Ids in a block, about; a longer document stands alone.
 BLOCK_IDS = 1 << 18
 #: Pieces that a worker remembers, before it starts anew.
-MEMO = 600_000
+MEMO = 2_500_000
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum())
+#: White space outside of ASCII, as UTF-8 (fixed values: the characters with the White_Space property).
+WIDE_SPACES = tuple(chr(x).encode() for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -61,14 +67,62 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+class Pieces:
+    """What a worker has learnt: the ids of pieces, by the pieces' 64-bit hashes."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = self.n_ids = 0  # what is in use of the arrays, which grow by doubling
+        self.keys, self.first, self.size = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.ids = np.zeros(4096, self.dtype)
+        self.old = self.recent = pd.Index(self.keys[:0])  # two indexes: only the small one is made anew for each batch
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key; -1 where it isn't known."""
+        at = self.old.get_indexer(keys)
+        left = np.flatnonzero(at < 0)
+        if len(left) and len(self.recent):
+            got = self.recent.get_indexer(keys[left])
+            at[left] = np.where(got >= 0, got + len(self.old), -1)
+        return at
+
+    def add(self, keys: np.ndarray, ids: list) -> None:
+        """Distinct new keys, with the ids of each."""
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), self.dtype, int(size.sum()))
+        end, end_ids = self.n + len(keys), self.n_ids + len(flat)
+        if end > len(self.keys):
+            self.keys, self.first, self.size = (np.concatenate([x, np.zeros(end, x.dtype)]) for x in (self.keys, self.first, self.size))
+        if end_ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(end_ids, self.dtype)])
+        self.keys[self.n : end], self.size[self.n : end] = keys, size
+        self.first[self.n : end] = self.n_ids + np.cumsum(size) - size
+        self.ids[self.n_ids : end_ids] = flat
+        self.n, self.n_ids = end, end_ids
+        if end - len(self.old) > max(50_000, len(self.old) // 8):
+            self.old, self.recent = pd.Index(self.keys[:end].copy()), pd.Index(self.keys[:0])
+        else:
+            self.recent = pd.Index(self.keys[len(self.old) : end].copy())
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of pieces in turn, how many each has)."""
+        size = self.size[at].astype(np.int64)
+        ends = np.cumsum(size)
+        place = np.repeat(self.first[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.ids[place], size
+
+
 class Encoder:
     """Ids of whole texts, through the tokenizers library.
 
     The tokenizer's own rules split a text at white space before anything else, and its normaliser acts on each piece
     alone (``splits_at_space`` verifies this against the definition); so each distinct piece is encoded once and
-    remembered. A piece of Latin-1 letters, or of these with a full stop or comma, is a word and a mark to the rules, in any case of
-    letters; distinct words are encoded many at a time, and each ends with the one token that bears the word end. Another kind of tokenizer encodes
-    whole texts.
+    remembered. Pieces are told apart by 64-bit hashes, made for all bytes of a batch at once; only new ones are looked at one by one. A
+    piece of Latin-1 letters and then, maybe, ASCII marks is two runs to the rules, in any case of letters; such a run of letters goes straight to the
+    library's merge model. Another kind of tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -78,53 +132,75 @@ class Encoder:
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
         self.by_piece = splits_at_space(path)
-        self.memo: dict[str, bytes] = {}
-        suffix = json.load(open(path, encoding="utf-8"))["model"].get("end_of_word_suffix")
-        self.ends = np.zeros(self.vocab, bool)
-        if suffix:
-            self.ends[[k for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
-        if self.by_piece:
-            self.marks = dict(zip(".,", self._encode([".", ","])))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> None:
-        """Remember words of letters in lower case, 1000 to a text."""
-        for k in range(0, len(words), 1000):
-            part = words[k : k + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(part) and last[-1] == len(ids):
-                raw, bounds = ids.tobytes(), [0, *(last * self.dtype.itemsize).tolist()]
-                self.memo.update((w, raw[x:y]) for w, x, y in zip(part, bounds, bounds[1:]))
-            else:
-                self.memo.update(zip(part, self._encode(part)))
-
-    def _learn(self, new: list[str]) -> None:
-        words, others = {}, []
-        for p in new:
-            core = p[:-1] if p[-1] in self.marks else p
-            if core.isalpha() and max(core) < "\u0100":
-                words[p] = core.lower()
-            else:
-                others.append(p)
-        self._words(list(dict.fromkeys(w for w in words.values() if w not in self.memo)))
-        memo = self.memo
-        for p, w in words.items():
-            memo[p] = memo[w] + self.marks[p[-1]] if p[-1] in self.marks else memo[w]
-        for k in range(0, len(others), 50_000):
-            memo.update(zip(others[k : k + 50_000], self._encode(others[k : k + 50_000])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.words = C.Words(bytes(32 if 9 <= x <= 13 else x for x in range(256)))
+        self.pieces = Pieces(self.dtype)
+        self.marks: dict[str, list[int]] = {"": []}
+        self.model = self.tokenizer.model
+        self.shown = byte_letters()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of pieces, none of which holds white space."""
+        out: list = [None] * len(pieces)
+        others, tokenize, shown = [], self.model.tokenize, self.shown
+        for k, p in enumerate(pieces):
+            core = p.rstrip(MARKS)
+            if not core.isalpha() or max(core) > "\u00ff":
+                others.append(k)
+                continue
+            tail = self.marks.get(p[len(core) :])
+            if tail is None:
+                if len(self.marks) > 10_000:
+                    self.marks = {"": []}
+                tail = self.marks[p[len(core) :]] = self._encode([p[len(core) :]])[0]
+            word = core.lower()
+            out[k] = [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(shown))] + tail
+        for k, ids in zip(others, self._encode([pieces[k] for k in others])):
+            out[k] = ids
+        return out
+
+    def encode(self, raws: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in turn, how many each text has), with ``end_id`` after each text."""
         if not self.by_piece:
-            return self._encode(texts)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        # split() also parts a text at four controls that the rules don't count as white space: such texts go whole
-        memo, pieces = self.memo, [[x] if any(c in x for c in "\x1c\x1d\x1e\x1f") else x.split() for x in texts]
-        self._learn(list({p for x in pieces for p in x}.difference(memo)))
-        return [b"".join(map(memo.__getitem__, x)) for x in pieces]
+            each = [x + ([] if end_id is None else [end_id]) for x in self._encode([x.decode() for x in raws])]
+            return np.fromiter(itertools.chain.from_iterable(each), self.dtype), np.array([len(x) for x in each], np.int64)
+        if self.pieces.n > MEMO:
+            self.pieces.clear()
+        ids, sizes = [], []
+        for part in C.chunks(raws, 2 * C.SPAN, len):
+            a, b = self._batch(part, end_id)
+            ids.append(a)
+            sizes.append(b)
+        return np.concatenate(ids or [np.zeros(0, self.dtype)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
+
+    def _batch(self, raws: list[bytes], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        data = b" ".join(raws)
+        if any(x in data for x in WIDE_SPACES):
+            raws = [functools.reduce(lambda r, x: r.replace(x, b" "), WIDE_SPACES, raw) for raw in raws]
+            data = b" ".join(raws)
+        keys, first, last = self.words.spans(np.frombuffer(data.translate(self.words.letters), np.uint8))
+        at = self.pieces.find(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            distinct, one, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            one = new[one]
+            base = self.pieces.n
+            self.pieces.add(distinct, self._learn([data[a:b].decode() for a, b in zip(first[one].tolist(), last[one].tolist())]))
+            at[new] = base + back
+        flat, size = self.pieces.gather(at)
+        starts = np.cumsum([0, *(len(x) + 1 for x in raws)])
+        bounds = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(first, starts)]
+        if end_id is not None:
+            flat = np.insert(flat, bounds[1:], end_id)
+        return flat, np.diff(bounds) + (end_id is not None)
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it is printable, else one from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in plain)}
 
 
 @functools.lru_cache(maxsize=1)
@@ -141,7 +217,8 @@ def splits_at_space(path: str) -> bool:
     plain = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
     drops = bool(pre) and pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and pre[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in rules.get("added_tokens", []))
-    return plain and drops and added and not rules.get("post_processor") and not (len(pre) > 1 and pre[1].get("add_prefix_space"))
+    bytewise = len(pre) == 2 and pre[1]["type"] == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex", True)
+    return plain and drops and added and bytewise and rules["model"]["type"] == "BPE" and not rules.get("post_processor")
 
 
 def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = None) -> DataFrame:
@@ -152,10 +229,11 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc = encoder(path)
-        tail = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         for b in (y for x in it for y in C.batches([x], 4 << 20)):
-            ids = [x + tail for x in enc.encode([x or "" for x in b.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            flat, sizes = enc.encode(C.utf8(b.column(1)), end_id)
+            ends = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes) * enc.dtype.itemsize]).astype(np.int32))
+            ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, ends, pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), ids], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, ids binary")
 
@@ -196,9 +274,9 @@ def write_token_files(docs: DataFrame, path: str, to: str, doc_id: str = "doc_id
         def flush():
             sizes = np.array([len(x) // width for _, x in held], "<u4")
             control, data = encode_ranks(to_rank.value[np.frombuffer(b"".join(x for _, x in held), kind)])
-            row = [shard, block, first, np.array([d or 0 for d, _ in held], "<i8").tobytes(), bytes(d is None for d, _ in held), sizes.tobytes(), control, data]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["shard", "block", "first", "doc_ids", "nulls", "sizes", "control", "data"])
+            row = [shard, block, first, size, np.array([d or 0 for d, _ in held], "<i8").tobytes(), bytes(d is None for d, _ in held), sizes.tobytes(), control, data]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["shard", "block", "first", "n", "doc_ids", "nulls", "sizes", "control", "data"])
 
         for b in it:
             for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -213,7 +291,7 @@ def write_token_files(docs: DataFrame, path: str, to: str, doc_id: str = "doc_id
     shards = shards or max(1, ids.rdd.getNumPartitions())
     # the hash beside doc_id keeps repeated doc_ids from meeting in one range when their texts differ
     placed = ids.withColumn("_tie", F.xxhash64("ids")).repartitionByRange(shards, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "ids")
-    placed.mapInArrow(blocks, "shard int, block int, first long, doc_ids binary, nulls binary, sizes binary, control binary, data binary").write.mode("overwrite").option("compression", "none").parquet(f"{to}/blocks")
+    placed.mapInArrow(blocks, "shard int, block int, first long, n long, doc_ids binary, nulls binary, sizes binary, control binary, data binary").write.mode("overwrite").option("compression", "none").parquet(f"{to}/blocks")
     C.drop_path(spark, staged)
 
 
@@ -240,12 +318,11 @@ def _ids_by_rank(spark, at: str):
 
 
 def _shard_starts(blocks: DataFrame) -> dict[int, int]:
-    """Ids of all shards before each one: a number for each shard, from the smallest columns alone."""
-    sums = blocks.groupBy("shard").agg(F.max(F.struct("block", "first", "sizes")).alias("last")).select("shard", "last.first", "last.sizes").collect()
+    """Ids of all shards before each one: a number for each shard."""
     out, total = {}, 0
-    for r in sorted(sums, key=lambda r: r["shard"]):
+    for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect():
         out[r["shard"]] = total
-        total += r["first"] + int(np.frombuffer(r["sizes"], "<u4").sum(dtype=np.int64))
+        total += r["n"]
     return out
 
 

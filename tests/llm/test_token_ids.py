@@ -61,13 +61,25 @@ def test_other_tokenizer_takes_whole_texts():
     path = X.tokenizer_path("byte_bpe_50k.json")
     assert not X.splits_at_space(path) and X.splits_at_space(X.tokenizer_path("word_bpe_49k.json"))
     enc = X.Encoder(path)
-    ids = np.frombuffer(enc.encode(["two words  here"])[0], enc.dtype)
-    assert enc.tokenizer.decode(ids.tolist()) == "two words  here"
+    ids, sizes = enc.encode([b"two words  here", b"", b"x"], 7)
+    assert enc.tokenizer.decode(ids[: sizes[0] - 1].tolist()) == "two words  here" and ids[sizes[0] - 1] == 7 and sizes.tolist()[1:] == [1, 2]
 
 
 def test_pieces_are_encoded_as_whole_texts_are():
     enc = X.Encoder(X.tokenizer_path("word_bpe_49k.json"))
     texts = ["Don't stop, WON'T. we're A.B.C., x.", "É, é. É Straße ÄÖ, ª º µ. ", "a,b a, ,a .,. ... 12. 3,4 x1, ", "İstanbul ΣΑΣ, ς. e\u0301 e\u0301, \u0301", "<|endoftext|> a<|startoftext|>b,", "東京, 東京。\u00a0a\u2003b\u200bc\x00d\x1fe \x85f"]
-    for t in texts:
-        want = enc.tokenizer.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(enc.encode([t])[0], enc.dtype).tolist() == want, t
+    texts += ["", " ", "a***b", "***", "naïve--- 'tis rock'n'roll,' it's' x's'", "tab\tvt\x0bff\x0cnel\u0085ls\u2028ps\u2029ogham\u1680thin\u2009wide\u3000end"]
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for k, t in enumerate(texts):
+        assert enc.encode([t.encode()])[0].tolist() == want[k], t
+    ids, sizes = enc.encode([t.encode() for t in texts], 1)
+    assert ids.tolist() == [x for w in want for x in [*w, 1]] and sizes.tolist() == [len(w) + 1 for w in want]
+
+
+def test_learnt_pieces_grow_and_start_anew(monkeypatch):
+    monkeypatch.setattr(X, "MEMO", 3000)
+    enc = X.Encoder(X.tokenizer_path("word_bpe_49k.json"))
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + j % 26)}x{j}" for j in range(400)) for k in range(40)]
+    for k in range(0, 40, 4):
+        ids, _ = enc.encode([t.encode() for t in texts[k : k + 4]])
+        assert ids.tolist() == [x for t in texts[k : k + 4] for x in enc.tokenizer.encode(t, add_special_tokens=False).ids]
