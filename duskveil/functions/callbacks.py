@@ -1,7 +1,11 @@
-"""Ready-made callbacks: functions from a Column to a Column, and a wrapper for opaque Python ones."""
+"""Ready-made callbacks: functions from a Column to a Column, and a wrapper for opaque Python ones.
+
+Each has a form for parsed values too (``on_values``), which contexts held as JSON text take.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,10 +13,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .errors import ConfigurationError
+from .jsonmask import plain_text
+
+
+def both(on_columns: Callable[[Column], Column], on_values: Callable) -> Callable[[Column], Column]:
+    """A callback with a form for Columns and one for parsed values."""
+
+    def run(c: Column) -> Column:
+        return on_columns(c)
+
+    run.on_values = on_values
+    return run
 
 
 def constant(text: str) -> Callable[[Column], Column]:
-    return lambda c: F.lit(text)
+    return both(lambda c: F.lit(text), lambda v: text)
 
 
 def hashed(algorithm: str = "sha256", keep: int = 8) -> Callable[[Column], Column]:
@@ -25,7 +40,11 @@ def hashed(algorithm: str = "sha256", keep: int = 8) -> Callable[[Column], Colum
         digest = how[algorithm](c.cast("string").cast("binary"))
         return F.concat(F.substring(digest, 1, keep), F.lit("...")) if keep > 0 else digest
 
-    return run
+    def value(v) -> str:
+        digest = hashlib.new(algorithm, plain_text(v).encode()).hexdigest()
+        return f"{digest[:keep]}..." if keep > 0 else digest
+
+    return both(run, value)
 
 
 def partial(start: int = 2, end: int = 2, char: str = "*") -> Callable[[Column], Column]:
@@ -39,7 +58,13 @@ def partial(start: int = 2, end: int = 2, char: str = "*") -> Callable[[Column],
         tail = F.substring(s, -end, end) if end else F.lit("")
         return F.when(n <= start + end, F.repeat(F.lit(char), n)).otherwise(F.concat(F.substring(s, 1, start), F.repeat(F.lit(char), n - start - end), tail))
 
-    return run
+    def value(v) -> str:
+        if isinstance(v, dict | list):
+            return "[OBJECT]"
+        s = plain_text(v)
+        return char * len(s) if len(s) <= start + end else s[:start] + char * (len(s) - start - end) + s[len(s) - end :]
+
+    return both(run, value)
 
 
 def for_paths(paths: list[str], callback: Callable[[Column], Column]) -> dict[str, Callable[[Column], Column]]:
@@ -59,4 +84,4 @@ def opaque(function: Callable[[str], str]) -> Callable[[Column], Column]:
     def run(s: pd.Series) -> pd.Series:
         return s.map(one)
 
-    return lambda c: run(c.cast("string"))
+    return both(lambda c: run(c.cast("string")), lambda v: one(v if isinstance(v, str | dict | list) or v is None else plain_text(v)))

@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache, reduce
+from operator import or_
 from re import _constants as K  # type: ignore[attr-defined]
 from re import _parser  # type: ignore[attr-defined]
 
@@ -49,6 +50,8 @@ DEFAULTS = (
 )
 
 ASCII_BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: A boundary beside a character that is known to be a word's.
+NOT_AFTER, NOT_BEFORE = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 ASCII_INSIDE = r"(?:(?<![A-Za-z0-9_])(?![A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 CLOSING = {"(": ")", "[": "]", "{": "}", "<": ">"}
 
@@ -80,9 +83,14 @@ class Pattern:
         body = self._parts[0]
         return body.replace("\\/", "/") if self.source[0] == "/" else body
 
-    def _rewritten(self, at: dict[str, str]) -> str:
+    @property
+    def _tree(self):
+        """The parsed body; None where Python's parser doesn't take it."""
+        return _parsed(self.body, self.python.flags & (re.I | re.X | re.M | re.S))
+
+    def _rewritten(self, at: dict[str, str], body: str | None = None) -> str:
         """The body with some escapes outside of classes, and ``$``, replaced."""
-        out, k, inside, body = [], 0, False, self.body
+        out, k, inside, body = [], 0, False, self.body if body is None else body
         while k < len(body):
             two = body[k : k + 2]
             if two[0] == "\\":
@@ -100,7 +108,17 @@ class Pattern:
         at = {} if "u" in self.flags else {"\\b": ASCII_BOUNDARY, "\\B": ASCII_INSIDE}
         if "D" in self.flags and "m" not in self.flags:
             at["$"] = "\\z"
-        return f"(?d{''.join(f for f in 'imsx' if f in self.flags)}{'U' * ('u' in self.flags)}){self._rewritten(at)}"
+        flags = f"(?d{''.join(f for f in 'imsx' if f in self.flags)}{'U' * ('u' in self.flags)})"
+        body, lead, trail = self.body, "", ""
+        if self._tree is not None and not ("x" in self.flags or {"i", "u"} <= set(self.flags) or _splits(body)):
+            first, last = (_edge(self._tree, "u" in self.flags, "i" in self.flags, end) for end in (False, True))
+            if first and not body.startswith("^"):
+                lead = f"(?={first.java()})"  # rules out most places at once
+            if at and first and first.word() and body.startswith("\\b") and self._tree[0][0] is K.AT:
+                lead, body = lead + NOT_AFTER, body[2:]
+            if at and last and last.word() and body.endswith("\\b") and self._tree[-1][0] is K.AT:
+                trail, body = NOT_BEFORE, body[:-2]
+        return flags + lead + self._rewritten(at, body) + trail
 
     @cached_property
     def python(self) -> re.Pattern:
@@ -132,21 +150,119 @@ class Pattern:
 
     @cached_property
     def necessary(self) -> str:
-        """A Java regex that finds something wherever the pattern does: a digit, a literal of two characters or more or an at sign, or
-        the pattern itself."""
-        try:
-            tree = _parser.parse(self.body, self.python.flags & (re.I | re.X | re.M | re.S))
-        except re.error:
-            return self.java
-        if "i" not in self.flags:
-            run = max(_literals(tree), key=len, default="")
+        """A Java regex that finds something wherever the pattern does: a literal of two characters or more or an at sign, a run of
+        three or more digits, or the pattern itself."""
+        if self._tree is not None and not {"i", "u"} <= set(self.flags):
+            run = max(_literals(self._tree), key=len, default="")
             if len(run) > 1 or run == "@":
-                return re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", run)
-        if _needs_digit(tree):
-            return "(?U:\\d)" if "u" in self.flags else "[0-9]"
+                run = re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", run)
+                return f"(?i:{run})" if "i" in self.flags else run
+            if (n := _digits(self._tree)) > 2:
+                return ("(?U:\\d)" if "u" in self.flags else "[0-9]") + f"{{{n}}}"
         return f"(?:{self.java})"
 
 
+@lru_cache(maxsize=1000)
+def _parsed(body: str, flags: int):
+    try:
+        return _parser.parse(body, flags)
+    except re.error:
+        return None
+
+
+WORD = frozenset(map(ord, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"))
+
+
+@dataclass(frozen=True)
+class Chars:
+    """A set of characters; ``digits``: all Unicode digits are in it."""
+
+    points: frozenset[int] = frozenset()
+    digits: bool = False
+
+    def __or__(self, other: Chars) -> Chars:
+        return Chars(self.points | other.points, self.digits or other.digits)
+
+    def word(self) -> bool:
+        return not self.digits and self.points <= WORD
+
+    def java(self) -> str:
+        shown = (c if c.isalnum() and c.isascii() else f"\\{c}" if 33 <= ord(c) < 127 else f"\\u{ord(c):04x}" for c in map(chr, sorted(self.points)))
+        return f"[{''.join(shown)}{'\\p{Nd}' * self.digits}]"
+
+
+class _Unknown(Exception):
+    """The characters can't be told."""
+
+
+def _of(op, arg, unicode: bool, fold: bool) -> Chars:
+    if op is K.LITERAL:
+        if arg > 0xFFFF or fold and arg > 127:
+            raise _Unknown
+        return Chars(frozenset({arg, ord(chr(arg).lower()), ord(chr(arg).upper())} if fold else {arg}))
+    if op is K.RANGE and arg[1] - arg[0] < 256:
+        return reduce(or_, (_of(K.LITERAL, c, unicode, fold) for c in range(arg[0], arg[1] + 1)))
+    if op is K.CATEGORY and arg is K.CATEGORY_DIGIT:
+        return Chars(digits=True) if unicode else Chars(frozenset(range(48, 58)))
+    if op is K.CATEGORY and arg is K.CATEGORY_WORD and not unicode:
+        return Chars(WORD)
+    if op is K.CATEGORY and arg is K.CATEGORY_SPACE and not unicode:
+        return Chars(frozenset(map(ord, " \t\n\r\f\v")))
+    raise _Unknown
+
+
+def _ends(tree, unicode: bool, fold: bool, last: bool) -> tuple[Chars, bool]:
+    """(characters that a match may begin with, or end with; whether it may be empty)."""
+    out = Chars()
+    for op, arg in reversed(list(tree)) if last else tree:
+        if op in (K.AT, K.ASSERT, K.ASSERT_NOT):
+            continue
+        if op is K.IN:
+            own, empty = reduce(or_, (_of(o, a, unicode, fold) for o, a in arg)), False
+        elif op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT):
+            own, empty = _ends(arg[2], unicode, fold, last)
+            empty = empty or not arg[0]
+        elif op is K.SUBPATTERN and not arg[1] and not arg[2]:
+            own, empty = _ends(arg[3], unicode, fold, last)
+        elif op is K.BRANCH:
+            each = [_ends(x, unicode, fold, last) for x in arg[1]]
+            own, empty = reduce(or_, (e[0] for e in each)), any(e[1] for e in each)
+        else:
+            own, empty = _of(op, arg, unicode, fold), False
+        out |= own
+        if not empty:
+            return out, False
+    return out, True
+
+
+def _edge(tree, unicode: bool, fold: bool, last: bool) -> Chars | None:
+    """The characters that a match begins (or ends) with; None where they can't be told."""
+    try:
+        out, empty = _ends(tree, unicode, fold, last)
+    except _Unknown:
+        return None
+    return None if empty else out
+
+
+def _splits(body: str) -> bool:
+    """Whether the body has alternatives outside of groups."""
+    depth, inside, k = 0, False, 0
+    while k < len(body):
+        ch = body[k]
+        if ch == "\\":
+            k += 1
+        elif inside:
+            inside = ch != "]"
+        elif ch == "[":
+            inside = True
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
+        elif ch == "|" and not depth:
+            return True
+        k += 1
+    return False
+
+
 def _literals(tree) -> list[str]:
     """Runs of characters that every match holds."""
     out, run = [], ""
@@ -159,20 +275,28 @@ def _literals(tree) -> list[str]:
     return [*out, run]
 
 
-def _needs_digit(tree) -> bool:
-    """Whether every match holds a digit."""
+def _digit(op, arg) -> bool:
+    """Whether the item is always a digit."""
+    if op is K.LITERAL:
+        return 48 <= arg <= 57
+    return op is K.IN and all(o is K.CATEGORY and a is K.CATEGORY_DIGIT or o is K.RANGE and 48 <= a[0] <= a[1] <= 57 or o is K.LITERAL and 48 <= a <= 57 for o, a in arg)
+
+
+def _digits(tree) -> int:
+    """The length of a run of digits that every match holds."""
+    best = run = 0
     for op, arg in tree:
-        if op is K.LITERAL and chr(arg).isdigit() and chr(arg).isascii():
-            return True
-        if op is K.IN and all(o is K.CATEGORY and a is K.CATEGORY_DIGIT or o is K.RANGE and 48 <= a[0] <= a[1] <= 57 or o is K.LITERAL and 48 <= a <= 57 for o, a in arg):
-            return True
-        if op in (K.MAX_REPEAT, K.MIN_REPEAT) and arg[0] > 0 and _needs_digit(arg[2]):
-            return True
-        if op is K.SUBPATTERN and _needs_digit(arg[3]):
-            return True
-        if op is K.BRANCH and all(_needs_digit(x) for x in arg[1]):
-            return True
-    return False
+        if op is K.AT:
+            continue
+        if _digit(op, arg):
+            run += 1
+        elif op is K.MAX_REPEAT and len(arg[2]) == 1 and _digit(*arg[2][0]):
+            best, run = max(best, run + arg[0]), 0 if arg[0] != arg[1] else run + arg[0]
+        else:
+            inner = _digits(arg[3]) if op is K.SUBPATTERN else min(map(_digits, arg[1])) if op is K.BRANCH else _digits(arg[2]) if op is K.MAX_REPEAT and arg[0] else 0
+            best, run = max(best, inner), 0
+        best = max(best, run)
+    return best
 
 
 def compiled(patterns: Mapping[str, str] | None = None) -> list[Pattern]:
@@ -182,7 +306,10 @@ def compiled(patterns: Mapping[str, str] | None = None) -> list[Pattern]:
 
 def prefilter(patterns: list[Pattern]) -> str:
     """One Java regex that finds something in every text that any of the patterns would change."""
-    return "|".join(dict.fromkeys(p.necessary for p in patterns))
+    parts = list(dict.fromkeys(p.necessary for p in patterns))
+    runs = {n: [int(m[1]) for x in parts if (m := re.fullmatch(re.escape(n) + r"\{(\d+)\}", x))] for n in ("[0-9]", "(?U:\\d)")}
+    least = {f"{n}{{{min(k)}}}" for n, k in runs.items() if k}  # a shorter run is in every longer one
+    return "|".join(x for x in parts if x in least or not any(x == f"{n}{{{k}}}" for n, ks in runs.items() for k in ks))
 
 
 def apply_patterns(value: Column, patterns: list[Pattern], guarded: bool = True) -> Column:
@@ -204,7 +331,8 @@ def apply_text(value: str, patterns: list[Pattern]) -> str:
 def matched_labels(value: Column, patterns: list[Pattern]) -> Column:
     """The distinct replacements whose pattern finds something in the value, in order (array<string>)."""
     hits = F.array(*(F.when(value.rlike(p.java), F.lit(p.replacement)) for p in patterns))
-    return F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))
+    found = F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))
+    return F.when(value.rlike(prefilter(patterns)), found).otherwise(F.array().cast("array<string>"))
 
 
 def matches(value: Column, pattern: Pattern) -> Column:

@@ -59,12 +59,12 @@ def _all(table) -> list[Pattern]:
 
 def sanitize_message(message: Column) -> Column:
     """The message scrubbed, and cut after 500 characters."""
-    out = apply_patterns(message, _all(MESSAGE), guarded=False)
+    out = apply_patterns(message, _all(MESSAGE))
     return F.when(F.length(out) > LIMIT, F.concat(F.substring(out, 1, LIMIT), F.lit(SUFFIX))).otherwise(out)
 
 
 def sanitize_context_error(message: Column) -> Column:
-    return apply_patterns(message, _all(CONTEXT), guarded=False)
+    return apply_patterns(message, _all(CONTEXT))
 
 
 def sanitize_text(message: str) -> str:

@@ -36,19 +36,17 @@ class DumpMasker:
         return out
 
     def _json(self, text: str) -> str:
-        out, last, k = [], 0, 0
-        while k < len(text):
-            end = _closing(text, k) if text[k] in PAIRS else None
-            if end is None:
-                k += 1
+        out, last = [], 0
+        for start, end in sorted(_structures(text).items()):
+            if start < last:
                 continue
-            found = text[k:end]
+            found = text[start:end]
             try:
                 found = dumps(_emptied(self._nested(loads(found), "json")))
             except (ValueError, RecursionError):
                 pass
-            out += [text[last:k], found]
-            last = k = end
+            out += [text[last:start], found]
+            last = end
         return "".join([*out, text[last:]])
 
     def _nested(self, value, path: str):
@@ -91,14 +89,16 @@ class DumpMasker:
         return pair.sub(put, text) if gate.search(text) else text
 
 
-def _closing(text: str, start: int) -> int | None:
-    """The end of the bracket at ``start``: brackets of its own kind are counted, strings are not looked at."""
-    opened, closes, depth = text[start], PAIRS[text[start]], 0
-    for k in range(start, len(text)):
-        depth += (text[k] == opened) - (text[k] == closes)
-        if not depth:
-            return k + 1
-    return None
+def _structures(text: str) -> dict[int, int]:
+    """The end of each bracket's structure: brackets of its own kind are counted, strings are not looked at."""
+    open_at: dict[str, list[int]] = {c: [] for c in PAIRS.values()}
+    out = {}
+    for m in re.finditer(r"[{}\[\]]", text):
+        if m[0] in PAIRS:
+            open_at[PAIRS[m[0]]].append(m.start())
+        elif open_at[m[0]]:
+            out[open_at[m[0]].pop()] = m.end()
+    return out
 
 
 def _emptied(value):

@@ -56,6 +56,6 @@ def table_sink(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
-def callback_sink(events: DataFrame, callback: Callable[[DataFrame, int], None]):
-    """A streaming query that hands each micro-batch of events to a callback."""
-    return events.writeStream.foreachBatch(callback).start()
+def callback_sink(events: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str):
+    """A streaming query that hands each micro-batch of events to a callback; ``checkpoint``: where its progress is kept."""
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(callback).start()

@@ -5,6 +5,9 @@ of walking, as the configuration has it: without field masks and callbacks, stri
 their type only if those change nothing, containers may be masked by their type, and depth is bounded; with field masks
 or callbacks, these come first, and what they did not touch is swept: strings of a masked type take that mask,
 containers are always walked.
+
+A context that is JSON text takes the same configuration, in Arrow batches: field masks, callbacks that have a form for parsed
+values (``functions.callbacks``; others raise when the plan is made), and the sweep.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskveil.functions.jsonmask import ValueMasker, mask_context_json, mask_message
+from duskveil.functions.errors import ConfigurationError
+from duskveil.functions.jsonmask import GONE, ValueMasker, mask_context_json, mask_message, plain_text
 from duskveil.functions.patterns import Pattern, apply_patterns
 
 from . import rules as R
@@ -108,11 +112,32 @@ class Processor:
     def context(self, value: Column, kind: T.DataType) -> Column:
         """A context column of that type, masked."""
         if isinstance(kind, T.StringType):
-            return mask_context_json(value, self.masker)
+            return mask_context_json(value, self._json_masker())
         if self.config.fields or self.config.callbacks:
             return self._sweep_container(value, kind, "")
         return self._container(value, kind, 0)
 
+    def _json_masker(self) -> ValueMasker:
+        """The masker of contexts held as JSON text."""
+        named = {}
+        for path, callback in self.config.callbacks.items():
+            named[path] = getattr(callback, "on_values", None)
+            if named[path] is None:
+                raise ConfigurationError("this callback has no form for parsed values, which contexts held as JSON text need", path=path)
+        first = {path: named[path] if path in named else self._on_values(how) for path, how in self.config.fields.items()}
+        return ValueMasker(self.patterns, self.config.type_masks, self.config.max_depth, first | named)
+
+    def _on_values(self, how: FieldMask | str):
+        """A field mask as a function of parsed values."""
+        if isinstance(how, str):
+            return lambda v: how
+        if how.kind == REMOVE:
+            return lambda v: GONE
+        if how.kind == REGEX:
+            masker, pattern = self.masker, None if how.pattern is None else Pattern(how.pattern, how.replacement)
+            return lambda v: masker.message(plain_text(v)) if pattern is None else pattern.text(plain_text(v))
+        return lambda v: how.replacement
+
     def _null(self, value: Column, out: Column, kind: T.DataType) -> Column:
         """A null under the mask for nulls, where there is one; else null."""
         m = self.config.type_masks.get("NULL", "preserve")
@@ -181,7 +206,28 @@ class Processor:
     def _sweep_container(self, value: Column, kind: T.DataType, path: str) -> Column:
         if isinstance(kind, T.MapType):
             return self._sweep_map(value, kind, path)
-        return self._rebuilt(value, kind, lambda v, k, name: self._sweep(v, k, f"{path}.{name}".lstrip(".") if name else f"{path}.*"))
+        if isinstance(kind, T.ArrayType):
+            return self._sweep_list(value, kind, path)
+        return self._rebuilt(value, kind, lambda v, k, name: self._sweep(v, k, f"{path}.{name}".lstrip(".")))
+
+    def _below(self, path: str) -> dict[str, str]:
+        """The names that configured paths go on with below ``path``, with the paths up to there."""
+        under = f"{path}." if path else ""
+        names = (p[len(under) :].split(".")[0] for p in [*self.config.fields, *self.config.callbacks] if p.startswith(under))
+        return {n: f"{under}{n}" for n in names}
+
+    def _goes(self, path: str) -> bool:
+        how = self.config.fields.get(path)
+        return path not in self.config.callbacks and isinstance(how, FieldMask) and how.kind == REMOVE
+
+    def _chosen(self, key: Column, value: Column, kind: T.DataType, own: dict, path: str) -> Column:
+        """An entry under the mask of its key, or of all others. All entries keep one type: a removed struct field is null here."""
+        out = self._sweep(value, kind, f"{path}.*" if path else "*")
+        for name, full in own.items():
+            new = self._sweep(value, kind, full)
+            if new is not None:
+                out = F.when(key == name, new).otherwise(out)
+        return out
 
     def _sweep(self, value: Column, kind: T.DataType, path: str) -> Column | None:
         """A field under its callback, its mask, or the sweep; None if it goes."""
@@ -197,27 +243,25 @@ class Processor:
 
     def _sweep_map(self, value: Column, kind: T.MapType, path: str) -> Column:
         """A map's entries by key: configured keys by name, all others swept."""
-        under = f"{path}." if path else ""
-        own = {p[len(under) :]: p for p in [*self.config.fields, *self.config.callbacks] if p.startswith(under) and "." not in p[len(under) :]}
-
-        def entry(k: Column, v: Column) -> Column:
-            out = self._sweep(v, kind.valueType, f"{under}*")
-            for name, full in own.items():
-                new = self._sweep(v, kind.valueType, full)
-                out = out if new is None else F.when(k == name, new).otherwise(out)
-            return out
-
-        gone = [n for n, p in own.items() if p not in self.config.callbacks and isinstance(c := self.config.fields[p], FieldMask) and c.kind == REMOVE]
+        own = self._below(path)
+        gone = [n for n, p in own.items() if self._goes(p)]
         kept = F.map_filter(value, lambda k, v: ~k.isin(gone)) if gone else value
-        return self._elements(kept, kind, lambda v: F.transform_values(v, entry))
+        return self._elements(kept, kind, lambda v: F.transform_values(v, lambda k, x: self._chosen(k, x, kind.valueType, own, path)))
+
+    def _sweep_list(self, value: Column, kind: T.ArrayType, path: str) -> Column:
+        """An array's elements by place."""
+        own = {n: p for n, p in self._below(path).items() if n.isdecimal()}
+        gone = [int(n) for n, p in own.items() if self._goes(p)]
+        out = self._elements(value, kind, lambda v: F.transform(v, lambda x, k: self._chosen(k.cast("string"), x, kind.elementType, own, path)))
+        return F.filter(out, lambda x, k: ~k.isin(gone)) if gone else out
 
     def field(self, value: Column, kind: T.DataType, how: FieldMask | str) -> Column | None:
         if isinstance(how, str):
             return F.lit(how)
         if how.kind == REMOVE:
-            return None
+            return F.lit(None).cast(kind) if self._inside else None
         if how.kind == REGEX and how.pattern is None:
-            return self.message(as_text(value, kind))
+            return self.message(as_text(value, kind), json=not self._inside)
         if how.kind == REGEX:
             return Pattern(how.pattern, how.replacement).column(as_text(value, kind))
         return F.lit(how.replacement)

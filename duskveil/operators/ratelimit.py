@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskveil.functions import validate
+from duskveil.functions.errors import ConfigurationError
 
 from .audit import operation_group
 
@@ -19,6 +19,12 @@ PROFILES = {"strict": 50, "default": 100, "relaxed": 200, "testing": 1000}
 PROFILE_WINDOW = 60
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that no column of a table has."""
+    have = {c.lower() for c in taken}
+    return [next(c for k in range(len(have) + 1) if (c := "_" * k + n) not in have) for n in names]
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Whole seconds since 1970 of a timestamp, with or without time zone."""
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
@@ -59,23 +65,27 @@ class RateLimiter:
         """``events`` with ``allowed``. Calls of a key in the same second come in the order of ``order``.
 
         Calls are counted by key and second before anything else, so what a key's sequential pass reads is a row for each of
-        its seconds with calls, whatever the number of calls.
+        its seconds with calls, whatever the number of calls. Calls without a key are limited together.
         """
-        per = events.groupBy(key, second).agg(F.count(F.lit(1)).alias("_calls"))
+        calls, nth, ok, k, s = fresh(events.columns, "calls", "nth", "ok", "key", "second")
+        if "allowed" in events.columns:
+            raise ConfigurationError("the events have a column named allowed already")
+        per = events.groupBy(F.col(f"`{key}`").alias(k), F.col(f"`{second}`").alias(s)).agg(F.count(F.lit(1)).alias(calls))
         limit, window, kinds = self.limit, self.window, {f.name: f.dataType.simpleString() for f in events.schema.fields}
 
-        def run(k: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
             log = Log(limit, window)
-            rows = pd.concat([*batches]).sort_values(second, ignore_index=True)
-            rows["_ok"] = [log.take(int(s), int(n)) for s, n in zip(rows[second], rows["_calls"])]
-            yield rows[[key, second, "_ok"]]
+            rows = pdf.sort_values(s, ignore_index=True)
+            rows[ok] = [log.take(int(at), int(n)) for at, n in zip(rows[s], rows[calls])]
+            return rows[[k, s, ok]]
 
-        taken = per.groupBy(key).applyInPandas(lambda k, pdf: next(run(k, iter([pdf]))), f"`{key}` {kinds[key]}, `{second}` {kinds[second]}, _ok long")
-        ranked = events.withColumn("_nth", F.row_number().over(Window.partitionBy(key, second).orderBy(order)))
-        return ranked.join(taken, [key, second]).withColumn("allowed", F.col("_nth") <= F.col("_ok")).drop("_nth", "_ok").select(*events.columns, "allowed")
+        taken = per.groupBy(k).applyInPandas(run, f"`{k}` {kinds[key]}, `{s}` {kinds[second]}, `{ok}` long")
+        ranked = events.withColumn(nth, F.row_number().over(Window.partitionBy(key, second).orderBy(order)))
+        joined = ranked.join(taken, F.col(f"`{key}`").eqNullSafe(F.col(k)) & F.col(f"`{second}`").eqNullSafe(F.col(s)))
+        return joined.select(*(F.col(f"`{c}`") for c in events.columns), (F.col(nth) <= F.col(ok)).alias("allowed"))
 
-    def status(self, events: DataFrame, key: str, second: str, order: str, now: int) -> DataFrame:
-        """For each key at time ``now``: current_requests, remaining_requests, time_until_reset (seconds)."""
+    def status(self, events: DataFrame, key: str, second: str, order: str, now: int | Column) -> DataFrame:
+        """For each key at time ``now`` (seconds; a scalar subquery also): current_requests, remaining_requests, time_until_reset (seconds)."""
         live = self.allowed(events, key, second, order).where("allowed").where(F.col(second) > now - self.window)
         n = F.count(F.lit(1))
         return live.groupBy(key).agg(n.alias("current_requests"), F.greatest(F.lit(0), F.lit(self.limit) - n).alias("remaining_requests"), F.greatest(F.lit(0), F.min(second) + self.window - now).alias("time_until_reset"))
@@ -84,10 +94,11 @@ class RateLimiter:
 def limited_events(events: DataFrame, limiter: RateLimiter, second: str, order: str) -> DataFrame:
     """Audit events that may be written: limited by group of operations, with one warning event per group and minute
     that has denied ones (path ``rate_limit_exceeded``)."""
-    keyed = events.withColumn("_group", operation_group(F.col("path")))
-    judged = limiter.allowed(keyed, "_group", second, order)
-    kept = judged.where("allowed").select(*events.columns)
-    denied = judged.where("not allowed").select("_group", F.col(second).alias("_s"), F.col(order).alias("_o"))
-    warned = RateLimiter(1, 60).allowed(denied, "_group", "_s", "_o").where("allowed")
-    shape = {f.name: F.lit(None).cast(f.dataType) for f in events.schema.fields} | {"path": F.lit("rate_limit_exceeded"), second: F.col("_s"), order: F.col("_o")}
+    (group,) = fresh(events.columns, "group")
+    keyed = events.withColumn(group, operation_group(F.col("path")))
+    judged = limiter.allowed(keyed, group, second, order)
+    kept = judged.where("allowed").select(*(F.col(f"`{c}`") for c in events.columns))
+    denied = judged.where("not allowed").select(F.col(group).alias("g"), F.col(f"`{second}`").alias("s"), F.col(f"`{order}`").alias("o"))
+    warned = RateLimiter(1, 60).allowed(denied, "g", "s", "o").where("allowed")
+    shape = {f.name: F.lit(None).cast(f.dataType) for f in events.schema.fields} | {"path": F.lit("rate_limit_exceeded"), second: F.col("s"), order: F.col("o")}
     return kept.unionByName(warned.select(*(shape[c].alias(c) for c in events.columns)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,10 +43,26 @@ def find(schema: T.StructType, path: str) -> tuple[T.DataType, Column, Column] |
     return kind, value, there
 
 
+def variants(text: Column, path: str) -> list[Column]:
+    """What JSON text may have at a dotted path, as VARIANT: a name that is a number is a key or a place in a list."""
+    ways = ["$"]
+    for name in path.split("."):
+        key = f'["{name}"]' if "'" in name else f"['{name}']"
+        ways = [w + step for w in ways for step in ([key, f"[{name}]"] if name.isdecimal() else [key])]
+    parsed = F.try_parse_json(text)
+    return [F.try_variant_get(parsed, w, "variant") for w in ways]
+
+
+def _is_text(schema: T.StructType, context: str) -> bool:
+    return context in schema.names and isinstance(schema[context].dataType, T.StringType)
+
+
 def has_field(path: str, context: str = "context") -> Rule:
     """The context has the field, be its value null."""
 
     def rule(schema: T.StructType) -> Column:
+        if _is_text(schema, context):
+            return reduce(or_, [v.isNotNull() for v in variants(F.col(f"`{context}`"), path)])
         found = find(schema, f"{context}.{path}")
         return F.lit(False) if found is None else found[2]
 
@@ -53,11 +70,22 @@ def has_field(path: str, context: str = "context") -> Rule:
 
 
 def field_equals(path: str, wanted, context: str = "context") -> Rule:
-    """The field has this value, of this type; a value of another type never equals it."""
+    """The field has this value, of this type; a value of another type never equals it. A field that is not there is null."""
     kinds = {bool: T.BooleanType, int: T.IntegralType, float: T.FractionalType, str: T.StringType, type(None): T.DataType}
+    names = {bool: "BOOLEAN", int: "BIGINT|INT|SMALLINT|TINYINT", float: "DOUBLE|FLOAT|DECIMAL.*", str: "STRING"}
+
+    def in_text(found: list[Column]) -> Column:
+        if wanted is None:
+            return reduce(and_, [v.isNull() | F.is_variant_null(v) for v in found])
+        cast = {bool: "boolean", int: "bigint", float: "double", str: "string"}[type(wanted)]
+        return reduce(or_, [F.coalesce(F.schema_of_variant(v).rlike(f"^({names[type(wanted)]})$") & (F.try_variant_get(v, "$", cast) == F.lit(wanted)), F.lit(False)) for v in found])
 
     def rule(schema: T.StructType) -> Column:
+        if _is_text(schema, context):
+            return in_text(variants(F.col(f"`{context}`"), path))
         found = find(schema, f"{context}.{path}")
+        if wanted is None:
+            return F.lit(True) if found is None else ~found[2] | found[1].isNull()
         if found is None or not isinstance(found[0], kinds[type(wanted)]):
             return F.lit(False)
         return found[2] & found[1].eqNullSafe(F.lit(wanted))

@@ -29,6 +29,8 @@ from .processor import as_text, numeric, type_name
 #: Lower bounds of the priority ranges that statistics name (fixed values).
 PRIORITY_RANGES = ((90, "90-100 (Critical)"), (80, "80-89 (High)"), (60, "60-79 (Medium-High)"), (40, "40-59 (Medium)"), (20, "20-39 (Low-Medium)"), (0, "0-19 (Low)"))
 TRUE_WORDS = ("1", "true", "on", "yes")
+#: Stands in paths for a place or key that no path names.
+SOME = "\0"
 
 
 def path_matches(path: str, pattern: str) -> bool:
@@ -36,6 +38,12 @@ def path_matches(path: str, pattern: str) -> bool:
     return path == pattern or "*" in pattern and re.fullmatch(".*".join(map(re.escape, pattern.split("*"))), path, re.S) is not None
 
 
+def reaches_below(pattern: str, under: str) -> bool:
+    """Whether some path that begins with ``under`` may match."""
+    start, star, _ = pattern.partition("*")
+    return start.startswith(under) or bool(star) and under.startswith(start)
+
+
 def retyped(value: Column, text: Column, kind: T.DataType) -> Column:
     """A masked text as the value's own type where it can be read as that; else the text decides the column's type."""
     if isinstance(kind, T.StringType):
@@ -64,6 +72,14 @@ class Strategy:
     def check(self) -> None:
         """Raise if the configuration is no good."""
 
+    def paths(self) -> list[str]:
+        """The paths and path patterns that it asks for."""
+        return []
+
+    def shunned(self) -> list[str]:
+        """Those that it leaves alone."""
+        return []
+
     def configuration(self) -> dict:
         return {k: v for k, v in vars(self).items() if k != "priority"}
 
@@ -84,6 +100,12 @@ class RegexStrategy(Strategy):
             if not validate.valid_pattern(p, validate.DANGEROUS_IN_STRATEGIES):
                 raise PatternError("a pattern is malformed or unsafe", pattern=p)
 
+    def paths(self):
+        return self.include
+
+    def shunned(self):
+        return self.exclude
+
     def applies(self, path, value, kind, schema):
         if any(path_matches(path, p) for p in self.exclude) or self.include and not any(path_matches(path, p) for p in self.include):
             return False
@@ -112,6 +134,9 @@ class FieldPathStrategy(Strategy):
             if isinstance(how, FieldMask) and how.kind == REGEX and how.pattern is None:
                 raise ConfigurationError("a regex field mask needs a pattern here", path=p)
 
+    def paths(self):
+        return list(self.fields)
+
     def _how(self, path: str) -> FieldMask | str | None:
         return self.fields.get(path) or next((how for p, how in self.fields.items() if path_matches(path, p)), None)
 
@@ -154,6 +179,12 @@ class DataTypeStrategy(Strategy):
             raise ConfigurationError("a type strategy needs masks")
         validate.check_type_masks({k: v or "-" for k, v in self.masks.items()})
 
+    def paths(self):
+        return self.include
+
+    def shunned(self):
+        return self.exclude
+
     def applies(self, path, value, kind, schema):
         if any(path_matches(path, p) for p in self.exclude) or self.include and not any(path_matches(path, p) for p in self.include):
             return False
@@ -200,6 +231,9 @@ class CallbackStrategy(Strategy):
     def check(self) -> None:
         validate.check_callables({self.path: self.callback})
 
+    def paths(self):
+        return [self.path]
+
     def applies(self, path, value, kind, schema):
         return path == self.path if self.exact else path_matches(path, self.path)
 
@@ -222,6 +256,12 @@ class ConditionalStrategy(Strategy):
         validate.check_callables(self.rules)
         self.inner.check()
 
+    def paths(self):
+        return self.inner.paths()
+
+    def shunned(self):
+        return self.inner.shunned()
+
     def applies(self, path, value, kind, schema):
         joined = (R.all_of if self.require_all else R.any_of)(list(self.rules.values()))(schema)
         inner = self.inner.applies(path, value, kind, schema)
@@ -317,21 +357,39 @@ class StrategyManager:
         return F.filter(F.array(*names), lambda x: x.isNotNull()) if names else F.array().cast("array<string>")
 
     def mask(self, df: DataFrame, message: str = "message", context: str = "context") -> DataFrame:
-        """The message, and every leaf of a typed context, under the strategies; paths are dotted, below the context."""
+        """The message, and every value of a typed context, under the strategies; paths are dotted, below the context. Elements of
+        arrays have their places as names, entries of maps their keys. An array or map that no strategy looks into is a value itself."""
         schema = df.schema
         new = {}
         if message in df.columns:
             new[message] = self.mask_value("message", F.col(message), schema[message].dataType, schema)
+        if context in df.columns:
+            kind = schema[context].dataType
+            if not isinstance(kind, T.StructType | T.MapType | T.ArrayType):
+                raise ConfigurationError("strategies need a typed context: parse JSON text with from_json first", type=kind.simpleString())
+            new[context] = self._walk(F.col(context), kind, "", schema)
+        return df.withColumns(new)
 
-        def walk(value: Column, kind: T.DataType, path: str) -> Column:
-            if isinstance(kind, T.StructType):
-                parts = [walk(value.getField(f.name), f.dataType, f"{path}.{f.name}".lstrip(".")).alias(f.name) for f in kind.fields]
-                return F.when(value.isNotNull(), F.struct(*parts))
+    def _walk(self, value: Column, kind: T.DataType, path: str, schema: T.StructType) -> Column:
+        under = f"{path}." if path else ""
+        if isinstance(kind, T.StructType):
+            parts = [self._walk(value.getField(f.name), f.dataType, f"{under}{f.name}", schema).alias(f.name) for f in kind.fields]
+            return F.when(value.isNotNull(), F.struct(*parts))
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType if isinstance(kind, T.MapType) else None
+        if inner is None or path and not any(reaches_below(p, under) for s in self.strategies for p in s.paths()):
             return self.mask_value(path, value, kind, schema)
-
-        if context in df.columns and isinstance(schema[context].dataType, T.StructType):
-            new[context] = walk(F.col(context), schema[context].dataType, "")
-        return df.withColumns(new)
+        parts = [x for s in self.strategies for p in [*s.paths(), *s.shunned()] for x in p.split(".")]
+        if isinstance(kind, T.MapType) and any("*" in x and x != "*" for x in parts):
+            raise ConfigurationError("a star within a name can't be matched with a map's keys", path=path)
+        names = [x for x in dict.fromkeys(parts) if x != "*" and (x.isdecimal() or isinstance(kind, T.MapType))]
+
+        def entry(key: Column, v: Column) -> Column:
+            out = self._walk(v, inner, f"{under}{SOME}", schema)
+            for name in names:
+                out = F.when(key == name, self._walk(v, inner, f"{under}{name}", schema)).otherwise(out)
+            return out
+
+        return F.transform_values(value, entry) if isinstance(kind, T.MapType) else F.transform(value, lambda x, k: entry(k.cast("string"), x))
 
     def statistics(self) -> dict:
         ranges = Counter(next(name for low, name in PRIORITY_RANGES if s.priority >= low or low == 0) for s in self.strategies)

@@ -177,6 +177,42 @@ def _(spark, sf_dir):
     return Processor(config).mask(records(spark, sf_dir)).select("k", "context.user.name", "context.user.card")
 
 
+@query("json_context_fields", f"select k, cast(null as varchar) as ssn, 'MASKED' as card, '{EMAIL}' as email, sha256(name) as name, 'X' as tag0, name as tag1, {quoted(PHONE)} as note, cast(age as varchar) as age from {LOGS}")
+def _(spark, sf_dir):
+    text = records(spark, sf_dir).withColumn("context", F.to_json("context"))
+    config = Config(fields={"user.ssn": FieldMask.remove(), "user.card": FieldMask.replace("MASKED"), "user.email": FieldMask.processor_patterns(), "tags.0": "X", "user.none": "Y"}, callbacks={"user.name": callbacks.hashed("sha256", 0)})
+    at = {"ssn": "user.ssn", "card": "user.card", "email": "user.email", "name": "user.name", "tag0": "tags[0]", "tag1": "tags[1]", "note": "note", "age": "age"}
+    return Processor(config).mask(text).select("k", *(F.get_json_object("context", f"$.{p}").alias(n) for n, p in at.items()))
+
+
+@query("json_context_rule", f"select k, case when consent and age = 5 then {MASKED_MESSAGE} else message end as message from {LOGS}")
+def _(spark, sf_dir):
+    text = records(spark, sf_dir).withColumn("context", F.to_json("context"))
+    held = {"there": rules.has_field("user.ssn"), "on": rules.field_equals("active", True), "five": rules.field_equals("age", 5), "first": rules.has_field("tags.1")}
+    return Processor(Config(rules=held)).mask(text).select("k", "message")
+
+
+@query("json_context_rule_absent", f"select k, message from {LOGS}")
+def _(spark, sf_dir):
+    text = records(spark, sf_dir).withColumn("context", F.to_json("context"))
+    return Processor(Config(rules={"none": rules.has_field("user.nothing"), "text": rules.field_equals("age", "5")})).mask(text).select("k", "message")
+
+
+@query("map_nested_field", f"select k, 'MASKED' as a_ssn, '{EMAIL}' as a_email, '{SSN}' as b_ssn, cast(null as varchar) as b_email from {LOGS}")
+def _(spark, sf_dir):
+    df = logs(spark, sf_dir).select("k", "message", F.create_map(F.lit("a"), F.struct("ssn", "email"), F.lit("b"), F.struct("ssn", "email")).alias("context"))
+    out = Processor(Config(fields={"a.ssn": "MASKED", "b.email": FieldMask.remove()})).mask(df)
+    return out.select("k", *(F.col("context")[m][f].alias(f"{m}_{f}") for m in "ab" for f in ("ssn", "email")))
+
+
+@query("list_fields", f"select k, 'FIRST' as first, '{EMAIL}' as second, 1 as n_left, 'GONE' as inner_ssn, {quoted(SSN)} as other_ssn from {LOGS}")
+def _(spark, sf_dir):
+    df = logs(spark, sf_dir).select("k", "message", F.struct(F.array("name", "email").alias("a"), F.array("ip", "card").alias("b"), F.array(F.struct("ssn"), F.struct("ssn")).alias("c")).alias("context"))
+    out = Processor(Config(fields={"a.0": "FIRST", "b.1": FieldMask.remove(), "c.0.ssn": "GONE"})).mask(df)
+    c = F.col("context")
+    return out.select("k", c.a[0].alias("first"), c.a[1].alias("second"), F.size(c.b).alias("n_left"), c.c[0].ssn.alias("inner_ssn"), c.c[1].ssn.alias("other_ssn"))
+
+
 @query("type_masks", f"select k, {quoted(TYPE_MASKS['integer'])} as age, {quoted(TYPE_MASKS['boolean'])} as active, cast(0 as double) as score, {quoted(PHONE)} as note, {quoted(EMAIL)} as email, {quoted(TYPE_MASKS['string'])} as name from {LOGS}")
 def _(spark, sf_dir):
     config = Config(type_masks={"integer": TYPE_MASKS["integer"], "boolean": TYPE_MASKS["boolean"], "double": "0.0", "string": TYPE_MASKS["string"]})
@@ -343,6 +379,23 @@ def _(spark, sf_dir):
     return manager.mask(records(spark, sf_dir)).select("k", "context.user.email", "context.user.ssn", "context.note")
 
 
+@query("strategy_list", f"select k, {quoted(IP)} as first, 'N' as second, {quoted(EMAIL)} as mail, phone as note from {LOGS}")
+def _(spark, sf_dir):
+    manager = S.StrategyManager([S.RegexStrategy(patterns=dict(DEFAULTS), include=["tags.*"]), S.FieldPathStrategy(fields={"tags.1": "N"})])
+    df = records(spark, sf_dir).withColumn("context", F.struct(F.concat("context.tags", F.array("context.user.email")).alias("tags"), "context.note"))
+    return manager.mask(df).select("k", F.col("context.tags")[0].alias("first"), F.col("context.tags")[1].alias("second"), F.col("context.tags")[2].alias("mail"), "context.note")
+
+
+@query("strategy_map", f"select k, 'C' as card, {quoted(EMAIL)} as email, phone as note, upper(name) as name from {LOGS}")
+def _(spark, sf_dir):
+    manager = S.StrategyManager([S.FieldPathStrategy(fields={"card": "C"}), S.RegexStrategy(patterns={p: r for p, r in DEFAULTS if r == EMAIL}), S.CallbackStrategy(path="who.name", callback=F.upper)])
+    flat = F.create_map(*(x for c in ("card", "email") for x in (F.lit(c), F.col(c))), F.lit("note"), F.col("phone"))
+    df = logs(spark, sf_dir).select("k", "message", F.struct("name", "card").alias("who"), flat.alias("context"))
+    left = manager.mask(df.drop("who"))
+    right = manager.mask(df.select("k", F.struct(F.create_map(F.lit("name"), F.col("who.name")).alias("who")).alias("context"))).select("k", F.col("context.who")["name"].alias("name"))
+    return left.select("k", *(F.col("context")[n].alias(n) for n in ("card", "email", "note"))).join(right, "k")
+
+
 @query("strategy_conditional_or", f"select k, case when level = 'ERROR' or consent then 'C' else email end as email from {LOGS}")
 def _(spark, sf_dir):
     inner = S.FieldPathStrategy(fields={"user.email": "C"})
@@ -506,7 +559,7 @@ def _(spark, sf_dir):
 @query("rate_limit_status", f"with a as ({_limited_sql(3, 3600)}), c as (select a.event_type, s from a join {_CALLS} c using (event_id) where allowed), m as (select max(s) as now from {_CALLS}) select event_type, count(*) as current_requests, greatest(0, 3 - count(*)) as remaining_requests, greatest(0, min(s) + 3600 - any_value(now)) as time_until_reset from c, m where s > now - 3600 group by event_type")
 def _(spark, sf_dir):
     calls = _calls(spark, sf_dir)
-    now = calls.agg(F.max("s")).first()[0] or 0
+    now = calls.agg(F.coalesce(F.max("s"), F.lit(0))).scalar()
     return RateLimiter(3, 3600).status(calls, "event_type", "s", "event_id", now)
 
 
@@ -520,7 +573,27 @@ def _(spark, sf_dir):
     return df.groupBy("path", audit.operation_group(F.col("path")).alias("operation_group")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("audit_limited")
+def _sliding(name: str, rows: str, limit: int, window: int) -> str:
+    """Common table ``name`` (g, s, o, allowed) of calls (g: group, s: second, o: order) under a sliding log."""
+    return f"""
+{name}_calls as (select *, row_number() over (partition by g order by s, o) as n from ({rows})),
+{name} as (
+  select g, s, o, n, [s] as held, true as allowed from {name}_calls where n = 1
+  union all
+  select g, s, o, n, case when len(live) < {limit} then list_append(live, s) else live end, len(live) < {limit}
+  from (select c.g, c.s, c.o, c.n, list_filter(r.held, lambda x: x > c.s - {window}) as live from {name} r join {name}_calls c on c.g = r.g and c.n = r.n + 1)
+)"""
+
+
+_EVENTS = f"select {_GROUP} as g, floor(k / 50) as s, k as o from (select {_PATHS} as path, k from {LOGS})"
+_LIMITED = f"""
+with recursive {_sliding('judged', _EVENTS, 50, 60)}, denied as materialized (select g, s, o from judged where not allowed),
+{_sliding('warned', 'select * from denied', 1, 60)},
+p as (select {_PATHS} as path, k from {LOGS})
+select path, count(*) as n from (select path from p join judged on k = o where allowed union all select 'rate_limit_exceeded' from warned where allowed) group by path"""
+
+
+@query("audit_limited", _LIMITED)
 def _(spark, sf_dir):
     events = logs(spark, sf_dir).select(F.expr(_PATHS).alias("path"), (F.col("k") / 50).cast("long").alias("s"), F.col("k").alias("seq"))
     out = limited_events(events, RateLimiter(50, 60), "s", "seq")

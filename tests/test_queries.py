@@ -43,11 +43,24 @@ def test_limited_audit(spark):
     assert got == {"json_masked": 3, "rate_limit_exceeded": 1, "user.email": 1}
 
 
-def test_entry_without_llm(monkeypatch):
-    import importlib.util
+def test_limiter_without_keys_and_with_clashing_names(spark):
+    from duskveil.functions.errors import ConfigurationError
+    from duskveil.operators.ratelimit import RateLimiter
+
+    rows = spark.createDataFrame([(None, 1, 1, "x"), (None, 1, 2, "y"), ("a", 1, 4, "w")], "key string, second long, nth long, ok string")
+    got = {r["nth"]: (r["ok"], r["allowed"]) for r in RateLimiter(1, 10).allowed(rows, "key", "second", "nth").collect()}
+    assert got == {1: ("x", True), 2: ("y", False), 4: ("w", True)}
+    with pytest.raises(ConfigurationError):
+        RateLimiter(1, 10).allowed(rows.withColumnRenamed("ok", "allowed"), "key", "second", "nth")
+
+
+@pytest.mark.parametrize("gone", ["duskveil.llm", "corpus_pipeline", "xxhash"])
+def test_entry_without_llm(monkeypatch, gone):
+    import sys
 
     import __spark_entry__ as e
 
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n == "duskveil.llm" else real(n, *a))
+    for name in [n for n in sys.modules if n.startswith("duskveil.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, gone, None)
     assert set(e.queries()) == set(registry.queries()) and set(e.oracle_sql()) == set(registry.oracle_sql())
