@@ -5,19 +5,19 @@ over all training texts: each task counts what it has and deals sorted, packed c
 them exactly. A bucket then writes its own segment of the filter: a count of level q (thresholds 1, 2, 3, 4, 6, 8, 11, 16, ...)
 sets the bits of (n-gram, 1) to (n-gram, q). A probe asks for level 1, 2, ... until one is missing.
 
-A segment is sized from the entries of its bucket and holds all of them, at every size of input. The filter is never in one
-place: texts are taken in chunks of about ``CHUNK`` tokens, the distinct n-grams of a chunk go to their buckets, where the
-segments are probed, and the levels come back to the chunk. The number of buckets grows with the input.
+A segment is sized from the entries of its bucket and holds all of them, at every size of input, so the filter grows with the corpus
+and no broadcast could hold it. The probes go to the segments instead: texts are taken in chunks of about ``CHUNK`` tokens, the
+distinct n-grams of a chunk go to their buckets, where the segments are probed, and levels of one byte come back to the
+chunk. The bucket has its words' exact counts too, which give the base score.
 
 P(w|v) = (c(v w) + mu P(w)) / (c(v) + mu), with P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)); mu is the best of a grid for all
 training texts, each left out of its own counts. A token's probability follows from three levels, so numbers of tokens by
 levels are all that the choice of mu needs.
 
-Exact word counts (for the base score) are not in the filter: the ``HOT`` most frequent words are broadcast, all others
-are joined.
-
-Defined results: a null or empty text has the end alone; without training texts, N and V are 0 and the base score is 0;
-repeated rows are texts of their own; a null id counts as an empty one; extra columns don't matter.
+Defined results: a null or empty text has the end alone; very long texts are scored whole, in a chunk of their own; without training texts, N and V are 0
+and the base score is 0; repeated rows are texts of their own; a null id counts as an empty one; an empty table gives an empty result; extra columns
+don't matter. Words and pairs are told apart by hashes of 64 and 48 bits. Texts are read once for the questions and once for the answers, so
+``docs`` must be a plain read (or a staged table); chunks that differed between the two would be noticed and raise.
 """
 
 from __future__ import annotations
@@ -37,14 +37,16 @@ from pyspark.sql import functions as F
 from . import common as C
 
 HASHES = 6
-HOT = 1 << 19
 END = 0x5E5E5E5E5E5E5E5F
 FLUSH = 3_000_000
 CHUNK = 1_500_000
-MEMO = 400_000
+#: Buckets at most: a task's counts are dealt to each of them.
+MOST_BUCKETS = 1 << 16
+#: Each byte as a word has it: A-Z lower-cased; ASCII white space parts words.
+LETTERS = bytes(32 if 9 <= x <= 13 else x + 32 if 65 <= x <= 90 else x for x in range(256))
 MUS = np.array([4.0**k for k in range(-1, 14)])
 #: The smallest count of each level, made by rule.
-LEVELS = np.unique(np.round(2.0 ** (np.arange(0, 80) / 2)).astype(np.int64))
+LEVELS = np.unique(np.round(2.0 ** (np.arange(0, 120) / 2)).astype(np.int64))
 #: What a level stands for: the geometric mean of its smallest and largest count; 0 for no level.
 VALUES = np.concatenate([[0.0], np.sqrt(LEVELS * (np.append(LEVELS[1:], LEVELS[-1] * 2) - 1.0))])
 VALUES[1] = 1.0
@@ -52,53 +54,40 @@ WAYS = len(LEVELS) + 1
 PAIR_BITS = np.uint64(16)  # pairs keep the upper 48 bits of their hash
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending uint64 keys and their counts: byte planes of differences, compressed."""
+def pack(keys: np.ndarray, counts: np.ndarray | None = None) -> bytes:
+    """Ascending uint64 keys, and their counts where there are any: byte planes of differences, compressed."""
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + steps + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    more = b"" if counts is None else counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + steps + more)
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(raw)
     n = int.from_bytes(data[:8], "little")
-    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, 8).reshape(8, n).T).view("<u8").reshape(-1)
-    counts = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, 8 + 8 * n).reshape(4, n).T).view("<u4").reshape(-1)
-    return np.cumsum(steps, dtype=np.uint64), counts
+    plane = lambda at, n: np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view("<u8").reshape(-1)
+    return np.cumsum(plane(8, n), dtype=np.uint64), plane(8 + 8 * n, n if len(data) > 8 + 8 * n else 0).astype(np.int64)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, with their (summed) counts; a count stops at 2**32 - 1."""
+    """Distinct keys, ascending, with their (summed) counts."""
     if counts is None:
         return np.unique(keys, return_counts=True)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    total = np.add.reduceat(counts[order].astype(np.int64), first) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.minimum(total, 0xFFFFFFFF)
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else np.zeros(0, np.int64)
 
 
 class Tokens:
     """Hash streams of texts: the hashes of the words, then END."""
 
     def __init__(self):
-        self.memo: dict[bytes, int] = {}
+        self.words = C.Words(LETTERS)
 
     def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all texts, tokens of each text)."""
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        words = [x.lower().split() for x in raws]
-        for w in {w for x in words for w in x}.difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        sizes = np.array([len(x) + 1 for x in words], np.int64)
-        out = np.empty(int(sizes.sum()), np.uint64)
-        at = 0
-        for x in words:
-            out[at : at + len(x)] = np.fromiter(map(memo.__getitem__, x), np.uint64, len(x))
-            at += len(x) + 1
-            out[at - 1] = END
-        return out, sizes
+        h, n = self.words(raws)
+        return np.insert(h, np.cumsum(n), np.uint64(END)), n + 1
 
 
 def pair_keys(h: np.ndarray) -> np.ndarray:
@@ -112,7 +101,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def count_ngrams(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """A row for each bucket: words (packed), n (tokens), hist (numbers of words by count), and its segment of the filter."""
+    """A row for each bucket: words (packed, with exact counts), n (tokens), v (distinct words), and its segment of the filter."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, held, size = Tokens(), [], 0
@@ -137,16 +126,15 @@ def count_ngrams(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             yield flush()
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        packed, entries = {}, 0
+        held, entries = {}, 0
         for kind in (1, 2):
-            parts = [unpack(x) for x in pdf.loc[pdf["kind"] == kind, "packed"]] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))]
-            keys, n = summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-            packed[kind], entries = pack(keys, n), entries + int(level(n).sum())
-            if kind == 1:
-                hist, total = np.bincount(np.minimum(n, 4095), minlength=4096).astype("<i8").tobytes(), int(n.sum())
-        return pd.DataFrame({"bucket": [int(key[0])], "words": [packed[1]], "hist": [hist], "n": [total], "segment": [segment(packed[1], packed[2], (1, 1), bits_for(entries))]})
+            parts = [unpack(x) for x in pdf.loc[pdf["kind"] == kind, "packed"]] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            held[kind] = summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+            entries += int(level(held[kind][1]).sum())
+        words, n = held[1]
+        return pd.DataFrame({"bucket": [int(key[0])], "words": [pack(words, n)], "n": [int(n.sum())], "v": [len(n)], "segment": [segment(held[1], held[2], bits_for(entries))]})
 
-    return docs.select(text).mapInArrow(count, "kind int, bucket int, packed binary").groupBy("bucket").applyInPandas(add, "bucket int, words binary, hist binary, n long, segment binary")
+    return docs.select(text).mapInArrow(count, "kind int, bucket int, packed binary").groupBy("bucket").applyInPandas(add, "bucket int, words binary, n long, v long, segment binary")
 
 
 def bits_for(entries: int) -> int:
@@ -166,13 +154,11 @@ def _positions(keys: np.ndarray, q: int, bits: int) -> Iterator[np.ndarray]:
         yield (((a + np.uint64(k) * b) & np.uint64(0xFFFFFFFF)) * np.uint64(bits)) >> np.uint64(32)
 
 
-def segment(words: bytes, pairs: bytes, least: tuple[int, int], bits: int) -> bytes:
-    """The filter's bits for the n-grams of one bucket."""
+def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], bits: int) -> bytes:
+    """The filter's bits for the n-grams (keys, counts) of one bucket."""
     out = np.zeros(bits, np.uint8)
-    for packed, n_min, salt in ((words, least[0], 0), (pairs, least[1], 1)):
-        keys, n = unpack(packed)
-        keys, q = keys[n >= n_min], level(n[n >= n_min])
-        keys = keys ^ np.uint64(salt)
+    for salt, (keys, n) in enumerate((words, pairs)):
+        keys, q = keys ^ np.uint64(salt), level(n)
         for j in range(1, int(q.max(initial=0)) + 1):
             for at in _positions(keys[q >= j], j, bits):
                 out[at.astype(np.int64)] = 1
@@ -180,27 +166,22 @@ def segment(words: bytes, pairs: bytes, least: tuple[int, int], bits: int) -> by
 
 
 @dataclass
-class Filter:
-    """Segments of the filter, with ``bits`` bits each; a segment that is probed in its bucket stands alone."""
+class Segment:
+    """A bucket's part of the filter."""
 
     raw: np.ndarray
-    buckets: int
-    bits: int
 
     def levels(self, keys: np.ndarray, salt: int) -> np.ndarray:
         """The level of each key: probes go on until a level is missing."""
-        out = np.zeros(len(keys), np.int64)
-        if not self.bits:
+        out, bits = np.zeros(len(keys), np.int64), 8 * len(self.raw)
+        if not bits:
             return out
-        left, base = np.arange(len(keys)), bucket_of(keys, self.buckets) * np.uint64(self.bits)
-        salted = keys ^ np.uint64(salt)
+        left, salted = np.arange(len(keys)), keys ^ np.uint64(salt)
         for j in range(1, len(LEVELS) + 1):
             alive = np.ones(len(left), bool)
-            sub, own = salted[left], base[left]
-            for at in _positions(sub, j, self.bits):
-                at = own + at
+            for at in _positions(salted, j, bits):
                 alive &= (self.raw[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            left = left[alive]
+            left, salted = left[alive], salted[alive]
             if not len(left):
                 break
             out[left] = j
@@ -212,8 +193,6 @@ class Model:
     buckets: int
     n: int
     v: int
-    hot_keys: np.ndarray  # the most frequent words, ascending by hash, with exact counts
-    hot_counts: np.ndarray
     mu: float = 1.0
 
     def log10(self, codes: np.ndarray, mu: float, out: int = 0) -> np.ndarray:
@@ -228,42 +207,14 @@ def codes_of(both: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarra
     return (both.astype(np.int64) * WAYS + before) * WAYS + own
 
 
-def choose_least(hist: np.ndarray, pair_hist: np.ndarray, budget: int) -> tuple[tuple[int, int], int]:
-    """The smallest counts to hold (of words, of pairs) so that the entries fit the budget; and the entries. For callers
-    with a budget: ``train`` has none and holds all counts."""
-    q = level(np.arange(4096))
-    size = lambda x, n: int((x * q)[n:].sum())  # noqa: E731  counts from 4095 on: see below
-    least = (1, 1)
-    # an n-gram of 4095 or more occurrences takes up to 40 more levels than its cell of the histogram says
-    while (n := size(hist, least[0]) + size(pair_hist, least[1]) + 40 * int(hist[-1] + pair_hist[-1])) > budget and least[0] < 4096:
-        least = (least[0], least[1] * 2) if least[1] <= 16 * least[0] and least[1] < 4096 else (least[0] * 2, least[1])
-    return least, n
-
-
 def train(docs: DataFrame, text: str = "text", sample: DataFrame | None = None) -> tuple[Model, DataFrame]:
     """A model of ``docs``, and the counts and segments it was made from (a row for each bucket). ``sample``: texts that mu is fit to."""
     spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * docs.rdd.getNumPartitions(), MOST_BUCKETS))
     counts, _ = C.stage(count_ngrams(docs, text, buckets), "ngram-counts", "none")
-    hist, n = np.zeros(4096, np.int64), 0
-    for r in counts.select("hist", "n").toLocalIterator():  # 32 kB for each bucket, one at a time
-        hist += np.frombuffer(r["hist"], "<i8")
-        n += r["n"]
-    above = np.cumsum(hist[::-1])[::-1]  # words with at least that count
-    hot_from = int(np.argmax(above <= HOT)) if above[-1] <= HOT else 4096  # more than HOT words of 4095 and more: all are joined
-    hot_from = max(hot_from, 1)
-
-    def frequent(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for r in b.to_pylist():
-                keys, n = unpack(r["words"])
-                hot = n >= hot_from if hot_from < 4096 else np.zeros(len(n), bool)
-                yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([pack(keys[hot], n[hot])], pa.binary())], ["bucket", "hot"])
-
-    hot = {r["bucket"]: unpack(r["hot"]) for r in counts.select("bucket", "words").mapInArrow(frequent, "bucket int, hot binary").toLocalIterator()}
-    empty = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))]
-    parts = [hot[b] for b in sorted(hot)] or empty  # buckets are ranges of hashes: in order
-    model = Model(buckets, n, int(hist.sum()), np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+    C.release_shuffles(spark)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    model = Model(buckets, int(total["n"]), int(total["v"]))
     if sample is not None:
         rows = sample.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(True).alias("fit"))
         model.mu = fit_mu(probe(rows, model, counts, MUS[:0]), model)
@@ -281,108 +232,104 @@ def fit_mu(probed: DataFrame, model: Model) -> float:
     return float(MUS[int(np.argmax(total))])
 
 
+def _chunks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(name, places, ids, whether each row is for the fit, tokens of each, hashes) of chunks of rows (rid, doc_id, text, fit)."""
+    tokens, held, size = Tokens(), [], 0
+
+    def joined():
+        rids, ids = (pa.concat_arrays([x[k] for x in held]) for k in (0, 1))
+        fit, sizes, h = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
+        name = xxhash.xxh3_64_intdigest(h.tobytes(), seed=rids[0].as_py()) - (1 << 63)
+        return name, rids, ids, fit, sizes, h
+
+    for b in (y for x in it for y in C.batches([x], 4 << 20)):
+        h, sizes = tokens(C.utf8(b.column(2)))
+        held.append((b.column(0), b.column(1), b.column(3).to_numpy(zero_copy_only=False).astype(bool), sizes, h))
+        size += len(h)
+        if size >= CHUNK:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
+
 def probe(docs: DataFrame, model: Model, counts: DataFrame, mus: np.ndarray) -> DataFrame:
-    """For every row of ``docs`` (doc_id, text, fit): rid, doc_id, n_tokens, hot (tokens among the frequent words) and base (their
-    score), scores (for each of ``mus``), cold and cold_n (the other words). The first row of a chunk has codes and code_n, the
-    numbers of tokens of its ``fit`` texts by levels."""
+    """For every row of ``docs`` (doc_id, text, fit): doc_id, n_tokens, n_known, base, and scores (for each of ``mus``). The first row of a
+    chunk has codes and code_n, the numbers of tokens of its ``fit`` texts by levels."""
     spark, buckets = docs.sparkSession, model.buckets
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(model)
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held, size = Tokens(), [], 0
-
-        def flush():
-            rids, ids = (pa.concat_arrays([x[k] for x in held]) for k in (0, 1))
-            fit, sizes, h = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
-            chunk = rids[0].as_py()
-            words, at = np.unique(h, return_inverse=True)
-            pairs = np.unique(pair_keys(h))
-            cuts = [np.searchsorted(bucket_of(x, buckets), np.arange(buckets + 1)) for x in (words, pairs)]
-            none = np.zeros(len(h), np.uint32)  # only the keys matter
-            own = [b for b in range(buckets) if any(c[b] < c[b + 1] for c in cuts)]
-            asked = [[pack(x[c[b] : c[b + 1]], none[c[b] : c[b + 1]]) for b in own] for x, c in zip((words, pairs), cuts)]
-            body = [words.tobytes(), zstandard.ZstdCompressor(level=1).compress(at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())]
-            n = len(own)
-            flat = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x), *[len(x)] * n], pa.int32()), x)
-            no = [None] * n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * (n + 1)), pa.array([None, *own], pa.int32()), pa.array([body[0], *asked[0]], pa.binary()), pa.array([body[1], *asked[1]], pa.binary()), flat(rids), flat(ids), pa.array([fit.tobytes(), *no], pa.binary()), pa.array([sizes.astype("<i8").tobytes(), *no], pa.binary())],
-                ["chunk", "bucket", "words", "pairs", "rids", "ids", "fit", "sizes"],
-            )
-
-        for b in (y for x in it for y in C.batches([x], 4 << 20)):
-            h, sizes = tokens(C.utf8(b.column(2)))
-            held.append((b.column(0), b.column(1), b.column(3).to_numpy(zero_copy_only=False).astype(bool), sizes, h))
-            size += len(h)
-            if size >= CHUNK:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
+        for name, _, _, _, _, h in _chunks(it):
+            keys = [np.unique(h), np.unique(pair_keys(h))]
+            cuts = [np.searchsorted(bucket_of(x, buckets), np.arange(buckets + 1)) for x in keys]
+            own = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0)).tolist()
+            asked = [pa.array([pack(x[c[b] : c[b + 1]]) for b in own], pa.binary()) for x, c in zip(keys, cuts)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.int64()), pa.array(own, pa.int32()), *asked], ["chunk", "bucket", "words", "pairs"])
 
     def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
-        raw = np.frombuffer(held["segment"][0].as_py(), np.uint8) if held.num_rows else np.zeros(0, np.uint8)
-        segment_of, out = Filter(raw, 1, 8 * len(raw)), []
+        own = Segment(np.frombuffer(held["segment"][0].as_py(), np.uint8) if held.num_rows else np.zeros(0, np.uint8))
+        known, exact = unpack(held["words"][0].as_py()) if held.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        out: dict[str, list] = {"counts": [], "words": [], "pairs": []}
         for salt, name in enumerate(("words", "pairs")):
-            keys, levels = [unpack(x)[0] for x in asked[name].to_pylist()], []
-            for some in C.chunks(keys, 500_000, len):
-                got = segment_of.levels(np.concatenate(some), salt).astype(np.uint8).tobytes()
-                ends = np.cumsum([len(x) for x in some]).tolist()
-                levels += [got[x:y] for x, y in zip([0, *ends], ends)]
-            out.append(pa.array(levels, pa.binary()))
-        return pa.table([asked["chunk"], asked["bucket"], *out], ["chunk", "bucket", "words", "pairs"])
+            for some in C.chunks([unpack(x)[0] for x in asked[name].to_pylist()], 500_000, len):
+                keys = np.concatenate(some)
+                ends = np.cumsum([len(x) for x in some])
+                got = {name: own.levels(keys, salt).astype(np.uint8)}
+                if not salt:
+                    at = np.searchsorted(known, keys)
+                    got["counts"] = np.where(np.append(known, np.uint64(0))[at] == keys, np.append(exact, 0)[at], 0).astype("<i8")
+                for k, v in got.items():
+                    out[k] += [x.tobytes() for x in np.split(v, ends[:-1])]
+        return pa.table([asked["chunk"], asked["bucket"], *(pa.array(out[k], pa.binary()) for k in out)], ["chunk", "bucket", *out])
+
+    def body(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, rids, ids, fit, sizes, h in _chunks(it):
+            words, at = np.unique(h, return_inverse=True)
+            often = np.argsort(-np.bincount(at), kind="stable")  # frequent words get small numbers, which take little room
+            number = np.empty(len(often), np.int64)
+            number[often] = np.arange(len(often))
+            order = zstandard.ZstdCompressor(level=1).compress(number[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+            rank = zstandard.ZstdCompressor(level=1).compress(number.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+            cells = [pa.array([x], pa.binary()) for x in (pack(words), rank, order, fit.tobytes(), sizes.astype("<i8").tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *cells], ["chunk", "ids", "words", "rank", "order", "fit", "sizes"])
+
+    planes = lambda raw: np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
     def gather(key: tuple, body: pa.Table, answers: pa.Table) -> pa.Table:
-        m = shared.value
-        log_all = math.log10(m.n + 0.5 * (m.v + 1))
-        rids, ids = (body[k].combine_chunks().flatten() for k in ("rids", "ids"))
-        fit, sizes = np.frombuffer(body["fit"][0].as_py(), bool), np.frombuffer(body["sizes"][0].as_py(), "<i8")
-        words = np.frombuffer(body["words"][0].as_py(), np.uint64)
-        raw = zstandard.ZstdDecompressor().decompress(body["pairs"][0].as_py())
-        at = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+        one = {k: body[k][0].as_py() for k in ("words", "rank", "order", "fit", "sizes")}
+        ids = body["ids"].combine_chunks().flatten()
+        fit, sizes = np.frombuffer(one["fit"], bool), np.frombuffer(one["sizes"], "<i8")
+        words = unpack(one["words"])[0]
+        at = np.argsort(planes(one["rank"]))[planes(one["order"])]
         h = words[at]
         answers = answers.sort_by("bucket")  # buckets are ranges of hashes: in order
-        of_word, of_pair = (np.frombuffer(b"".join(answers[k].to_pylist()), np.uint8) for k in ("words", "pairs"))
+        of_word, of_pair, count = (np.frombuffer(b"".join(answers[k].to_pylist()), t) for k, t in (("words", np.uint8), ("pairs", np.uint8), ("counts", "<i8")))
+        pairs, pair = np.unique(pair_keys(h), return_inverse=True)
+        if len(of_word) != len(words) or len(of_pair) != len(pairs):
+            raise ValueError("the texts of a chunk changed between two reads")
         own = of_word[at]
         end = of_word[np.searchsorted(words, np.uint64(END))]
-        codes = codes_of(of_pair[np.unique(pair_keys(h), return_inverse=True)[1]], np.concatenate([[end], own[:-1]]), own)
-        distinct, codes = np.unique(codes, return_inverse=True)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        scores = np.array([np.add.reduceat(m.log10(distinct, mu)[codes], starts) for mu in mus]).reshape(len(mus), len(sizes))
-        cells = np.bincount(codes[np.repeat(fit, sizes)], minlength=len(distinct))
-        known = np.minimum(np.searchsorted(m.hot_keys, words), max(0, len(m.hot_keys) - 1))
-        hot_word = m.hot_keys[known] == words if len(m.hot_keys) else np.zeros(len(words), bool)
-        base_word = np.zeros(len(words))
-        base_word[hot_word] = np.log10(m.hot_counts[known[hot_word]] + 0.5) - log_all
-        hot, base = hot_word[at], base_word[at]
-        cold, cold_n = [], []
-        bounds = np.concatenate([[0], np.cumsum(~hot)])[np.concatenate([[0], ends])]
-        rest = h[~hot]
-        for x, y in zip(bounds, bounds[1:]):
-            k, n = np.unique(rest[x:y], return_counts=True)
-            cold.append(k.view(np.int64))
-            cold_n.append(n)
-        flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else [], kind))
-        none = [None] * (len(sizes) - 1)
-        any_fit = bool(fit.any())
+        codes, code = np.unique(codes_of(of_pair[pair], np.concatenate([[end], own[:-1]]), own), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        scores = np.array([np.add.reduceat(model.log10(codes, mu)[code], starts) for mu in mus]).reshape(len(mus), len(sizes))
+        base = np.log10(count + 0.5) - math.log10(model.n + 0.5 * (model.v + 1))
+        cells = np.bincount(code[np.repeat(fit, sizes)], minlength=len(codes))
+        some, none = np.flatnonzero(cells), [None] * (len(sizes) - 1)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * len(mus), pa.int32()), pa.array(scores.T.reshape(-1)))
         return pa.table(
-            [rids, ids, pa.array(sizes), pa.array(np.add.reduceat(hot.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), flat(list(scores.T), pa.float64()), flat(cold, pa.int64()), flat(cold_n, pa.int64()),
-             pa.array([distinct[cells > 0] if any_fit else None, *none], pa.list_(pa.int64())), pa.array([cells[cells > 0] if any_fit else None, *none], pa.list_(pa.int64()))],
-            ["rid", "doc_id", "n_tokens", "hot", "base", "scores", "cold", "cold_n", "codes", "code_n"],
+            [ids, pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64)[at], starts)), pa.array(np.add.reduceat(base[at], starts)), flat,
+             pa.array([codes[some] if len(some) else None, *none], pa.list_(pa.int64())), pa.array([cells[some] if len(some) else None, *none], pa.list_(pa.int64()))],
+            ["doc_id", "n_tokens", "n_known", "base", "scores", "codes", "code_n"],
         )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "fit")
-    asked, path = C.stage(rows.mapInArrow(ask, f"chunk long, bucket int, words binary, pairs binary, rids array<long>, ids array<{kind}>, fit binary, sizes binary"), "lm-chunks", "none")
-    asks = asked.where(F.col("bucket").isNotNull()).select("chunk", "bucket", "words", "pairs")
-    answers = asks.groupBy("bucket").cogroup(counts.select("bucket", "segment").groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, words binary, pairs binary")
-    answers, _ = C.stage(answers, "lm-levels")
-    C.release_shuffles(spark)  # of the n-grams asked for, before the chunks are shuffled
-    bodies = asked.where(F.col("bucket").isNull()).drop("bucket")
-    each = bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        gather, f"rid long, doc_id {kind}, n_tokens long, hot long, base double, scores array<double>, cold array<long>, cold_n array<long>, codes array<long>, code_n array<long>"
-    )
+    rows = C.placed(docs, "rid").select("rid", "doc_id", "text", "fit")
+    asks = rows.mapInArrow(ask, "chunk long, bucket int, words binary, pairs binary")
+    found = asks.groupBy("bucket").cogroup(counts.select("bucket", "words", "segment").groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, counts binary, words binary, pairs binary")
+    answers, path = C.stage(found, "lm-levels")
+    C.release_shuffles(spark)  # of the questions, before the chunks are shuffled
+    bodies = rows.mapInArrow(body, f"chunk long, ids array<{kind}>, words binary, rank binary, order binary, fit binary, sizes binary")
+    each = bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(gather, f"doc_id {kind}, n_tokens long, n_known long, base double, scores array<double>, codes array<long>, code_n array<long>")
     out, _ = C.stage(each, "lm-scores")
     C.drop_path(spark, path)
     C.release_shuffles(spark)
@@ -396,25 +343,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
     if fit is not None:
         model.mu = fit_mu(each, model)
     mine = F.col("scores")[0 if fit is None else MUS.tolist().index(model.mu)]
-    log_all = math.log10(model.n + 0.5 * (model.v + 1))
-    hot_least = int(model.hot_counts.min()) if len(model.hot_counts) else None
-
-    def unroll(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for r in b.column(0).to_pylist():
-                keys, n = unpack(r)
-                if hot_least is not None:
-                    keys, n = keys[n < hot_least], n[n < hot_least]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "c"])
-
-    exact = counts.select("words").mapInArrow(unroll, "key long, c long")
-    rare = each.select("rid", F.explode(F.arrays_zip("cold", "cold_n")).alias("x")).select("rid", F.col("x.cold").alias("key"), F.col("x.cold_n").alias("k"))
-    term = F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5)) - F.lit(log_all))
-    joined = rare.join(exact, "key", "left").groupBy("rid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("more_known"), F.sum(term).alias("more_base"))
-    return each.select("rid", "doc_id", "n_tokens", "hot", "base", mine.alias("score")).join(joined, "rid", "left").select(
-        "doc_id", "n_tokens", (F.col("hot") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
-    )
+    return each.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), mine.alias("score"))
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:
