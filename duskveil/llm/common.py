@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -102,13 +103,100 @@ class Words:
         return mix64((total[last] - total[first]) * self.down[first] + (last - first).astype(np.uint64), self.seed)
 
 
+class Known:
+    """Distinct 64-bit keys and arrays beside them, found again by lookups of many keys at once."""
+
+    def __init__(self, **kinds):
+        self.kinds = kinds
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = 0  # what is in use of the arrays, which grow by doubling
+        self.keys = np.zeros(1024, np.uint64)
+        self.beside = {name: np.zeros(1024, kind) for name, kind in self.kinds.items()}
+        self.old = self.recent = pd.Index(self.keys[:0])  # two indexes: only the small one is made anew for each batch
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key; -1 where it isn't known."""
+        at = self.old.get_indexer(keys)
+        left = np.flatnonzero(at < 0)
+        if len(left) and len(self.recent):
+            got = self.recent.get_indexer(keys[left])
+            at[left] = np.where(got >= 0, got + len(self.old), -1)
+        return at
+
+    def learn(self, keys: np.ndarray, of) -> np.ndarray:
+        """The place of each key. ``of`` is asked for the values of the new ones, by name, given a place in ``keys`` of each."""
+        at = self.find(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            distinct, one, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            at[new] = self.n + back
+            self._add(distinct, of(new[one]))
+        return at
+
+    def _add(self, keys: np.ndarray, values: dict[str, np.ndarray]) -> None:
+        end = self.n + len(keys)
+        if end > len(self.keys):
+            self.keys = np.concatenate([self.keys, np.zeros(end, np.uint64)])
+            self.beside = {k: np.concatenate([x, np.zeros(end, x.dtype)]) for k, x in self.beside.items()}
+        self.keys[self.n : end] = keys
+        for k, x in values.items():
+            self.beside[k][self.n : end] = x
+        self.n = end
+        if end - len(self.old) > max(50_000, len(self.old) // 8):
+            self.old, self.recent = pd.Index(self.keys[:end].copy()), pd.Index(self.keys[:0])
+        else:
+            self.recent = pd.Index(self.keys[len(self.old) : end].copy())
+
+
+class KnownIds(Known):
+    """Keys with a list of ids each."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        super().__init__(first=np.int64, size=np.int32)
+
+    def clear(self) -> None:
+        super().clear()
+        self.n_ids, self.ids = 0, np.zeros(4096, self.dtype)
+
+    def hold(self, ids: list) -> dict[str, np.ndarray]:
+        """Take in the lists of ids of new keys."""
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        end = self.n_ids + int(size.sum())
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(end, self.dtype)])
+        self.ids[self.n_ids : end] = np.fromiter(itertools.chain.from_iterable(ids), self.dtype, end - self.n_ids)
+        first = self.n_ids + np.cumsum(size) - size
+        self.n_ids = end
+        return {"first": first, "size": size}
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of places in turn, how many each has)."""
+        size = self.beside["size"][at].astype(np.int64)
+        ends = np.cumsum(size)
+        place = np.repeat(self.beside["first"][at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.ids[place], size
+
+
+def summed_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values, ``counts`` of them each."""
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, the context's checkpoint folder, or one of our
+    own if all workers run on this machine (tests); else it raises, as a cluster's machines would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = sc.getCheckpointDir()
         if not found:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='duskveil-')}")
             found = sc.getCheckpointDir()
     return found
@@ -153,7 +241,19 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of rows that go to a Python worker, or come back, at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches between the JVM and Python are bounded by bytes too, unless the session says otherwise: texts may be very long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -218,11 +318,13 @@ def batches(it: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordB
             yield b.slice(k, per)
 
 
-def bloom(ids: DataFrame, n: int, max_bytes: int = 8 << 20, parts: int = 64):
+def bloom(ids: DataFrame, n: int, max_bytes: int = 8 << 20):
     """A broadcast Bloom filter of the ``n`` long ids of a one-column table, of at most ``max_bytes``.
 
-    It only spares work: what passes goes on to an exact join, and a filter that is too full lets all pass.
+    It only spares work: what passes goes on to an exact join, and a filter that is too full lets all pass. Its parts are
+    made by tasks of about a million ids each, and have 64 bytes at least.
     """
+    parts = min(max(64, -(-n // 1_000_000)), max_bytes // 64)
     bits = min(max_bytes * 8 // parts, -(-max(n, 64) * 10 // parts) + 64) // 8 * 8
     name = ids.columns[0]
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import bloom_lm, dart_minhash, decontaminate, line_mphf, media_chunks, sentencepiece_backend, suffix_family, token_ids, toxicity, trie_counts
 
 
@@ -19,10 +17,8 @@ def queries() -> dict:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_sentencepiece": sentencepiece_backend.op9_sentencepiece,
         "op10_token_counts": trie_counts.op10_token_counts,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    found = {"op2_near_dedup": dart_minhash.OP2_SQL, "op5_suffix_dedup": suffix_family.OP5_SQL, "op7_line_dedup": line_mphf.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_near_dedup": dart_minhash.OP2_SQL, "op5_suffix_dedup": suffix_family.OP5_SQL, "op7_line_dedup": line_mphf.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL}

@@ -2,13 +2,17 @@
 
 The model file (a protobuf) is parsed here: pieces with scores and kinds, the trainer's and the normaliser's settings.
 From these a tokenizers model is rebuilt: Unigram from the scores, or BPE with merges ranked by the scores of what they
-make; the normaliser (precompiled character map, white space), the metaspace marker and byte fallback. Batches of distinct segments are
-encoded multithreaded. A segment ends before a marker that follows another character, and around line ends: where no
-piece of the vocabulary reaches across (checked on load; else texts are encoded whole). Parity with the sentencepiece
-library can be verified text by text, as op9 does for every document.
+make; the normaliser (precompiled character map, white space), the metaspace marker, byte fallback, and the decoder. Encoding runs
+multithreaded over batches of distinct segments: a segment ends before a blank that follows another character, and around line ends, where no
+piece of the vocabulary reaches across (checked on load; else texts are encoded whole). Segments are told apart by 64-bit hashes, made for
+all bytes of a batch at once. Whole texts' ids are decoded by the library. Parity with the sentencepiece library can be verified text by
+text, as op9 does for every document.
 
-Defined results: a null or empty text has no tokens; byte fallback keeps characters outside the vocabulary; decoding
-gives the normalised text (a marker character in the text comes back as a blank); repeated rows are encoded each on
+A run of two or more markers is the one thing the library's merges can't say: their pieces have equal scores, and the model then takes the
+leftmost; ``Merger`` follows the model's own order there.
+
+Defined results: a null or empty text has no tokens; very long texts are encoded whole; byte fallback keeps characters outside the
+vocabulary; decoding gives the normalised text (a marker character in the text comes back as a blank); repeated rows are encoded each on
 their own; an empty table gives an empty result; extra columns don't matter.
 """
 
@@ -21,7 +25,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +39,8 @@ MARK = "▁"
 #: Kinds of pieces and of models in the model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-MEMO = 400_000
+#: Segments that a worker remembers, before it starts anew.
+MEMO = 1_500_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -109,8 +114,8 @@ class ModelFile:
 
 
 def build(m: ModelFile):
-    """A tokenizers model for segments that are already normalised."""
-    from tokenizers import AddedToken, Tokenizer, models
+    """The tokenizers model, with normaliser (less the marker before a text) and decoder."""
+    from tokenizers import AddedToken, Tokenizer, decoders, models
 
     if m.kind == UNIGRAM:
         t = Tokenizer(models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk, m.byte_fallback))
@@ -124,11 +129,14 @@ def build(m: ModelFile):
     user = [AddedToken(p, normalized=False) for p, _, kind in m.pieces if kind == USER_DEFINED]
     if user:
         t.add_tokens(user)
+    t.normalizer = normalizer(m, prefix=False)
+    steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    t.decoder = decoders.Sequence(steps + [decoders.Strip(" ", 1, 0)] * m.add_prefix)
     return t
 
 
-def normalizer(m: ModelFile):
-    """The whole normaliser as tokenizers steps."""
+def normalizer(m: ModelFile, prefix: bool = True):
+    """The normaliser as tokenizers steps; without ``prefix``, no marker is put before."""
     from tokenizers import Regex, normalizers
 
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
@@ -136,119 +144,144 @@ def normalizer(m: ModelFile):
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
     if m.escape:
         steps.append(normalizers.Replace(" ", MARK))
-    if m.add_prefix:
+    if m.add_prefix and prefix:
         steps.append(normalizers.Prepend(MARK if m.escape else " "))
     return normalizers.Sequence(steps)
 
 
-def merge_runs(m: ModelFile, ids: dict[str, int], segment: str) -> list[int]:
+class Merger:
     """BPE ids of a segment by the model's own order: highest score first, then leftmost.
 
     Merge ranks say the same but for pieces of equal scores, which the runs of markers have.
     """
-    parts: list[str | None] = list(segment)
-    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-    joins = {p: s for p, s, kind in m.pieces if kind in (NORMAL, USER_DEFINED) and p and MARK * 2 in p or len(p) > 1 and p in segment}
-    heap: list[tuple[float, int, str, int]] = []
-
-    def offer(a: int) -> None:
-        b = after[a] if 0 <= a else len(parts)
-        if b < len(parts) and (s := joins.get(w := parts[a] + parts[b])) is not None:  # type: ignore[operator]
-            heapq.heappush(heap, (-s, a, w, b))
-
-    for k in range(len(parts) - 1):
-        offer(k)
-    while heap:
-        _, a, w, b = heapq.heappop(heap)
-        if parts[a] is None or b >= len(parts) or parts[b] is None or after[a] != b or parts[a] + parts[b] != w:  # type: ignore[operator]
-            continue
-        parts[a], parts[b] = w, None
-        after[a] = after[b]
-        if after[a] < len(parts):
-            before[after[a]] = a
-        offer(a)
-        if before[a] >= 0:
-            offer(before[a])
-    out: list[int] = []
-    for w in parts:
-        if w is not None:
-            out += [ids[w]] if w in ids else [ids[f"<0x{x:02X}>"] for x in w.encode()] if m.byte_fallback else [m.unk]
-    return out
+
+    def __init__(self, m: ModelFile):
+        self.model, self.ids = m, {p: k for k, (p, _, _) in enumerate(m.pieces)}
+        self.joins = {p: s for p, s, kind in m.pieces if kind in (NORMAL, USER_DEFINED)}
+
+    def __call__(self, segment: str) -> list[int]:
+        parts: list[str | None] = list(segment)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str, int]] = []
+
+        def offer(a: int) -> None:
+            b = after[a]
+            if b < len(parts) and (s := self.joins.get(w := parts[a] + parts[b])) is not None:  # type: ignore[operator]
+                heapq.heappush(heap, (-s, a, w, b))
+
+        for k in range(len(parts)):
+            offer(k)
+        while heap:
+            _, a, w, b = heapq.heappop(heap)
+            if parts[a] is None or after[a] != b or parts[b] is None or parts[a] + parts[b] != w:  # type: ignore[operator]
+                continue
+            parts[a], parts[b] = w, None
+            after[a] = after[b]
+            if after[a] < len(parts):
+                before[after[a]] = a
+            offer(a)
+            if before[a] >= 0:
+                offer(before[a])
+        out: list[int] = []
+        for w in parts:
+            if w is not None:
+                out += [self.ids[w]] if w in self.joins else [self.ids[f"<0x{x:02X}>"] for x in w.encode()] if self.model.byte_fallback else [self.model.unk]
+        return out
 
 
 class Codec:
     """Encode and decode whole texts; distinct segments are remembered."""
 
     def __init__(self, path: str, threads: int = 2):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+        self.threads = threads
+        self._parallel()
         self.model = ModelFile.load(path)
         self.steps = normalizer(self.model)
-        self.plain = not self.model.charsmap and not self.model.squeeze and self.model.escape
-        self.separable = self.model.separable()
-        self.memo: dict[str, bytes] = {}
-        self.runs = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.ids = {p: k for k, (p, _, _) in enumerate(self.model.pieces)}
-        self.bytes_of = []
-        for p, _, kind in self.model.pieces:
-            raw = bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode()
-            self.bytes_of.append(raw)
+        #: The normaliser acts on each segment alone, and no piece crosses segments.
+        self.by_segment = self.model.separable() and not self.model.charsmap and not self.model.squeeze
+        self.known = C.KnownIds(np.dtype("<u4"))
+        self.hasher = C.Words(bytes(range(256)))
+        self.merge = Merger(self.model)
+        self.line_end = self.merge.ids.get("<0x0A>")
+
+    def _parallel(self) -> None:
+        """Workers are reused, and other operators may have set this otherwise."""
+        os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(self.threads)
 
     @functools.cached_property
     def tokenizer(self):
         return build(self.model)
 
-    def normalize(self, text: str) -> str:
-        if self.plain:
-            text = text.replace(" ", MARK)
-            return MARK + text if self.model.add_prefix and text else text
-        return self.steps.normalize_str(text) if text else ""
-
-    def segments(self, text: str) -> list[str]:
-        """The segments of a normalised text, line ends among them."""
-        if not self.separable:
-            return [text] if text else []
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            out += self.runs.findall(line)
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as little-endian uint32."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        cut = [self.segments(self.normalize(x)) for x in texts]
-        self._learn(list({s for x in cut for s in x}.difference(memo)))
-        out = [np.frombuffer(b"".join(map(memo.__getitem__, x)), "<u4") for x in cut]
-        if not self.separable:
-            self.memo = {}
-        return out
-
-    def _learn(self, new: list[str]) -> None:
+    def cut(self, raws: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """(the texts' bytes, starts and ends of all segments, how many each text has); segments hold blanks for markers."""
+        mark = MARK.encode()
+        texts = [(b" " * self.model.add_prefix + (x.replace(mark, b" ") if mark in x else x)) if x else b"" for x in raws]
+        data = b"\n".join(texts) + b"\n"
+        x = np.frombuffer(data, np.uint8)
+        line, blank = x == 10, x == 32
+        start = line.copy()
+        start[0] = True
+        start[1:] |= line[:-1] | blank[1:] & ~blank[:-1]
+        first = np.flatnonzero(start)
+        last = np.append(first[1:], len(x))
+        between = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts]) - 1)  # the line ends that part texts
+        keep = np.ones(len(first), bool)
+        keep[between] = False
+        return data, first[keep], last[keep], np.diff(between, prepend=-1) - 1
+
+    def batches(self, raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], list[str]]]]:
+        """(hashes of segments, segments of each text, what gives the segments themselves by their places) for some texts at a time."""
+        for part in C.chunks(raws, 2 * C.SPAN, len):
+            data, first, last, n = self.cut(part)
+            texts = lambda at, data=data, first=first, last=last: [data[a:b].decode() for a, b in zip(first[at].tolist(), last[at].tolist())]
+            yield self.hasher.hashes(np.frombuffer(data, np.uint8), first, last), n, texts
+
+    def places(self, keys: np.ndarray, texts: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """Where ``known`` has the segments with these hashes, after it has learnt the new ones."""
+        if self.known.n > MEMO:
+            self.known.clear()
+        return self.known.learn(keys, lambda new: self.known.hold(self.ids_of(texts(new))))
+
+    def encode(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in turn, how many each text has)."""
+        self._parallel()
+        if not self.by_segment:
+            each = self.tokenizer.encode_batch_fast([self.steps.normalize_str(x.decode()) if x else "" for x in raws], add_special_tokens=False)
+            return np.fromiter((k for e in each for k in e.ids), "<u4"), np.array([len(e.ids) for e in each], np.int64)
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for keys, n, texts in self.batches(raws):
+            flat, size = self.known.gather(self.places(keys, texts))
+            ids.append(flat)
+            sizes.append(C.summed_by(size, n))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def ids_of(self, new: list[str]) -> list[list[int]]:
         """Encode distinct segments, many to a text where line ends part them: a line end is a byte of its own, which
         merges with nothing, so what lies between two of them are a segment's ids."""
-        memo, end = self.memo, self.ids.get("<0x0A>")
-        joined = self.separable and self.model.kind == BPE and self.model.byte_fallback and end is not None
-        plain = [s for s in new if s != "\n" and MARK * 2 not in s] if joined else []
+        out: list = [None] * len(new)
+        bpe = self.model.kind == BPE
+        joined = bpe and self.model.byte_fallback and self.line_end is not None
+        plain = [k for k, s in enumerate(new) if joined and s != "\n" and not s.startswith("  ")]
         groups = [plain[k : k + 64] for k in range(0, len(plain), 64)]
-        for part, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            cuts = (4 * np.flatnonzero(ids == end)).tolist()
-            if len(cuts) == len(part) - 1:
-                raw = ids.tobytes()
-                memo.update((s, raw[a:b]) for s, a, b in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)]))
-        rest = [s for s in new if s not in memo]
-        if self.model.kind == BPE:
-            memo.update((s, np.array(merge_runs(self.model, self.ids, s), "<u4").tobytes()) for s in rest if MARK * 2 in s)
-            rest = [s for s in rest if MARK * 2 not in s]
-        memo.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
-
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.model.add_prefix and text.startswith(" ") else text
+        for part, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(new[k] for k in g) for g in groups], add_special_tokens=False)):
+            ids, at = e.ids, 0
+            if ids.count(self.line_end) == len(part) - 1:
+                for k in part:
+                    end = ids.index(self.line_end, at) if k != part[-1] else len(ids)
+                    out[k] = ids[at:end]
+                    at = end + 1
+        rest = []
+        for k, s in enumerate(new):
+            if out[k] is None and bpe and s.startswith("  "):
+                out[k] = self.merge(s.replace(" ", MARK))
+            elif out[k] is None:
+                rest.append(k)
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
 @functools.lru_cache(maxsize=1)
@@ -275,10 +308,13 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", doc_id: str =
 
             other = sentencepiece.SentencePieceProcessor(model_file=path)
         for b in (y for x in it for y in C.batches([x], 4 << 20)):
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            ids = codec.encode(texts)
-            back = [codec.decode(x) for x in ids]
-            same = [x.tolist() == y for x, y in zip(ids, other.encode(texts, num_threads=1))] if other else [None] * len(texts)
+            raws = C.utf8(b.column(1))
+            texts = [x.decode() for x in raws]
+            flat, sizes = codec.encode(raws)
+            ids = np.split(flat, np.cumsum(sizes)[:-1])
+            lists = [x.tolist() for x in ids]
+            back = codec.decode(lists)
+            same = [x == y for x, y in zip(lists, other.encode(texts, num_threads=1))] if other else [None] * len(texts)
             columns = [
                 b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()), pa.array([x == y for x, y in zip(back, texts)], pa.bool_()), pa.array(same, pa.bool_()),

@@ -23,7 +23,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -67,54 +66,6 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-class Pieces:
-    """What a worker has learnt: the ids of pieces, by the pieces' 64-bit hashes."""
-
-    def __init__(self, dtype: np.dtype):
-        self.dtype = dtype
-        self.clear()
-
-    def clear(self) -> None:
-        self.n = self.n_ids = 0  # what is in use of the arrays, which grow by doubling
-        self.keys, self.first, self.size = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
-        self.ids = np.zeros(4096, self.dtype)
-        self.old = self.recent = pd.Index(self.keys[:0])  # two indexes: only the small one is made anew for each batch
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key; -1 where it isn't known."""
-        at = self.old.get_indexer(keys)
-        left = np.flatnonzero(at < 0)
-        if len(left) and len(self.recent):
-            got = self.recent.get_indexer(keys[left])
-            at[left] = np.where(got >= 0, got + len(self.old), -1)
-        return at
-
-    def add(self, keys: np.ndarray, ids: list) -> None:
-        """Distinct new keys, with the ids of each."""
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), self.dtype, int(size.sum()))
-        end, end_ids = self.n + len(keys), self.n_ids + len(flat)
-        if end > len(self.keys):
-            self.keys, self.first, self.size = (np.concatenate([x, np.zeros(end, x.dtype)]) for x in (self.keys, self.first, self.size))
-        if end_ids > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(end_ids, self.dtype)])
-        self.keys[self.n : end], self.size[self.n : end] = keys, size
-        self.first[self.n : end] = self.n_ids + np.cumsum(size) - size
-        self.ids[self.n_ids : end_ids] = flat
-        self.n, self.n_ids = end, end_ids
-        if end - len(self.old) > max(50_000, len(self.old) // 8):
-            self.old, self.recent = pd.Index(self.keys[:end].copy()), pd.Index(self.keys[:0])
-        else:
-            self.recent = pd.Index(self.keys[len(self.old) : end].copy())
-
-    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(the ids of pieces in turn, how many each has)."""
-        size = self.size[at].astype(np.int64)
-        ends = np.cumsum(size)
-        place = np.repeat(self.first[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.ids[place], size
-
-
 class Encoder:
     """Ids of whole texts, through the tokenizers library.
 
@@ -133,7 +84,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
         self.by_piece = splits_at_space(path)
         self.words = C.Words(bytes(32 if 9 <= x <= 13 else x for x in range(256)))
-        self.pieces = Pieces(self.dtype)
+        self.pieces = C.KnownIds(self.dtype)
         self.marks: dict[str, list[int]] = {"": []}
         self.model = self.tokenizer.model
         self.shown = byte_letters()
@@ -181,14 +132,7 @@ class Encoder:
             raws = [functools.reduce(lambda r, x: r.replace(x, b" "), WIDE_SPACES, raw) for raw in raws]
             data = b" ".join(raws)
         keys, first, last = self.words.spans(np.frombuffer(data.translate(self.words.letters), np.uint8))
-        at = self.pieces.find(keys)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            distinct, one, back = np.unique(keys[new], return_index=True, return_inverse=True)
-            one = new[one]
-            base = self.pieces.n
-            self.pieces.add(distinct, self._learn([data[a:b].decode() for a, b in zip(first[one].tolist(), last[one].tolist())]))
-            at[new] = base + back
+        at = self.pieces.learn(keys, lambda new: self.pieces.hold(self._learn([data[a:b].decode() for a, b in zip(first[new].tolist(), last[new].tolist())])))
         flat, size = self.pieces.gather(at)
         starts = np.cumsum([0, *(len(x) + 1 for x in raws)])
         bounds = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(first, starts)]
