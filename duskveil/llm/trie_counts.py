@@ -8,18 +8,22 @@ depth together. The node where a pre-token ends (its terminal) holds its count.
 pieces' scores; of equal paths, the one whose last piece starts first wins. A character that is no piece scores the
 lowest piece's score less 10, and counts as its UTF-8 bytes under byte fallback, else as one token.
 
-The given model is BPE: its scores are ranks of merges, not log probabilities, so ``n_tokens`` and ``score`` say what the best path
-over those scores has, which is the count of no tokenizer. ``n_model_tokens`` is the model's own count: the same
-pre-tokens encoded by its merges (or by its lattice, for a Unigram model), as op9 does.
+Scores are log probabilities. A Unigram model brings its own. A BPE model, as the given one is, has only ranks of merges, which say nothing of
+sums; its pieces' probabilities are then taken from the corpus: how often the model's own merges make each piece, over all documents, with 0.5
+added (``piece_scores``). So ``n_tokens`` and ``score`` are those of a unigram tokenizer of the model's pieces, and ``n_model_tokens`` is
+the count of the model itself, by its merges (or by its lattice, for a Unigram model), as in op9.
 
-A worker remembers terminals, at most about ``TERMINALS`` of them, and then starts anew, which changes no count. Nothing is shuffled.
+A worker remembers terminals by 64-bit hashes, at most about ``TERMINALS`` of them, and then starts anew, which changes no count. What is
+shuffled and broadcast has a row for each piece of the vocabulary.
 
-Defined results: a null or empty text has no tokens and a score of 0; repeated rows are counted each on their own; an empty table
-gives an empty result; extra columns don't matter.
+Defined results: a null or empty text has no tokens and a score of 0; very long texts and pre-tokens are counted whole; repeated rows are
+counted each on their own; an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .sentencepiece_backend import MEMO, NORMAL, USER_DEFINED, Codec, ModelFile, codec_of, model_path
+from .sentencepiece_backend import MARK, NORMAL, UNIGRAM, USER_DEFINED, ModelFile, codec_of, model_path
 
-TERMINALS = 250_000
+TERMINALS = 1_500_000
 #: Pre-tokens of more characters take a path of their own, without shared prefixes.
 WIDTH = 40
 ROWS = 10_000  # pre-tokens inserted together
@@ -41,11 +45,11 @@ def _codes(text: str) -> np.ndarray:
 
 
 class Trie:
-    """Terminals of pre-tokens: token counts and scores."""
+    """Token counts and scores of pre-tokens. ``scores``: of pieces, where they are not the model's own."""
 
-    def __init__(self, model: ModelFile):
-        self.scores = {p: float(s) for p, s, kind in model.pieces if kind in (NORMAL, USER_DEFINED) and p}
-        self.longest = min(max(map(len, self.scores), default=1), WIDTH)
+    def __init__(self, model: ModelFile, scores: dict[str, float] | None = None):
+        self.scores = scores if scores is not None else {p: float(s) for p, s, kind in model.pieces if kind in (NORMAL, USER_DEFINED) and p}
+        self.longest = max(map(len, self.scores), default=1)
         self.unknown = min(self.scores.values(), default=0.0) - 10
         self.bytes = model.byte_fallback
         self.base = np.uint64(C.GOLDEN)
@@ -59,11 +63,7 @@ class Trie:
             h = self._hashes(np.stack([_codes(p) for p, _ in own]))[:, n]
             order = np.argsort(h)
             self.pieces[n] = h[order], np.array([s for _, s in own])[order]
-        self.clear()
-
-    def clear(self) -> None:
-        self.terminal: dict[str, int] = {}
-        self.count, self.best = np.zeros(0, np.int64), np.zeros(0)
+        self.terminals = C.Known(count=np.int64, best=np.float64, model=np.int64)
 
     def _hashes(self, chars: np.ndarray) -> np.ndarray:
         """Of each row, the hash of each prefix."""
@@ -72,16 +72,16 @@ class Trie:
             out[:, d + 1] = out[:, d] * self.base + (chars[:, d] + np.uint64(1)) * np.uint64(C.MIX1)
         return out
 
-    def insert(self, tokens: list[str]) -> None:
-        """Insert distinct pre-tokens, and remember what their terminals hold."""
-        short = sorted(t for t in tokens if len(t) <= WIDTH)
-        parts = [self._levels(short[k : k + ROWS]) for k in range(0, len(short), ROWS)]
-        long = [t for t in tokens if len(t) > WIDTH]
-        parts += [tuple(np.array(x) for x in zip(*map(self._alone, long)))] if long else []
-        for k, t in enumerate([*short, *long], len(self.terminal)):
-            self.terminal[t] = k
-        self.count = np.concatenate([self.count, *(p[0] for p in parts)]).astype(np.int64)
-        self.best = np.concatenate([self.best, *(p[1] for p in parts)])
+    def measure(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(token counts, scores) of distinct pre-tokens."""
+        count, best = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
+        short = sorted((k for k, t in enumerate(tokens) if 0 < len(t) <= WIDTH), key=tokens.__getitem__)
+        for part in (short[k : k + ROWS] for k in range(0, len(short), ROWS)):
+            count[part], best[part] = self._levels([tokens[k] for k in part])
+        for k, t in enumerate(tokens):
+            if len(t) > WIDTH:
+                count[k], best[k] = self._alone(t)
+        return count, best
 
     def _levels(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(token counts, scores) of sorted pre-tokens: the trie's nodes depth by depth."""
@@ -138,38 +138,71 @@ class Trie:
             count.append(n)
         return count[-1], best[-1]
 
-    def counts(self, texts: list[list[str]]) -> list[tuple[int, float]]:
-        """(tokens, score) of each text's pre-tokens."""
-        if len(self.terminal) > TERMINALS:
-            self.clear()
-        new = {x for t in texts for x in t}.difference(self.terminal)
-        if new:
-            self.insert(list(new))
-        out = []
-        for t in texts:
-            at = np.fromiter(map(self.terminal.__getitem__, t), np.int64, len(t))
-            out.append((int(self.count[at].sum()), float(self.best[at].sum())))
-        return out
+
+def _probabilities(pieces: list[str], counts: np.ndarray) -> dict[str, float]:
+    """Log probabilities of pieces that occur so often, with 0.5 added to each count."""
+    total = math.log(counts.sum() + 0.5 * len(pieces)) if pieces else 0.0
+    return dict(zip(pieces, (np.log(counts + 0.5) - total).tolist()))
+
+
+def piece_scores(docs: DataFrame, path: str, text: str = "text") -> dict[str, float] | None:
+    """The log probabilities of a BPE model's pieces: how often its merges make each of them in ``docs``. None for a Unigram model."""
+    model = ModelFile.load(path)
+    if model.kind == UNIGRAM:
+        return None
+    size = len(model.pieces)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, total = codec_of(path), np.zeros(size, np.int64)
+        for b in it:
+            total += np.bincount(codec.encode(C.utf8(b.column(0)))[0], minlength=size)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["id", "n"])
+
+    n = np.zeros(size, np.int64)
+    for r in docs.select(F.col(text).alias("text")).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # as long as the vocabulary
+        n[r["id"]] = r["n"]
+    own = [k for k, (p, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER_DEFINED) and p]
+    return _probabilities([model.pieces[k][0] for k in own], n[own])
 
 
-def model_counts(codec: Codec, texts: list[list[str]]) -> list[int]:
-    """The number of tokens that the model itself gives for each text's pre-tokens."""
-    if len(codec.memo) > MEMO or not codec.separable:
-        codec.memo.clear()
-    codec._learn(list({x for t in texts for x in t}.difference(codec.memo)))
-    return [sum(len(codec.memo[x]) for x in t) // 4 for t in texts]
+@functools.lru_cache(maxsize=1)
+def _trie(path: str, names: tuple[str, ...] | None, scores: tuple[float, ...] | None) -> Trie:
+    """The worker process's trie: its terminals serve all its tasks."""
+    return Trie(codec_of(path).model, None if names is None else dict(zip(names, scores)))
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_pretokens long, n_tokens long, score double, n_model_tokens long) for every row."""
+    found = piece_scores(docs, path, text)
+    shared = docs.sparkSession.sparkContext.broadcast((None, None) if found is None else (tuple(found), tuple(found.values())))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path)
-        trie = Trie(codec.model)
-        for b in (y for x in it for y in C.batches([x], 2 << 20)):
-            cut = [codec.segments(codec.normalize(x or "")) for x in b.column(1).to_pylist()]
-            got = trie.counts(cut)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in cut], pa.int64()), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64()), pa.array(model_counts(codec, cut), pa.int64())], ["doc_id", "n_pretokens", "n_tokens", "score", "n_model_tokens"])
+        codec, trie = codec_of(path), _trie(path, *shared.value)
+        held = trie.terminals
+
+        def values(new: list[str]) -> dict[str, np.ndarray]:
+            count, best = trie.measure([s.replace(" ", MARK) for s in new])
+            return {"count": count, "best": best, "model": np.array([len(x) for x in codec.ids_of(new)])}
+
+        def whole(raw: bytes) -> tuple:
+            t = codec.steps.normalize_str(raw.decode()) if raw else ""
+            count, best = trie.measure([t])
+            return int(bool(t)), count[0], best[0], int(codec.encode([raw])[1][0])
+
+        for b in (y for x in it for y in C.batches([x], 4 << 20)):
+            raws = C.utf8(b.column(1))
+            if codec.by_segment:
+                parts = []
+                for keys, n, texts in codec.batches(raws):
+                    if held.n > TERMINALS:
+                        held.clear()
+                    at = held.learn(keys, lambda new, texts=texts: values(texts(new)))
+                    parts.append([n, *(C.summed_by(held.beside[k][at], n) for k in ("count", "best", "model"))])
+                out = [np.concatenate(x) for x in zip(*parts)]
+            else:
+                out = [np.array(x) for x in zip(*map(whole, raws))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.astype(t)) for x, t in zip(out, ("i8", "i8", "f8", "i8")))], ["doc_id", "n_pretokens", "n_tokens", "score", "n_model_tokens"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pretokens long, n_tokens long, score double, n_model_tokens long")
