@@ -6,13 +6,15 @@ search are words: for the windows of one length, a shift table says for each blo
 jump, and where it may not, a bucket by the hash of the window's last two words (its suffix) holds the windows to
 compare word by word. Windows of each length have tables of their own.
 
-Defined results: a null text has no words and is not contaminated; items without words match nothing; a window that
-several items share counts for each; repeated rows are searched each on their own; an empty benchmark matches nothing; other columns of
-the input stay, but for those with the names of results.
+Defined results: a null text has no words and is not contaminated; very long texts are searched whole; items without words match nothing; a null
+item_id counts as an empty one; a window that several items share counts for each; repeated rows are searched each on their own; an empty
+table gives an empty result, an empty benchmark matches nothing; other columns of the input stay, whatever their names (results whose names
+are taken get more underscores).
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -77,81 +79,110 @@ class WuManber:
 
 
 class Patterns:
-    """Searchers for all window lengths; a mark stands for the list of items that hold the window."""
+    """Searchers for all window lengths, made on first use in each worker; a mark stands for the list of items that hold the window."""
 
     def __init__(self, rows: list[tuple[str, bytes]], width: int):
+        self.rows, self.width = rows, width
+
+    @functools.cached_property
+    def made(self) -> tuple[list[list[str]], list[WuManber]]:
         owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, raw in rows:
-            for w in windows(words(raw), width):
+        for item, raw in self.rows:
+            for w in windows(words(raw), self.width):
                 owners[w].add(item)
-        self.items = [sorted(x) for x in owners.values()]
         by: dict[int, dict] = defaultdict(dict)
         for k, w in enumerate(owners):
             by[len(w)][w] = k
-        self.searchers = [WuManber(m, x) for m, x in sorted(by.items())]
+        return [sorted(x) for x in owners.values()], [WuManber(m, x) for m, x in sorted(by.items())]
 
-    def hits(self, ws: list[bytes], mask: np.ndarray | None) -> tuple[np.ndarray | None, set[str]]:
+    def hits(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """((start, end) of word ranges that are hit, in order and apart; the items)."""
+        names, searchers = self.made
         items: set[str] = set()
-        for s in self.searchers:
+        found = []
+        for s in searchers:
             for at, mark in s.search(ws):
-                if mask is None:
-                    mask = np.zeros(len(ws), np.uint8)
-                mask[at : at + s.m] = 1
-                items.update(self.items[mark])
-        return mask, items
+                found.append((at, at + s.m))
+                items.update(names[mark])
+        return joined(found), items
+
+
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching ranges as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+RANGES = "array<struct<a: int, b: int>>"
 
 
 def mark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, max_broadcast: int = 16 << 20) -> DataFrame:
     """``docs`` with _n_words, _n_hit (long) and _items (array of item ids as strings, sorted) after its own columns.
 
-    A broadcast holds at most ``max_broadcast`` bytes of benchmark text (a longer single item stands alone). A larger
-    benchmark is searched in rounds, each with its own group of items; hit words are or-ed over the rounds, so the
-    results are the same.
+    A broadcast holds at most ``max_broadcast`` bytes of benchmark text (a longer single item stands alone). For a larger
+    benchmark, texts are read once for each group of items; each round writes the hit ranges and items of the rows that have some, and these
+    are joined to the rows at the end: results are the same. ``docs`` must then be a plain read (or a staged table).
     """
-    spark, docs = docs.sparkSession, docs.drop("_mask", "_found", "_n_words", "_n_hit", "_items")
+    spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).cast("binary").alias("raw"))
     size = items.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("n")).first()["n"]
     rounds = max(1, -(-int(size) // max_broadcast))
-    out = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.lit(None).cast("binary").alias("_mask"), F.lit(None).cast("array<string>").alias("_found"))
-    for k in range(rounds):
-        part = items if rounds == 1 else items.where(F.pmod(F.xxhash64("item", "raw"), F.lit(rounds)) == k)
-        rows = [(r["item"], bytes(r["raw"])) for r in part.collect()]
-        out = _search(out, text, spark.sparkContext.broadcast(rows), width, last=k == rounds - 1)
-        if k < rounds - 1:
-            out, _ = C.stage(out, f"decontaminate-round{k}")
-    return out
+
+    def held(part: DataFrame):
+        return spark.sparkContext.broadcast(Patterns([(r["item"], bytes(r["raw"])) for r in part.collect()], width))
+
+    names = C.fresh(docs.columns, "_n_words", "_n_hit", "_items")
+    if rounds == 1:
+        return _counted(docs, text, names, held(items))
+    rid, ranges, found = C.fresh([*docs.columns, *names], "rid", "ranges", "found")
+    rows = C.placed(docs, rid)
+    texts = rows.select(F.col(rid).alias("rid"), F.col(f"`{text}`").alias("text"))
+    parts = [C.stage(_search(texts, held(items.where(F.pmod(F.xxhash64("item", "raw"), F.lit(rounds)) == k))), f"decontaminate-round{k}")[0] for k in range(rounds)]
+    each = functools.reduce(DataFrame.unionByName, parts).groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias(ranges), F.flatten(F.collect_list("items")).alias(found))
+    both = rows.join(each.withColumnRenamed("rid", rid), rid, "left").select(*(F.col(f"`{c}`") for c in docs.columns), ranges, found)
+    return _counted(both, text, names)
+
+
+def _search(rows: DataFrame, shared) -> DataFrame:
+    """(rid, ranges, items) of the rows (rid, text) with hits."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            got = [shared.value.hits(words(raw)) for raw in C.utf8(b.column(1))]
+            some = [k for k, (r, _) in enumerate(got) if r]
+            kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([[{"a": x, "b": y} for x, y in got[k][0]] for k in some], kind), pa.array([list(got[k][1]) for k in some], pa.list_(pa.string()))], ["rid", "ranges", "items"])
+
+    return rows.mapInArrow(run, f"rid long, ranges {RANGES}, items array<string>")
 
 
-def _search(docs: DataFrame, text: str, rows, width: int, last: bool) -> DataFrame:
-    at = docs.columns.index(text)
-    schema = docs.schema
-    if last:
-        schema = T.StructType([*schema.fields[:-2], *(T.StructField(n, T.LongType()) for n in ("_n_words", "_n_hit")), T.StructField("_items", T.ArrayType(T.StringType()))])
+def _counted(docs: DataFrame, text: str, names: list[str], shared=None) -> DataFrame:
+    """``docs`` with the counts; without patterns, from the ranges and items in its last two columns, which go."""
+    at, fields = docs.columns.index(text), docs.schema.fields
+    own = fields if shared is not None else fields[:-2]
 
-    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(rows.value, width)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            masks, found, n_words, n_hit = [], [], [], []
-            for raw, before, had in zip(C.utf8(b.column(at)), b.column("_mask").to_pylist(), b.column("_found").to_pylist()):
-                ws = words(raw)
-                mask, items = patterns.hits(ws, None if before is None else np.frombuffer(before, np.uint8).copy())
-                n_words.append(len(ws))
-                n_hit.append(0 if mask is None else int(mask.sum()))
-                masks.append(None if mask is None else mask.tobytes())
-                found.append(sorted(items.union(had or ())))
-            ids = pa.array(found, pa.list_(pa.string()))
-            if last:
-                new, names = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), ids], ["_n_words", "_n_hit", "_items"]
+            cut = [words(raw) for raw in C.utf8(b.column(at))]
+            if shared is not None:
+                got = [shared.value.hits(ws) for ws in cut]
             else:
-                new, names = [pa.array(masks, pa.binary()), ids], ["_mask", "_found"]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *new], names=[*b.schema.names[:-2], *names])
+                got = [(joined([(x["a"], x["b"]) for x in r or ()]), set(i or ())) for r, i in zip(b.column(len(own)).to_pylist(), b.column(len(own) + 1).to_pylist())]
+            new = [pa.array([len(ws) for ws in cut], pa.int64()), pa.array([sum(y - x for x, y in r) for r, _ in got], pa.int64()), pa.array([sorted(i) for _, i in got], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *new], names=[*(f.name for f in own), *names])
 
-    return docs.mapInArrow(search, schema)
+    kinds = (T.LongType(), T.LongType(), T.ArrayType(T.StringType()))
+    return docs.mapInArrow(run, T.StructType([*own, *(T.StructField(n, k) for n, k in zip(names, kinds))]))
 
 
-def contaminated(share: int = 20):
+def contaminated(n_words: str = "_n_words", n_hit: str = "_n_hit", share: int = 20):
     """Column: a twentieth of the words or more are hit."""
-    return (F.col("_n_hit") > 0) & (F.lit(share) * F.col("_n_hit") >= F.col("_n_words"))
+    return (F.col(n_hit) > 0) & (F.lit(share) * F.col(n_hit) >= F.col(n_words))
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -169,7 +200,7 @@ def digest(items: list[str]) -> str:
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP8_SQL = f"""
 with d as (select row_number() over () as rid, doc_id, coalesce({_WORDS}, []) as ws from documents),
-b as (select cast(item_id as varchar) as item, {_WORDS} as ws from benchmark where text is not null),
+b as (select coalesce(cast(item_id as varchar), '') as item, {_WORDS} as ws from benchmark where text is not null),
 bw as (select distinct item, least(13, len(ws)) as m, list_slice(ws, k, k + least(13, len(ws)) - 1) as win
        from (select item, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) as k from b where len(ws) > 0)),
 sizes as (select distinct m from bw),

@@ -6,12 +6,13 @@ that reach the threshold are dealt to shards by hash; a shard holds a minimal pe
 a count for each of its keys, so that a rarer line is told apart by all 64 bits. Documents probe these arrays; lines are never joined.
 
 Defined results: a null or empty text is one empty line; an empty key never goes; a key that repeats within one
-document counts once; repeated rows are documents of their own; an empty table gives an empty result; other columns
-of the input don't matter (``drop_lines`` keeps them, but for those with the names of its own results).
+document counts once; very long texts and lines are taken whole; repeated rows are documents of their own; an empty table gives an empty
+result; other columns of the input stay, whatever their names (results whose names are taken get more underscores).
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -178,59 +179,75 @@ def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, keys_per
     """``docs`` with ``text`` freed of frequent lines, and with _n_lines and _n_dropped (long) after its own columns.
 
     A broadcast holds at most ``max_broadcast`` bytes of shards (a single shard has about 14 bytes for each of its
-    ``keys_per_shard`` keys). Where all shards together are larger, the documents are probed in several rounds, each
-    with its own group of shards, and a line goes if any round finds it: results are the same.
+    ``keys_per_shard`` keys). Where all shards together are larger, texts are read once for each group of shards; each round writes
+    the places of its lines for rows that have some, and these are joined to the rows at the end: results are the same. ``docs``
+    must then be a plain read (or a staged table).
     """
-    spark, docs = docs.sparkSession, docs.drop("_gone", "_n_lines", "_n_dropped")
+    spark = docs.sparkSession
     frequent, path = C.stage(line_counts(docs, text).where(F.col("n") >= min_docs), "lines")
     built, shards = build_shards(frequent, frequent.count(), keys_per_shard)
     built, _ = C.stage(built, "line-shards")
     C.drop_path(spark, path)
     sizes = built.select("shard", (F.length("mphf") + F.length("prints") + F.length("counts")).alias("size")).collect()
     groups = [[r["shard"] for r in g] for g in C.chunks(sorted(sizes), max_broadcast, lambda r: r["size"])] or [[]]
-    cols = docs.columns
-    out = docs.select(*(F.col(f"`{c}`") for c in cols), F.lit(None).cast("binary").alias("_gone"))
-    for k, group in enumerate(groups):
-        rows = [tuple(r) for r in built.where(F.col("shard").isin(group)).select("shard", "mphf", "prints", "counts").collect()] if group else []
-        out = _probe(out, text, spark.sparkContext.broadcast(rows), shards, min_docs, last=k == len(groups) - 1)
-        if k < len(groups) - 1:
-            out, _ = C.stage(out, f"lines-round{k}")
-    return out
-
-
-def _probe(docs: DataFrame, text: str, rows, shards: int, min_docs: int, last: bool) -> DataFrame:
-    at = docs.columns.index(text)
-    schema = docs.schema
-    if last:
-        schema = T.StructType([*schema.fields[:-1], T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
-
-    def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Shards(rows.value, shards)
+
+    def held(group: list[int]):
+        return spark.sparkContext.broadcast([tuple(r) for r in built.where(F.col("shard").isin(group)).select("shard", "mphf", "prints", "counts").collect()] if group else [])
+
+    names = C.fresh(docs.columns, "_n_lines", "_n_dropped")
+    if len(groups) == 1:
+        return _cut(docs, text, names, shared=held(groups[0]), shards=shards, min_docs=min_docs)
+    rid, gone = C.fresh([*docs.columns, *names], "rid", "gone")
+    rows = C.placed(docs, rid)
+    found = [C.stage(_found(rows.select(F.col(rid).alias("rid"), F.col(f"`{text}`").alias("text")), held(g), shards, min_docs), "line-places")[0] for g in groups]
+    each = functools.reduce(DataFrame.unionByName, found).groupBy("rid").agg(F.flatten(F.collect_list("places")).alias(gone)).withColumnRenamed("rid", rid)
+    return _cut(rows.join(each, rid, "left").select(*(F.col(f"`{c}`") for c in docs.columns), gone), text, names)
+
+
+def _found(rows: DataFrame, shared, shards: int, min_docs: int) -> DataFrame:
+    """(rid, places): the places of lines that these shards hold, for the rows (rid, text) that have some."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Shards(shared.value, shards)
+        for b in (y for x in it for y in C.batches([x], 32 << 20)):
+            out = [np.flatnonzero(g) for g in _frequent([x.split(b"\n") for x in C.utf8(b.column(1))], held, min_docs)]
+            some = [k for k, x in enumerate(out) if len(x)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([out[k].astype(np.int32) for k in some], pa.list_(pa.int32()))], ["rid", "places"])
+
+    return rows.mapInArrow(run, "rid long, places array<int>")
+
+
+def _frequent(texts: list[list[bytes]], held: Shards, min_docs: int) -> list[np.ndarray]:
+    """For each text, which of its lines go."""
+    keys = line_hashes([y for x in texts for y in x])
+    gone = (held.counts(keys) >= min_docs) & (keys != 0)
+    return np.split(gone, np.cumsum([len(x) for x in texts])[:-1])
+
+
+def _cut(docs: DataFrame, text: str, names: list[str], shared=None, shards: int = 0, min_docs: int = 0) -> DataFrame:
+    """``docs`` less the lines that the shards hold; without shards, less those whose places are in the last column, which goes."""
+    at, fields = docs.columns.index(text), docs.schema.fields
+    own = fields if shared is not None else fields[:-1]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None if shared is None else Shards(shared.value, shards)
         for b in (y for x in it for y in C.batches([x], 32 << 20)):
             texts = [x.split(b"\n") for x in C.utf8(b.column(at))]
-            sizes = np.array([len(x) for x in texts])
-            keys = line_hashes([y for x in texts for y in x])
-            gone = (found.counts(keys) >= min_docs) & (keys != 0)
-            before = b.column(b.num_columns - 1).to_pylist()
-            if any(x is not None for x in before):
-                gone |= np.frombuffer(b"".join(before), np.uint8).astype(bool)
-            ends = np.cumsum(sizes)
-            if not last:
-                flags = gone.astype(np.uint8)
-                marks = [flags[e - n : e].tobytes() for e, n in zip(ends, sizes)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(marks, pa.binary())], names=b.schema.names)
-                continue
-            kept, dropped = [], np.zeros(len(texts), np.int64)
-            nulls = b.column(at).is_null().to_pylist()
-            for k, (x, e, n) in enumerate(zip(texts, ends.tolist(), sizes.tolist())):
-                g = gone[e - n : e]
-                dropped[k] = g.sum()
-                kept.append(None if nulls[k] else b"\n".join([y for y, z in zip(x, g.tolist()) if not z] if dropped[k] else x))
+            if held is not None:
+                gone = _frequent(texts, held, min_docs)
+            else:
+                gone = [np.zeros(len(x), bool) for x in texts]
+                for g, places in zip(gone, b.column(len(own)).to_pylist()):
+                    g[places or []] = True
+            nulls, kept = b.column(at).is_null().to_pylist(), []
+            for x, g, null in zip(texts, gone, nulls):
+                kept.append(None if null else b"\n".join([y for y, z in zip(x, g.tolist()) if not z] if g.any() else x))
             new = pa.array(kept, pa.binary()).cast(b.schema.field(at).type)
-            columns = [new if k == at else c for k, c in enumerate(b.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes.astype(np.int64)), pa.array(dropped)], names=[*b.schema.names[:-1], "_n_lines", "_n_dropped"])
+            columns = [new if k == at else b.column(k) for k in range(len(own))]
+            counts = [pa.array([len(x) for x in texts], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*(f.name for f in own), *names])
 
-    return docs.mapInArrow(probe, schema)
+    return docs.mapInArrow(run, T.StructType([*own, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

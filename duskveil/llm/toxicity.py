@@ -7,9 +7,10 @@ are not zero are broadcast (at most ``2**bits`` of them).
 The fit takes a bounded sample of labelled rows: the ``max_rows`` labels with the smallest hash of doc_id, each text with at
 most ``2**bits`` distinct features. Scores cover every whole text.
 
-Defined results: a null or empty text has the bias alone; rows without label, or with a null label, teach nothing; a
-label table without rows gives a score of 0.0 for every text; a row that repeats with the same
-label teaches once; extra columns stay, but for one named _score.
+Defined results: a null or empty text has the bias alone; very long texts are scored whole; rows without label, or with a null label, teach
+nothing; a label table without rows gives a score of 0.0 for every text; a row that repeats with the same
+label teaches once; an empty table gives an empty result; extra columns stay, whatever their names (a result whose name is taken gets more
+underscores).
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with _score (double, 0 to 1) after its own columns."""
-    docs = docs.drop("_score")
+    (name,) = C.fresh(docs.columns, "_score")
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -159,9 +160,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = (f.occurrences(x) for x in C.utf8(b.column(at)))
             z = np.array([m.bias + w[np.unique(x[heavy[x]])].sum() for x in found])
             p = 1 / (1 + np.exp(-np.clip(z, -35, 35))) if m.known else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame) -> Model:

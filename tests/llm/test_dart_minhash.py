@@ -8,8 +8,8 @@ from duskveil.llm.decontaminate import words
 from . import cases
 
 
-def brute(rows, similarity=0.8):
-    """doc_id, class_id and class size of each row, from all pairs of shingle sets."""
+def brute(rows, similarity=0.8, by_text=False):
+    """doc_id, class_id and class size of each row, from all pairs of shingle sets. ``by_text``: wordless texts are copies where they are equal."""
 
     def shingles(t):
         ws = words((t or "").encode())
@@ -25,12 +25,12 @@ def brute(rows, similarity=0.8):
 
     by = {}
     for k, s in enumerate(sets):
-        for x in s or [None]:
+        for x in s or [rows[k][1] or "" if by_text else None]:
             by.setdefault(x, []).append(k)
     pairs = {(a, b) for ks in by.values() for a in ks for b in ks if a < b}
     for a, b in pairs:
         x, y = sets[a], sets[b]
-        if len(x & y) >= similarity * len(x | y):
+        if len(x & y) >= similarity * len(x | y):  # two without shingles are
             parent[max(find(a), find(b))] = min(find(a), find(b))
     groups = {}
     for k in range(len(rows)):

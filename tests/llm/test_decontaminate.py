@@ -58,6 +58,7 @@ def test_search_against_plain_scan():
 
 
 def test_columns_stay(spark):
-    docs = cases.table(spark).selectExpr("*", "3 as _items")
-    out = X.mark_hits(docs, spark.createDataFrame([(1, "fox")], "item_id long, text string"))
-    assert out.columns == [*cases.table(spark).columns, "_n_words", "_n_hit", "_items"]
+    docs = cases.table(spark).selectExpr("*", "3 as _items", "1 as _mask", "2 as _found", "4 as rid", "5 as ranges")
+    for most in (1 << 20, 3):
+        out = X.mark_hits(docs, spark.createDataFrame([(1, "fox"), (2, "the quick brown")], "item_id long, text string"), max_broadcast=most)
+        assert out.columns == [*docs.columns, "_n_words", "_n_hit", "__items"] and {(r["_items"], r["_mask"], r["rid"]) for r in out.collect()} == {(3, 1, 4)}

@@ -40,7 +40,9 @@ def test_documents_and_rounds(spark):
 def test_columns_stay(spark):
     docs = cases.table(spark).selectExpr("*", "3 as _n_lines", "1 as h")
     out = X.drop_lines(docs)
-    assert out.columns == [*cases.table(spark).columns, "h", "_n_lines", "_n_dropped"]
+    assert out.columns == [*cases.table(spark).columns, "_n_lines", "h", "__n_lines", "_n_dropped"] and {r["_n_lines"] for r in out.collect()} == {3}
+    taken = docs.selectExpr("*", "1 as rid", "2 as gone", "3 as places")
+    assert X.drop_lines(taken, min_docs=2, keys_per_shard=2, max_broadcast=100).columns == [*taken.columns, "__n_lines", "_n_dropped"]
     assert {r["text"] for r in out.where("doc_id = 0").collect()} == {None}
 
 

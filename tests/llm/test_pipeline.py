@@ -34,7 +34,7 @@ def check(spark, sf):
     assert sorted(((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in lines.collect()), key=repr) == sorted(want, key=repr)
     assert all(r["n_chars"] == len(r["text"]) for r in lines.join(calm.select("doc_id", F_len("text", "was")), "doc_id").where("length(text) < was").collect())
     rows = keyed(lines.collect())
-    groups = test_dart_minhash.brute(rows)
+    groups = test_dart_minhash.brute(rows, by_text=True)
     assert sorted(((r["doc_id"]) for r in unique.collect()), key=repr) == sorted({c for _, c, _ in groups}, key=repr)
     assert set(keyed(unique.collect())) <= set(rows)
     rows = keyed(unique.collect())
@@ -65,11 +65,25 @@ def test_documents(spark):
 def test_cases(spark, tmp_path):
     labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "mixed case words 12 34")], "item_id long, text string")
-    rows = [r for r in cases.rows() if r[0] not in (3, 10)]
-    check(spark, cases.write(spark, tmp_path, rows, labels=labels, benchmark=bench))
+    check(spark, cases.write(spark, tmp_path, cases.rows() + [(200, " . ", "en", "s", 3, 0, ""), (201, "!", "en", "s", 1, 0, ""), (202, "!", "en", "s", 1, 0, "")], labels=labels, benchmark=bench))
     none = cases.write(spark, tmp_path / "none", [], labels=labels.limit(0), benchmark=bench.limit(0))
     assert P.run(spark, none).count() == 0
 
 
+def test_clashing_names(spark, tmp_path):
+    """Columns of the input that have the names of the stages' own results stay as they are."""
+    names = "_score _n_lines _n_dropped _n_words _n_hit _items _rid rid _maybe maybe _gone gone _mask _found found ranges root cid bands place n media"
+    more = ", ".join(f"{k} as {n}" for k, n in enumerate(names.split()))
+    to = cases.write(spark, tmp_path, labels=spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([(1, "mixed case words 12 34")], "item_id long, text string"))
+    docs, _ = C.stage(cases.table(spark).drop("n", "media").selectExpr("*", *more.split(", ")), "clash")
+    want = [tuple(range(len(names.split())))]
+    for name, stage in P.STAGES[:-1]:
+        out, _ = C.stage(stage(spark, docs, to), name)
+        assert out.columns == docs.columns and out.count()
+        assert [tuple(r) for r in out.select(*names.split()).distinct().collect()] == want, name
+        docs = out
+    assert P.STAGES[-1][1](spark, docs, to).count() == docs.count()
+
+
 def test_names():
     assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontaminate", "sentencepiece"]

@@ -1,4 +1,10 @@
+import math
+import re
+import zlib
+
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
 from duskveil.llm import common as C
 from duskveil.llm import toxicity as X
@@ -52,7 +58,7 @@ def test_cases(spark, tmp_path):
     assert X.op3_toxicity(spark, cases.write(spark, tmp_path / "none", [], labels=none)).count() == 0
     model = X.Model(np.zeros(0, np.int64), np.zeros(0), 0.0, True)
     extra = cases.table(spark).selectExpr("*", "1 as _score")
-    assert X.score(extra, model).columns == [*cases.table(spark).columns, "_score"]
+    assert X.score(extra, model).columns == [*extra.columns, "__score"] and {r["_score"] for r in X.score(extra, model).collect()} == {1}
 
 
 def test_features():
@@ -62,3 +68,49 @@ def test_features():
     for text in (b"", b"one", b"one two three " * 50):
         assert (X.unpacked(X.packed(f(text))) == f(text)).all()
     assert C.utf8 and (f(b"a b c d") != f(b"d c b a")).any()
+
+
+def plain_features(text, bits):
+    """Feature indices, word by word."""
+    h = lambda x, seed=0: xxhash.xxh3_64_intdigest(x, seed=seed)
+    ws = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode())]
+    out = [x for w in ws for x in (h(w), h(w.decode("utf-8", "ignore")[:5].encode(), 5))]
+    for seed, gap in ((1, 1), (2, 2), (3, 3)):
+        out += [(h(a) * C.GOLDEN + h(b) + seed) * C.MIX1 for a, b in zip(ws, ws[gap:])]
+    out += [((h(a) * C.GOLDEN + h(b)) * C.GOLDEN + h(c) + 4) * C.MIX2 for a, b, c in zip(ws, ws[1:], ws[2:])]
+    return sorted({x % 2**64 >> 64 - bits for x in out})
+
+
+class PlainFtrl:
+    """FTRL-proximal, a coordinate at a time."""
+
+    def __init__(self, alpha=0.3, beta=1.0, l1=10.0, l2=1.0):
+        self.alpha, self.beta, self.l1, self.l2, self.z, self.n = alpha, beta, l1, l2, {}, {}
+
+    def weight(self, k):
+        z, n = self.z.get(k, 0.0), self.n.get(k, 0.0)
+        return 0.0 if abs(z) <= self.l1 else -(z - math.copysign(self.l1, z)) / ((self.beta + math.sqrt(n)) / self.alpha + self.l2)
+
+    def learn(self, ks, y, times):
+        p = 1 / (1 + math.exp(-sum(map(self.weight, ks))))
+        for k, w in [(k, self.weight(k)) for k in ks]:
+            g, n = (p - y) * times, self.n.get(k, 0.0)
+            self.z[k] = self.z.get(k, 0.0) + g - (math.sqrt(n + g * g) - math.sqrt(n)) / self.alpha * w
+            self.n[k] = n + g * g
+
+
+def test_scores_are_those_of_plain_ftrl(spark):
+    """The whole operator on the documents of the small folder, against plain Python: features, order of the sample, fit, scores, decisions."""
+    docs = {r["doc_id"]: r["text"] or "" for r in C.table(spark, cases.SF, "documents").collect()}
+    labels = C.table(spark, cases.SF, "labels").where("toxic in (0, 1)").select("doc_id", "toxic", F.xxhash64(F.col("doc_id").cast("string")).alias("k")).collect()
+    rows = sorted((r["k"], r["doc_id"], r["toxic"]) for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in docs)
+    model, features = PlainFtrl(), {d: plain_features(t, X.BITS) for d, t in docs.items()}
+    for epoch in range(2):
+        for at in np.random.default_rng(epoch).permutation(len(rows)):
+            _, d, y = rows[at]
+            model.learn([*features[d], 1 << X.BITS], y, 4.0 if y else 1.0)
+    want = {d: 1 / (1 + math.exp(-sum(map(model.weight, [*x, 1 << X.BITS])))) for d, x in features.items()}
+    got = X.op3_toxicity(spark, cases.SF).collect()
+    assert len(got) == len(docs) and len(rows) > 50
+    for r in got:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-9 and r["predicted"] == (want[r["doc_id"]] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
