@@ -71,17 +71,36 @@ def for_paths(paths: list[str], callback: Callable[[Column], Column]) -> dict[st
     return dict.fromkeys(paths, callback)
 
 
-def opaque(function: Callable[[str], str]) -> Callable[[Column], Column]:
-    """An opaque Python function of one text, over Arrow batches. Where it raises, the value stays."""
+def opaque(function: Callable[[str], str], retry=None) -> Callable[[Column], Column]:
+    """An opaque Python function of one text, over Arrow batches. Where it raises, the value stays; with ``retry`` (a
+    ``recovery.Retry``), it is tried again and then takes the fallback. ``failed`` of the result tells, as a Column, where it raises."""
 
     def one(x):
+        if x is None:
+            return x
+        if retry is not None:
+            return retry.run(lambda: function(x), x).value
         try:
-            return x if x is None else function(x)
+            return function(x)
         except Exception:  # noqa: BLE001  a callback's error must not stop the record
             return x
 
+    def raises(x) -> bool:
+        try:
+            if x is not None:
+                function(x)
+            return False
+        except Exception:  # noqa: BLE001  reported as an audit event
+            return True
+
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(one)
 
-    return both(lambda c: run(c.cast("string")), lambda v: one(v if isinstance(v, str | dict | list) or v is None else plain_text(v)))
+    @F.pandas_udf("boolean")
+    def failed(s: pd.Series) -> pd.Series:
+        return s.map(raises).astype(bool)
+
+    out = both(lambda c: run(c.cast("string")), lambda v: one(v if isinstance(v, str | dict | list) or v is None else plain_text(v)))
+    out.failed = lambda c: failed(c.cast("string"))
+    return out

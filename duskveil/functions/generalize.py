@@ -69,6 +69,18 @@ class Anonymizer:
                 df = df.withColumn(field, how(F.col(field)))
         return df
 
+    def audit(self, df: DataFrame) -> DataFrame:
+        """An event (path, original_type, was_masked, operation) for each value that ``anonymize`` changes: ``k-anonymity.<field>``."""
+        rows = []
+        for field, how in self.steps:
+            if field in df.columns:
+                kind = df.schema[field].dataType.simpleString()
+                changed = F.col(field).isNotNull() & ~how(F.col(field)).cast("string").eqNullSafe(F.col(field).cast("string"))
+                rows.append(F.when(changed, F.struct(F.lit(f"k-anonymity.{field}").alias("path"), F.lit(kind).alias("original_type"), F.lit(True).alias("was_masked"), F.lit("data_type").alias("operation"))))
+        if not rows:
+            return df.limit(0).select(F.lit("").alias("path"), F.lit("").alias("original_type"), F.lit(False).alias("was_masked"), F.lit("").alias("operation"))
+        return df.select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("e")).select("e.*")
+
 
 def group_sizes(df: DataFrame, quasi: list[str], k: int) -> DataFrame:
     """Each combination of quasi-identifiers with its size and whether that reaches k (an addition of this engine)."""

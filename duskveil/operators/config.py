@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -81,6 +82,26 @@ class Config:
         return compiled(self.patterns)
 
 
+#: Settings: the bounds of each number and its default (fixed values).
+BOUNDS = {"max_depth": (1, 1000, 100), "chunk_size": (100, 10_000, 1000), "garbage_collection_threshold": (1000, 100_000, 10_000), "max_pattern_length": (10, 1000, 500), "max_field_path_length": (5, 500, 100)}
+#: Switches and their defaults, and words that switch on (fixed values).
+SWITCHES = {"audit_enabled": False, "allow_empty_patterns": False, "strict_regex_validation": True}
+ON = ("1", "true", "on", "yes")
+AUDIT_CHANNEL = "gdpr-audit"
+
+
+def settings(given: Mapping[str, object]) -> dict[str, int | bool | str]:
+    """Settings with numbers brought within their bounds (what is no number counts as 0), switches read, and defaults filled in."""
+    out: dict[str, int | bool | str] = {}
+    for name, (low, high, default) in BOUNDS.items():
+        found = re.match(r"\s*[-+]?\d+", str(given.get(name, default)))
+        out[name] = max(low, min(high, int(found[0]) if found else 0))
+    for name, default in SWITCHES.items():
+        out[name] = str(given.get(name, default)).strip().lower() in ON
+    out["audit_channel"] = str(given.get("audit_channel", AUDIT_CHANNEL)).strip() or AUDIT_CHANNEL
+    return out
+
+
 class Plugin:
     """Contributions to a processor: patterns, field masks, and steps before and after it over DataFrames."""
 

@@ -29,8 +29,19 @@ def request_body(method: Column, content_type: Column, body: Column) -> Column:
     return F.when(method.isin(*BODY_METHODS) & typed, body)
 
 
-def response_body(body: Column) -> Column:
-    return F.when(F.length(body) > BODY_LIMIT, F.concat(F.substring(body, 1, BODY_LIMIT), F.lit("..."))).otherwise(body)
+def form_fields(fields: Column) -> Column:
+    """The fields of a form (a map), less the token against forged requests."""
+    return F.map_filter(fields, lambda k, v: k != "_token")
+
+
+def response_body(body: Column, content_type: Column | None = None) -> Column:
+    """JSON as it is, where it can be read as JSON; of other bodies, the first 1000 bytes."""
+    raw = body.cast("binary")
+    short = F.when(F.length(raw) > BODY_LIMIT, F.concat(F.make_valid_utf8(F.substring(raw, 1, BODY_LIMIT).cast("string")), F.lit("..."))).otherwise(body)
+    if content_type is None:
+        return short
+    read = F.when(F.try_parse_json(body).isNotNull(), body).otherwise(F.lit('{"error":"Invalid JSON response"}'))
+    return F.when(F.coalesce(content_type, F.lit("")).contains(BODY_TYPES[0]), read).otherwise(short)
 
 
 def level_of(status: Column) -> Column:

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskveil.functions.errors import ConfigurationError
-from duskveil.functions.jsonmask import GONE, ValueMasker, mask_context_json, mask_message, plain_text
-from duskveil.functions.patterns import Pattern, apply_patterns
+from duskveil.functions.jsonmask import GONE, ValueMasker, embedded_json, mask_context_json, mask_message, plain_text
+from duskveil.functions.patterns import Pattern, apply_patterns, scrubbed_utf8
 
 from . import rules as R
-from .config import REGEX, REMOVE, Config, FieldMask, Plugin
+from .config import REGEX, REMOVE, REPLACE, Config, FieldMask, Plugin
 
 
 def type_name(kind: T.DataType) -> str:
@@ -92,6 +92,13 @@ def has_text(kind: T.DataType) -> bool:
     return isinstance(kind, T.StringType) or isinstance(kind, T.StructType) and any(has_text(f.dataType) for f in kind.fields)
 
 
+def readable(df: DataFrame, message: str) -> DataFrame:
+    """A binary message as text, with U+FFFD for malformed bytes: patterns must see what lies around them."""
+    if message in df.columns and isinstance(df.schema[message].dataType, T.BinaryType):
+        return df.withColumn(message, scrubbed_utf8(F.col(message)))
+    return df
+
+
 class Processor:
     """Masks records. ``message`` and ``context`` name the two columns; all others pass through."""
 
@@ -136,7 +143,7 @@ class Processor:
         if how.kind == REGEX:
             masker, pattern = self.masker, None if how.pattern is None else Pattern(how.pattern, how.replacement)
             return lambda v: masker.message(plain_text(v)) if pattern is None else pattern.text(plain_text(v))
-        return lambda v: how.replacement
+        return lambda v: how.replacement if how.kind == REPLACE else how.kind
 
     def _null(self, value: Column, out: Column, kind: T.DataType) -> Column:
         """A null under the mask for nulls, where there is one; else null."""
@@ -264,7 +271,7 @@ class Processor:
             return self.message(as_text(value, kind), json=not self._inside)
         if how.kind == REGEX:
             return Pattern(how.pattern, how.replacement).column(as_text(value, kind))
-        return F.lit(how.replacement)
+        return F.lit(how.replacement if how.kind == REPLACE else how.kind)
 
     # --- records
 
@@ -276,6 +283,7 @@ class Processor:
 
         Where masking changes the context's type and there are rules, records of both kinds must share a column: the context is then JSON text.
         """
+        df = readable(df, message)
         for p in self.plugins:
             df = p.before_context(df)
             if message in df.columns:
@@ -299,29 +307,70 @@ class Processor:
         return df
 
     def audit(self, df: DataFrame, message: str = "message", context: str = "context") -> DataFrame:
-        """An event for each record's skip and for each change of message or top-level context field: path,
-        original_type, was_masked, operation. Values are not among them."""
-        schema = df.schema
-        rows = []
-        gate = self.condition(schema)
-        event = lambda path, kind, masked, op: F.struct(path.alias("path"), F.lit(kind).alias("original_type"), masked.alias("was_masked"), F.lit(op).alias("operation"))
+        """Events of the records: path, original_type, was_masked, operation. Values are not among them.
+
+        ``conditional_skip`` and ``conditional_error`` of rules; ``malformed_utf8_scrubbed`` of a binary message; ``json_masked`` where JSON in a
+        message changes; ``message``; each changed field of a context by its dotted path (arrays and maps as a whole, JSON text as
+        ``context``); ``<path>_callback_error`` of callbacks that can tell; ``max_depth_reached`` for containers that lie too deep.
+        """
+        rows: list[Column] = []
+        gate = self.condition(df.schema)
+
+        def event(when: Column, path: str, kind: str, masked: bool, operation: str) -> None:
+            rows.append(F.when(when, F.struct(F.lit(path).alias("path"), F.lit(kind).alias("original_type"), F.lit(masked).alias("was_masked"), F.lit(operation).alias("operation"))))
+
         if self.config.rules:
-            rows.append(F.when(~gate, event(F.lit("conditional_skip"), "array", F.lit(False), "conditional")))
+            event(~gate, "conditional_skip", "array", False, "conditional")
+        for rule in self.config.rules.values():
+            if hasattr(rule, "failed"):
+                event(rule.failed(df.schema), "conditional_error", "string", False, "conditional")
         if message in df.columns:
-            masked = self.message(F.col(message))
-            rows.append(F.when(gate & (masked != F.col(message)), event(F.lit("message"), "string", F.lit(True), "regex")))
-        if context in df.columns and isinstance(schema[context].dataType, T.StructType):
-            own = schema[context].dataType
+            text = F.col(message)
+            if isinstance(df.schema[message].dataType, T.BinaryType):
+                event(gate & ~F.is_valid_utf8(text.cast("string")), "malformed_utf8_scrubbed", "string", False, "regex")
+                text = scrubbed_utf8(text)
+            event(gate & (embedded_json(text, self.masker) != text), "json_masked", "string", True, "json")
+            event(gate & (self.message(text) != text), "message", "string", True, "regex")
+        if context in df.columns:
+            own = df.schema[context].dataType
             after = self.context(F.col(context), own)
-            shape = df.select(after.alias("c")).schema["c"].dataType
-            for f in own.fields:
-                was, path = F.col(context).getField(f.name), F.lit(f.name)
-                configured = f.name in self.config.fields or f.name in self.config.callbacks
-                op = "callback" if f.name in self.config.callbacks else "field_path" if f.name in self.config.fields else "data_type" if type_name(f.dataType) != "string" else "regex"
-                now = after.getField(f.name) if f.name in shape.names else F.lit(None)
-                text = lambda c, k: F.to_json(c) if isinstance(k, T.StructType | T.MapType | T.ArrayType) else c.cast("string")
-                changed = ~text(was, f.dataType).eqNullSafe(text(now, shape[f.name].dataType) if f.name in shape.names else F.lit(None).cast("string"))
-                rows.append(F.when(gate & changed & (F.lit(not configured) | F.col(context).isNotNull()), event(path, type_name(f.dataType), F.lit(True), op)))
+            there = gate & F.col(context).isNotNull()
+            for path, callback in self.config.callbacks.items():
+                found = R.find(df.schema, f"{context}.{path}")
+                if found is not None and hasattr(callback, "failed"):
+                    event(there & found[2] & callback.failed(found[1]), f"{path}_callback_error", type_name(found[0]), False, "callback")
+            for path, kind, changed, operation in self._changes(F.col(context), after, own, df.select(after.alias("c")).schema["c"].dataType, ""):
+                event(there & changed, path, type_name(kind), True, operation)
+            if not (self.config.fields or self.config.callbacks):
+                for value in self._too_deep(F.col(context), own, 0):
+                    event(there & value.isNotNull(), "max_depth_reached", "integer", False, "data_type")
         if not rows:
             return df.limit(0).select(F.lit("").alias("path"), F.lit("").alias("original_type"), F.lit(False).alias("was_masked"), F.lit("").alias("operation"))
         return df.select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("e")).select("e.*")
+
+    def _changes(self, was: Column, now: Column | None, kind: T.DataType, after: T.DataType | None, path: str) -> list[tuple[str, T.DataType, Column, str]]:
+        """(path, type, whether it changes, operation) of each field."""
+        named = path in self.config.fields or path in self.config.callbacks
+        if not named and isinstance(kind, T.StructType) and isinstance(after, T.StructType):
+            out = []
+            for f in kind.fields:
+                left = f.name in after.names
+                out += self._changes(was.getField(f.name), now.getField(f.name) if left else None, f.dataType, after[f.name].dataType if left else None, f"{path}.{f.name}".lstrip("."))
+            return out
+        operation = "callback" if path in self.config.callbacks else "field_path" if named else "json" if not path else "regex" if type_name(kind) == "string" else "data_type"
+        text = lambda c, k: F.to_json(c) if isinstance(k, T.StructType | T.MapType | T.ArrayType) else c.cast("string")
+        changed = was.isNotNull() if now is None else ~text(was, kind).eqNullSafe(text(now, after))
+        return [(path or "context", kind, changed, operation)]
+
+    def _too_deep(self, value: Column, kind: T.DataType, depth: int) -> list[Column]:
+        """The containers that are left as they are, as they lie at the greatest depth; those inside arrays and maps as their array or map."""
+        if type_name(kind) != "array":
+            return []
+        if depth >= self.config.max_depth:
+            return [value]
+        if self.config.type_masks.get("array", "recursive") != "recursive":
+            return []
+        if isinstance(kind, T.StructType):
+            return [x for f in kind.fields for x in self._too_deep(value.getField(f.name), f.dataType, depth + 1)]
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+        return [value] if self._too_deep(F.lit(None).cast(inner), inner, depth + 1) else []

@@ -104,7 +104,7 @@ def any_of(rules: list[Rule]) -> Rule:
 
 def custom(predicate: Callable[..., bool], *columns: str, on_error: bool = True) -> Rule:
     """An opaque Python predicate over columns, in Arrow batches. Where it raises, the rule counts as ``on_error``:
-    true for a processor's rules, false for conditional strategies."""
+    true for a processor's rules, false for conditional strategies. ``failed`` of the rule tells where it raises."""
     import pandas as pd
 
     def one(*values):
@@ -113,10 +113,22 @@ def custom(predicate: Callable[..., bool], *columns: str, on_error: bool = True)
         except Exception:  # noqa: BLE001  a rule's error has a defined outcome
             return on_error
 
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([one(*v) for v in zip(*series)], dtype=bool)
+    def raises(*values):
+        try:
+            predicate(*values)
+            return False
+        except Exception:  # noqa: BLE001  reported as an audit event
+            return True
+
+    def over(each):
+        def run(*series: pd.Series) -> pd.Series:
+            return pd.Series([each(*v) for v in zip(*series)], dtype=bool)
+
+        udf = pandas_udf(run, "boolean", PandasUDFType.SCALAR)
+        return lambda schema: udf(*(F.col(c) for c in columns))
 
     from pyspark.sql.functions import PandasUDFType, pandas_udf
 
-    udf = pandas_udf(run, "boolean", PandasUDFType.SCALAR)
-    return lambda schema: udf(*(F.col(c) for c in columns))
+    rule = over(one)
+    rule.failed = over(raises)
+    return rule

@@ -53,6 +53,12 @@ def retyped(value: Column, text: Column, kind: T.DataType) -> Column:
     return F.coalesce(F.expr("null").cast(kind), text.try_cast(kind.simpleString()))
 
 
+def value_preview(value: Column, kind: T.DataType, most: int = 100) -> Column:
+    """The beginning of a value as text, for messages."""
+    text = as_text(value, kind)
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
 @dataclass
 class Strategy:
     """Base: ``applies`` and ``mask`` for a value of some type at some path."""

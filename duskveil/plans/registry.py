@@ -361,10 +361,37 @@ def _(spark, sf_dir):
     return _ruled(spark, sf_dir, broken=rules.custom(lambda level: 1 / 0, "level"))
 
 
-@query("audit_events", f"select path, operation, count(*) as n from (select 'conditional_skip' as path, 'conditional' as operation from {LOGS} where level <> 'ERROR' union all select unnest(['message', 'user', 'note', 'tags', 'age']) as path, unnest(['regex', 'data_type', 'regex', 'data_type', 'field_path']) as operation from {LOGS} where level = 'ERROR') group by path, operation")
+_CHANGED = {"message": "regex", "user.email": "regex", "user.ssn": "regex", "user.card": "callback", "user.agreed": "data_type", "active": "data_type", "age": "field_path", "note": "regex", "tags": "data_type"}
+
+
+@query("audit_events", f"select path, original_type, operation, count(*) as n from (select 'conditional_skip' as path, 'array' as original_type, 'conditional' as operation from {LOGS} where level <> 'ERROR' union all select unnest({list(_CHANGED)}) as path, unnest(['string', 'string', 'string', 'string', 'boolean', 'boolean', 'integer', 'string', 'array']) as original_type, unnest({list(_CHANGED.values())}) as operation from {LOGS} where level = 'ERROR') group by all")
+def _(spark, sf_dir):
+    config = Config(rules={"level": rules.level_in("ERROR")}, fields={"age": "hidden"}, callbacks={"user.card": callbacks.partial()}, type_masks={"boolean": "B"})
+    return Processor(config).audit(records(spark, sf_dir)).groupBy("path", "original_type", "operation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("audit_event_kinds", f"select unnest(['conditional_error', 'json_masked', 'malformed_utf8_scrubbed', 'message', 'user.name_callback_error']) as path, unnest([count(*), count(*), count(*) filter (where k % 3 = 0), count(*), count(*)]) as n from {LOGS}")
+def _(spark, sf_dir):
+    text = F.concat(F.lit('{"ip":"'), F.col("context.tags")[0], F.lit('"} '))
+    df = records(spark, sf_dir).withColumn("message", F.when(F.col("k") % 3 == 0, F.concat(text.cast("binary"), F.unhex(F.lit("C328")))).otherwise(text.cast("binary")))
+
+    def fails(*values):
+        raise ValueError("no")
+
+    config = Config(rules={"bad": rules.custom(fails, "level")}, callbacks={"user.name": callbacks.opaque(fails)}, fields={"user.email": FieldMask.remove(), "user.ssn": FieldMask.remove(), "user.card": FieldMask.remove(), "note": FieldMask.remove(), "tags": FieldMask.remove()})
+    found = Processor(config).audit(df).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return found.where("path not in ('user.email', 'user.ssn', 'user.card', 'note', 'tags')")
+
+
+@query("audit_depth", f"select path, n from (select 'max_depth_reached' as path, count(*) as n from {LOGS} union all select 'message', count(*) from {LOGS} union all select 'note', count(*) from {LOGS})")
+def _(spark, sf_dir):
+    df = records(spark, sf_dir).withColumn("context", F.struct("context.user", "context.note"))
+    return Processor(Config(max_depth=1)).audit(df).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("audit_anonymized", f"select 'k-anonymity.age' as path, 'bigint' as original_type, count(*) as n from {LOGS}")
 def _(spark, sf_dir):
-    config = Config(rules={"level": rules.level_in("ERROR")}, fields={"age": "hidden"})
-    return Processor(config).audit(records(spark, sf_dir)).groupBy("path", "operation").agg(F.count(F.lit(1)).alias("n"))
+    return generalize.Anonymizer().age("age").numeric("missing", 5).audit(logs(spark, sf_dir)).groupBy("path", "original_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("strategy_priority", f"select k, 'PATH' as email, {quoted(SSN)} as ssn, {quoted(TYPE_MASKS['string'])} as name, '5' as age from {LOGS}")
@@ -647,6 +674,15 @@ def _(spark, sf_dir):
     return logs(spark, sf_dir).select("k", http.level_of(F.col("k") % 700).alias("level"), http.request_body(method, kind, F.col("name")).alias("body"))
 
 
+@query("http_bodies", f"""select k, case when k % 3 = 0 then concat('{{"mail":"{EMAIL}"}}') when k % 3 = 1 then '{{"error":"Invalid JSON response"}}' else concat(repeat('é', 500), '...') end as body, 'a' as fields from {LOGS}""")
+def _(spark, sf_dir):
+    kind = F.when(F.col("k") % 3 < 2, F.lit("application/json")).otherwise(F.lit("text/plain"))
+    body = F.when(F.col("k") % 3 == 0, F.concat(F.lit('{"mail": "'), F.col("email"), F.lit('"}'))).when(F.col("k") % 3 == 1, F.lit("{no json")).otherwise(F.lit("é" * 501))
+    form = F.create_map(F.lit("a"), F.lit("1"), F.lit("_token"), F.lit("t"))
+    df = logs(spark, sf_dir).select("k", http.response_body(body, kind).alias("body"), F.array_join(F.map_keys(http.form_fields(form)), ",").alias("fields"))
+    return http.mask_http(df.select("body", "fields", F.col("k").alias("k")), Processor()).select("k", "body", "fields")
+
+
 # --- streams
 
 

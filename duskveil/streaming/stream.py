@@ -46,11 +46,14 @@ def statistics(df: DataFrame, processor: Processor) -> DataFrame:
     return df.select(changed.alias("c")).agg(F.count(F.lit(1)).alias("processed"), F.coalesce(F.sum(F.col("c").cast("long")), F.lit(0)).alias("masked"), F.lit(0).cast("long").alias("errors"))
 
 
-def run_to(df: DataFrame, processor: Processor, write: Callable[[DataFrame, int], None], checkpoint: str, totals: Statistics | None = None, available_now: bool = True):
-    """Start a query that masks each micro-batch, hands it to ``write``, and adds to ``totals``."""
+def run_to(df: DataFrame, processor: Processor, write: Callable[[DataFrame, int], None], checkpoint: str, totals: Statistics | None = None, available_now: bool = True, events: Callable[[DataFrame, int], None] | None = None):
+    """Start a query that masks each micro-batch, hands it to ``write``, and adds to ``totals``. ``events`` gets, for each micro-batch, an
+    event ``streaming.processed`` with the number of its records."""
 
     def batch(part: DataFrame, n: int) -> None:
         write(mask_stream(part, processor), n)
+        if events is not None:
+            events(part.agg(F.count(F.lit(1)).alias("records")).select(F.lit("streaming.processed").alias("path"), "records"), n)
         if totals is not None:
             r = statistics(part, processor).first()
             totals.processed += r["processed"]

@@ -110,3 +110,34 @@ def test_structures_are_found_in_one_pass():
 def test_brackets_in_strings_are_no_nesting():
     text = json.dumps({"a": "[" * 600, "n": 1})
     assert json.loads(jsonmask.ValueMasker([], {"integer": "#"}).context_json(text)) == {"a": "[" * 600, "n": "#"}
+
+
+def test_settings_are_brought_within_bounds():
+    from duskveil.operators.config import settings
+
+    got = settings({"max_depth": "5000", "chunk_size": "abc", "max_pattern_length": 20, "audit_enabled": "On", "strict_regex_validation": "0", "audit_channel": "  "})
+    assert got == {"max_depth": 1000, "chunk_size": 100, "garbage_collection_threshold": 10000, "max_pattern_length": 20, "max_field_path_length": 100, "audit_enabled": True, "allow_empty_patterns": False, "strict_regex_validation": False, "audit_channel": "gdpr-audit"}
+
+
+def test_retries_and_previews(spark):
+    from duskveil.operators.recovery import Retry
+
+    def flaky(x):
+        if x.startswith("bad"):
+            raise ValueError(x)
+        return x.upper()
+
+    df = spark.createDataFrame([("good",), ("bad thing",), (None,)], "t string")
+    how = callbacks.opaque(flaky, Retry(2, 1, 2))
+    assert [tuple(r) for r in df.select(how(F.col("t")), how.failed(F.col("t"))).collect()] == [("GOOD", False), ("***STRING***", True), (None, False)]
+    assert how.on_values("bad one, a longer one").startswith("***STRING***")
+    row = spark.createDataFrame([("x" * 120, [1, 2])], "s string, a array<int>")
+    got = row.select(*(strategies.value_preview(F.col(f.name), f.dataType) for f in row.schema.fields)).first()
+    assert tuple(got) == ("x" * 100 + "...", "[1,2]")
+
+
+def test_binary_messages_and_unknown_masks(spark):
+    df = spark.createDataFrame([(bytearray(b"card 4111111111111111 raw=\xc3\x28 end"), ("x",))], "message binary, context struct<f:string>")
+    out = Processor(Config(fields={"f": FieldMask("nonsense")})).mask(df).first()
+    assert out["message"] == "card ***CC*** raw=\ufffd( end" and out["context"]["f"] == "nonsense"
+    assert masked(spark, {"f": "x"}, Config(fields={"f": FieldMask("nonsense")})) == {"f": "nonsense"}
