@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -82,25 +83,28 @@ class Words:
 
     def spans(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, starts, ends) of the words in mapped bytes."""
-        n = len(x)
-        inside = np.zeros(n + 2, np.int8)
+        first, last = self.edges(x)
+        return self.hashes(x, first, last)[0], first, last
+
+    @staticmethod
+    def edges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the words in mapped bytes."""
+        inside = np.zeros(len(x) + 2, np.int8)
         inside[1:-1] = x != 32
         edge = np.diff(inside)
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        return self.hashes(x, first, last), first, last
+        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
-    def hashes(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """A hash for each of the byte ranges of ``x``."""
+    def hashes(self, x: np.ndarray, first: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+        """For each array of ends, a hash for each of the byte ranges of ``x`` from ``first`` up to there."""
         n = len(x)
         if len(self.up) < n:
             self.up, self.down = _powers(STEP, max(n, SPAN + 4096)), _powers(BACK, max(n, SPAN + 4096))
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.number[x] * self.up[:n], out=total[1:])
+        out = [mix64((total[last] - total[first]) * self.down[first] + (last - first).astype(np.uint64), self.seed + k) for k, last in enumerate(ends)]
         if n > 4 * SPAN:  # a giant word: don't keep tables for it
-            out = mix64((total[last] - total[first]) * self.down[first] + (last - first).astype(np.uint64), self.seed)
             self.up = self.down = np.ones(1, np.uint64)
-            return out
-        return mix64((total[last] - total[first]) * self.down[first] + (last - first).astype(np.uint64), self.seed)
+        return out
 
 
 class Known:
@@ -308,6 +312,27 @@ def chunks(values: list, limit: int, size) -> Iterator[list]:
         yield out
 
 
+def tidy() -> None:
+    """Give a worker's free memory back to the machine: workers are kept between tasks, and hold what their allocators keep."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+    pa.default_memory_pool().release_unused()
+
+
+def tidied(run):
+    """A function over batches that tidies up when its task ends."""
+
+    def wrapped(it):
+        try:
+            yield from run(it)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def batches(it: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``max_bytes`` of data each; a longer row stands alone."""
     for b in it:

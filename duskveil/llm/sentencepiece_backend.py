@@ -234,7 +234,7 @@ class Codec:
         for part in C.chunks(raws, 2 * C.SPAN, len):
             data, first, last, n = self.cut(part)
             texts = lambda at, data=data, first=first, last=last: [data[a:b].decode() for a, b in zip(first[at].tolist(), last[at].tolist())]
-            yield self.hasher.hashes(np.frombuffer(data, np.uint8), first, last), n, texts
+            yield self.hasher.hashes(np.frombuffer(data, np.uint8), first, last)[0], n, texts
 
     def places(self, keys: np.ndarray, texts: Callable[[np.ndarray], list[str]]) -> np.ndarray:
         """Where ``known`` has the segments with these hashes, after it has learnt the new ones."""
@@ -327,7 +327,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", doc_id: str =
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, parity boolean" + ", ids array<int>" * keep_ids)
+    return rows.mapInArrow(C.tidied(run), f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, parity boolean" + ", ids array<int>" * keep_ids)
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -1,29 +1,35 @@
-"""Suffix-array dedup: a logarithmic family of suffix arrays finds what recurs; repeated 100-byte strings go, exactly.
+"""Suffix-array dedup: a logarithmic family of suffix arrays finds long matches; repeated 100-byte strings go.
 
 Sampled suffixes. Of each 100-byte string of a document, the 24-byte string with the smallest hash (the first of these) is the
 anchor. Equal strings have equal anchors at equal places, so a suffix is sampled where it starts at an anchor: about
-one in 39. A suffix array here is a sorted list of sampled suffixes, by their first 24 bytes, with the position of each
-one's first occurrence; it is dealt to shards by a hash of these bytes, and sorted within a shard.
+one in 39. All strings with the same anchor make its extent, of 100 to 176 bytes. A suffix array here is a sorted list of sampled
+suffixes, by their first 24 bytes and then by a 64-bit hash of the extent, each with the place of its first occurrence; it is dealt to shards by a
+hash of the 24 bytes, and sorted within a shard.
 
 The family. Documents come in batches in ascending doc_id order. A batch gets its suffix arrays, which are merge-scanned
-against all levels: a suffix that shares its 24 bytes with an earlier one, or with another of the batch, recurs. Then
-the batch's new suffixes become a level, and levels of equal size are merged, to one of twice the size.
-
-The exact part. Only anchors that recur matter (a Bloom filter of bounded size picks them from the documents anew; what it lets
-through in error stands alone and does nothing). An anchor's extent is the bytes of all strings that have it as anchor; occurrences with equal
-extents are one class, and of these all but the first are repeated whole. Where several classes share an anchor,
-the strings of each class's first occurrence are compared one by one: each but the earliest is repeated. Bytes
-under repeated strings go. So copies cost a row for each anchor, no group is ever paired with itself, and an anchor with very
-many classes has its strings dealt out one by one.
-
-Defined results: a null or empty text has no bytes; a text under 100 bytes stays; documents are ordered by doc_id (a null
-first), equal doc_ids by their place in the table; strings are judged on the input; an empty table gives an empty
+against all levels for long matches. Two suffixes with equal 24 bytes and equal extents are a match of the whole extent: the later one's bytes
+go. Suffixes with equal 24 bytes and different extents may match in part: the first occurrence of each such extent is handed on. The
+batch's new suffixes become a level, and levels of equal size are merged to one of twice the size. Levels lie in a folder of their own;
+with ``at``, they stay there, and a later session can open the family and append to it.
+
+Matches in part. The extents that were handed on are read from the documents (a Bloom filter of bounded size picks them; what it lets
+through in error changes nothing), those with one anchor meet, and their strings are compared in the order of their documents: each but the
+earliest is repeated. Bytes under repeated strings go. So copies cost a number for each anchor, no group is ever paired with itself, and an
+anchor with very many extents has its strings dealt out one by one.
+
+What counts as equal: whole extents by 24 bytes and 64 bits of hash, strings in part by their bytes, strings that are dealt out one by one by
+128 bits of hash.
+
+Defined results: a null or empty text has no bytes; a text under 100 bytes stays; very long texts are taken whole; documents are ordered by
+doc_id (a null first), equal doc_ids by their place in the table; strings are judged on the input; an empty table gives an empty
 result; extra columns don't matter. Rows are known by their place in the table, so ``docs`` must be a plain read (or a staged table).
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +50,9 @@ CHUNK = 1 << 20
 PLACE_BITS = 24  # of a key's place in a chunk, under its hash
 BLOOM = 32 << 20
 #: Extents of one anchor that may meet in one task; the strings of larger groups are dealt one by one.
-LARGE = 20_000
+LARGE = 4_000
+#: Suffixes that a task sorts at once: so many, or more if there are many shards to deal them to.
+FLUSH, FLUSH_MOST = 300_000, 3_000_000
 
 
 def key_hash(k0: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
@@ -108,8 +116,11 @@ class Sample:
         return self.hash[self.anchor] if len(self.anchor) else np.zeros(0, np.uint64)
 
 
-#: An entry of a suffix array: 24 bytes of the suffix as three numbers, where it first occurs, whether it recurs.
-ENTRY = np.dtype([("k0", "<u8"), ("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("more", "u1")])
+#: An entry of a suffix array: 24 bytes of the suffix as three numbers, the extent's hash, and where it first occurs: the row, its doc_id (0 in
+#: levels, which come before any batch), the start of the extent's first string, how many more strings it has.
+ENTRY = np.dtype([("k0", "<u8"), ("k1", "<u8"), ("k2", "<u8"), ("x", "<u8"), ("rid", "<i8"), ("doc", "<i8"), ("first", "<u4"), ("more", "u1")])
+#: A byte range of a row, from the start of its first string, with how many more strings follow.
+MARK = np.dtype([("rid", "<i8"), ("first", "<u4"), ("more", "u1")])
 
 
 def entry_names(x: np.ndarray) -> np.ndarray:
@@ -118,113 +129,171 @@ def entry_names(x: np.ndarray) -> np.ndarray:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Sorted entries: byte planes, the first numbers as differences."""
-    x = x.copy()
-    x["k0"] = np.diff(x["k0"], prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), ENTRY.itemsize).T.tobytes())
+    """Entries or marks as byte planes, the first numbers as differences."""
+    x, name = x.copy(), x.dtype.names[0]
+    x[name] = np.diff(x[name], prepend=x[name].dtype.type(0))
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
 
 
-def unpack(raw: bytes) -> np.ndarray:
-    data = zstandard.ZstdDecompressor().decompress(raw)
-    x = np.frombuffer(data, np.uint8).reshape(ENTRY.itemsize, -1).T.copy(order="C").reshape(-1).view(ENTRY)
-    x["k0"] = np.cumsum(x["k0"], dtype=np.uint64)
+def unpack(raw: bytes, kind: np.dtype = ENTRY) -> np.ndarray:
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(kind.itemsize, -1).T.copy(order="C").reshape(-1).view(kind)
+    x[kind.names[0]] = np.cumsum(x[kind.names[0]], dtype=kind[0])
     return x
 
 
-def merged(arrays: list[np.ndarray]) -> np.ndarray:
-    """Suffix arrays merged to one: equal suffixes become one entry, at the earliest place, which recurs."""
-    x = np.concatenate(arrays) if arrays else np.zeros(0, ENTRY)
-    if not len(x):
-        return x
-    x = x[np.lexsort((x["at"], x["doc"], x["k2"], x["k1"], x["k0"]))]
-    new = np.concatenate([[True], (x["k0"][1:] != x["k0"][:-1]) | (x["k1"][1:] != x["k1"][:-1]) | (x["k2"][1:] != x["k2"][:-1])])
-    first = np.flatnonzero(new)
-    out = x[first].copy()
-    out["more"] = (np.add.reduceat(x["more"].astype(np.int64), first) + np.diff(np.append(first, len(x))) > 1).astype(np.uint8)
-    return out
+def joined(arrays: list[np.ndarray], kind: np.dtype = ENTRY) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *arrays])
 
 
-def scan(batch: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Merge-scan: which entries of the batch have their suffix in the level. Both are sorted, without repeats."""
-    both = np.concatenate([batch, level])
-    own = np.concatenate([np.arange(len(batch)), np.full(len(level), -1)])
-    order = np.lexsort((both["k2"], both["k1"], both["k0"]))
-    x, own = both[order], own[order]
-    same = (x["k0"][1:] == x["k0"][:-1]) & (x["k1"][1:] == x["k1"][:-1]) & (x["k2"][1:] == x["k2"][:-1])
-    found = np.maximum(own[1:][same], own[:-1][same])
-    out = np.zeros(len(batch), bool)
-    out[found] = True
+def marks_of(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x), MARK)
+    for name in MARK.names:
+        out[name] = x[name]
     return out
 
 
+def ordering(x: np.ndarray, *then: str) -> np.ndarray:
+    """The order of the entries by suffix, extent and the other fields named. Most differ in their first eight bytes; only the others are
+    sorted by all."""
+    order = np.argsort(x["k0"], kind="stable")
+    k = x["k0"][order]
+    same = k[1:] == k[:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(k) else np.zeros(0, np.int64)
+    if len(tied):
+        y = x[order[tied]]
+        order[tied] = order[tied][np.lexsort([y[n] for n in reversed(("k0", "k1", "k2", "x", *then))])]
+    return order
+
+
+def ordered(x: np.ndarray) -> np.ndarray:
+    return x[ordering(x, "doc", "rid", "first")]
+
+
+def begins(x: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
+    """Where a sorted array has another value of these than before."""
+    new = np.ones(len(x), bool)
+    if len(x):
+        new[1:] = np.logical_or.reduce([x[n][1:] != x[n][:-1] for n in names])
+    return new
+
+
+SUFFIX, CLASS = ("k0", "k1", "k2"), ("k0", "k1", "k2", "x")
+
+
+def classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first occurrence of each suffix and extent, sorted; the marks of all later ones)."""
+    x = ordered(x)
+    new = begins(x, CLASS)
+    return x[new], marks_of(x[~new])
+
+
+def scan(batch: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge-scan of a batch's classes against those of the levels, which come before: (the batch's new classes; marks of those that a
+    level has: matches of whole extents; the first occurrences that may match in part, each once over all batches)."""
+    x = joined([batch, *levels])
+    old = np.arange(len(x)) >= len(batch)
+    x["doc"] = old  # a level's entry goes after the batch's equal one
+    order = ordering(x, "doc")
+    x, old = x[order], old[order]
+    again = np.zeros(len(x), bool)
+    again[:-1] = ~begins(x, CLASS)[1:]  # the next one is equal: the level's
+    again &= ~old
+    group = np.cumsum(begins(x, SUFFIX)) - 1
+    fresh = ~old & ~again
+    n_old, n_new = (np.bincount(group[w], minlength=int(group[-1]) + 1 if len(group) else 0) for w in (old, fresh))
+    meets = (n_new > 0) & (n_old + n_new > 1)
+    part = fresh & meets[group] | old & (meets & (n_old == 1))[group]  # two or more old ones have been handed on before
+    x["doc"] = 0
+    return x[fresh], marks_of(x[again]), x[part]
+
+
 class Family:
-    """The levels: each a table of (shard, packed suffix array), with a size of 1, 2, 4, ... batches."""
+    """The levels: each a table of (shard, packed suffix array), with a size of 1, 2, 4, ... batches. ``at``: a folder to stay in."""
 
-    def __init__(self, spark, shards: int):
-        self.spark, self.shards = spark, shards
+    def __init__(self, spark, shards: int, at: str | None = None):
+        self.spark, self.shards, self.at = spark, shards, at
         self.levels: list[tuple[int, DataFrame, str]] = []
 
-    def suffixes(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-        """(shard, packed): the suffix arrays of each task's documents."""
+    @classmethod
+    def open(cls, spark, at: str) -> Family:
+        """A family that ``save`` has left in that folder."""
+        rows = spark.read.parquet(f"{at}/levels").orderBy("place").collect()
+        out = cls(spark, rows[0]["shards"], at)
+        out.levels = [(r["size"], spark.read.schema("shard int, packed binary").parquet(r["path"]), r["path"]) for r in rows if r["size"]]
+        return out
+
+    def save(self) -> None:
+        """Note which levels there are, for ``open``; the folders of merged ones go."""
+        rows = [(-1, self.shards, 0, ""), *((k, self.shards, n, path) for k, (n, _, path) in enumerate(self.levels))]
+        self.spark.createDataFrame(rows, "place int, shards int, size int, path string").coalesce(1).write.mode("overwrite").parquet(f"{self.at}/levels")
+
+    def _stage(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        if self.at is None:
+            return C.stage(rows, "suffix-level", "none")
+        path = f"{self.at}/level-{uuid.uuid4().hex[:12]}"
+        rows.write.option("compression", "none").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path), path
+
+    def suffixes(self, rows: DataFrame) -> DataFrame:
+        """(shard, packed, marks): the suffix arrays of each task's rows (rid, doc_id, text), and what already recurs in the task."""
         shards = self.shards
+        most = min(max(FLUSH, 100 * shards), FLUSH_MOST)
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
 
             def flush():
-                x = merged(held)
-                dealt = C.below(C.mix64(entry_names(x), 3), shards).astype(np.int64)
-                order = np.argsort(dealt, kind="stable")
-                bounds = np.searchsorted(dealt[order], np.arange(shards + 1))
-                got = [(k, pack(x[order[a:b]])) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
-                return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([p for _, p in got], pa.binary())], ["shard", "packed"])
+                x, marks = classes(joined(held))
+                shard = C.below(C.mix64(entry_names(x), 3), shards).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+                own = [k for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+                parts = np.array_split(marks, len(own)) if own else []  # any shard can carry them
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(own, pa.int32()), pa.array([pack(x[order[bounds[k] : bounds[k + 1]]]) for k in own], pa.binary()), pa.array([pack(m) for m in parts], pa.binary())], ["shard", "packed", "marks"]
+                )
 
             for b in (y for x in it for y in C.batches([x], CHUNK)):
-                s = Sample(C.utf8(b.column(1)))
-                x = np.zeros(len(s.anchor), ENTRY)
-                keys = s.keys()
-                x["k0"], x["k1"], x["k2"] = keys[:, 0], keys[:, 1], keys[:, 2]
-                ids = np.array([-(2**63) if d is None else d for d in b.column(0).to_pylist()], np.int64)
-                x["doc"], x["at"] = ids[s.doc], s.anchor - s.starts[s.doc]
-                held.append(x)
-                size += len(x)
-                if size > 300_000:
+                held.append(entries(b))
+                size += len(held[-1])
+                if size > most:
                     yield flush()
                     held, size = [], 0
             if size:
                 yield flush()
 
-        return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "shard int, packed binary")
+        return rows.select("rid", "doc_id", "text").mapInArrow(C.tidied(run), "shard int, packed binary, marks binary")
 
-    def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """Take in a batch; (shard, names): the packed names of suffixes that now recur."""
+    def append(self, rows: DataFrame) -> DataFrame:
+        """Take in a batch of rows (rid: a number of their own among all batches, doc_id, text): (marks, parts) of each shard, packed: the
+        matches of whole extents, and the first occurrences of extents, of this batch or before, that may match in part."""
         self.merge()
-        rows = self.suffixes(docs, doc_id, text).withColumn("level", F.lit(-1))
+        every = self.suffixes(rows).withColumn("level", F.lit(-1))
         for k, (_, level, _) in enumerate(self.levels):
-            rows = rows.unionByName(level.select("shard", "packed", F.lit(k).alias("level")))
+            every = every.unionByName(level.select("shard", "packed", F.lit(None).cast("binary").alias("marks"), F.lit(k).alias("level")))
 
         def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            batch = merged([unpack(x) for x in pdf.loc[pdf["level"] < 0, "packed"]])
-            old = np.zeros(len(batch), bool)
-            for raw in pdf.loc[pdf["level"] >= 0, "packed"]:
-                old |= scan(batch, unpack(raw))
-            names = np.unique(entry_names(batch[old | (batch["more"] > 0)]))
-            return pd.DataFrame({"shard": [int(key[0])], "names": [names.tobytes()], "packed": [pack(batch[~old])]})
-
-        met, path = C.stage(rows.groupBy("shard").applyInPandas(meet, "shard int, names binary, packed binary"), "suffix-level", "none")
-        names, _ = C.stage(met.select("shard", "names"), "suffix-names", "none")
+            own = pdf["level"] < 0
+            batch, marks = classes(joined([unpack(x) for x in pdf.loc[own, "packed"]]))
+            new, whole, part = scan(batch, [unpack(x) for x in pdf.loc[~own, "packed"]])
+            marks = joined([marks, whole, *(unpack(x, MARK) for x in pdf.loc[own, "marks"])], MARK)
+            marks = marks[np.argsort(marks["rid"], kind="stable")]
+            return pd.DataFrame({"shard": [int(key[0])], "marks": [pack(marks)], "parts": [place_name(part["rid"], part["first"]).tobytes()], "packed": [pack(new)]})
+
+        met, path = self._stage(every.groupBy("shard").applyInPandas(meet, "shard int, marks binary, parts binary, packed binary"))
+        found, _ = C.stage(met.select("marks", "parts"), "suffix-matches", "none")
         self.levels.append((1, met.select("shard", "packed"), path))
-        return names
+        return found
 
     def merge(self) -> None:
         """Merge levels of equal size, the newest first. It runs before a batch comes in."""
 
         def both(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"shard": [int(key[0])], "packed": [pack(merged([unpack(x) for x in pdf["packed"]]))]})
+            return pd.DataFrame({"shard": [int(key[0])], "packed": [pack(ordered(joined([unpack(x) for x in pdf["packed"]])))]})
 
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a, old), (_, b, new) = self.levels[-2:]
-            level, path = C.stage(a.unionByName(b).groupBy("shard").applyInPandas(both, "shard int, packed binary"), "suffix-level", "none")
+            level, path = self._stage(a.unionByName(b).groupBy("shard").applyInPandas(both, "shard int, packed binary"))
             self.levels[-2:] = [(2 * n, level, path)]
             for x in (old, new):
                 C.drop_path(self.spark, x)
@@ -235,31 +304,26 @@ class Family:
         self.levels = []
 
 
-def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
+def entries(b: pa.RecordBatch) -> np.ndarray:
+    """The sampled suffixes of some rows (rid, doc_id, text)."""
+    s = Sample(C.utf8(b.column(2)))
+    x, h = np.zeros(len(s.anchor), ENTRY), xxhash.xxh3_64_intdigest
+    keys = s.keys()
+    x["k0"], x["k1"], x["k2"] = keys[:, 0], keys[:, 1], keys[:, 2]
+    raw = s.raw
+    x["x"] = np.fromiter((h(raw[i : j + LENGTH], seed=a - i) for i, j, a in zip(s.first.tolist(), s.last.tolist(), s.anchor.tolist())), np.uint64, len(x))
+    x["rid"] = b.column(0).to_numpy()[s.doc]
+    x["doc"] = np.array([-(2**63) if d is None else d for d in b.column(1).to_pylist()], np.int64)[s.doc]
+    x["first"], x["more"] = s.first - s.starts[s.doc], s.last - s.first
+    return x
 
-def recurring(rows: DataFrame, names) -> DataFrame:
-    """Anchors that may recur: (name, x: the extent's hash, rid, doc_id, first, last: starts of strings)."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (y for x in it for y in C.batches([x], CHUNK)):
-            s = Sample(C.utf8(b.column(2)))
-            k = np.flatnonzero(C.may_hold(s.names().view(np.int64), names.value))
-            base, first, last, anchor = s.starts[s.doc[k]], s.first[k], s.last[k], s.anchor[k]
-            h, raw = xxhash.xxh3_64_intdigest, s.raw
-            x = np.fromiter((h(raw[i : j + LENGTH], seed=a - i) for i, j, a in zip(first.tolist(), last.tolist(), anchor.tolist())), np.uint64, len(k))
-            take = pa.array(s.doc[k])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.names()[k].view(np.int64)), pa.array(x.view(np.int64)), b.column(0).take(take), b.column(1).take(take), *(pa.array((y - base).astype(np.int32)) for y in (first, last))],
-                ["name", "x", "rid", "doc_id", "first", "last"],
-            )
-
-    return rows.mapInArrow(run, "name long, x long, rid long, doc_id long, first int, last int")
+def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return C.placed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "rid").select("rid", "doc_id", "text")
 
 
 def contexts(rows: DataFrame, wanted) -> DataFrame:
-    """The extents of which hash(rid, first) may be wanted: (name, rid, doc_id, first, offset: of the anchor, bytes)."""
+    """The extents of which hash(rid, first) may be wanted: (name, rid, doc_id, first, bytes)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (y for x in it for y in C.batches([x], CHUNK)):
@@ -270,11 +334,11 @@ def contexts(rows: DataFrame, wanted) -> DataFrame:
             raw, take = s.raw, pa.array(s.doc[k])
             got = [raw[i : j + LENGTH] for i, j in zip(s.first[k].tolist(), s.last[k].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s.names()[k].view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(first[k].astype(np.int32)), pa.array((s.anchor - s.first)[k].astype(np.int32)), pa.array(got, pa.binary())],
-                ["name", "rid", "doc_id", "first", "offset", "bytes"],
+                [pa.array(s.names()[k].view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(first[k].astype(np.int32)), pa.array(got, pa.binary())],
+                ["name", "rid", "doc_id", "first", "bytes"],
             )
 
-    return rows.mapInArrow(run, "name long, rid long, doc_id long, first int, offset int, bytes binary")
+    return rows.mapInArrow(C.tidied(run), "name long, rid long, doc_id long, first int, bytes binary")
 
 
 MARKS = "rid long, first int, end int"
@@ -290,16 +354,33 @@ def repeated_strings(found: DataFrame, shards: int) -> DataFrame:
         sizes = np.array([len(r) - LENGTH + 1 for r in raws], np.int64)
         seeds = [n & 0xFFFFFFFFFFFFFFFF for n in names]
         strings = np.fromiter((h(r[i : i + LENGTH], seed=n) for r, n in zip(raws, seeds) for i in range(len(r) - LENGTH + 1)), np.uint64, int(sizes.sum()))
-        _, back = np.unique(strings, return_inverse=True)
-        first = np.full(int(back.max()) + 1, len(strings))
-        np.minimum.at(first, back, np.arange(len(strings)))
-        again = first[back] != np.arange(len(strings))
+        _, one, back = np.unique(strings, return_index=True, return_inverse=True)
+        earliest = one[back]
+        again = earliest != np.arange(len(strings))
+        owner = np.repeat(np.arange(len(raws)), sizes)
+        at = np.arange(len(strings)) - (np.cumsum(sizes) - sizes)[owner]
+        for k, e in zip(np.flatnonzero(again).tolist(), earliest[again].tolist()):
+            if raws[owner[k]][at[k] : at[k] + LENGTH] != raws[owner[e]][at[e] : at[e] + LENGTH]:
+                again = _again(raws)
+                break
         return _ranges(again, sizes, pdf["rid"].to_numpy(), pdf["first"].to_numpy())
 
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandas(run, MARKS)
 
 
+def _again(raws: list[bytes]) -> np.ndarray:
+    """Which strings have occurred before, without hashes."""
+    seen: set[bytes] = set()
+    out = []
+    for r in raws:
+        for i in range(len(r) - LENGTH + 1):
+            w = r[i : i + LENGTH]
+            out.append(w in seen)
+            seen.add(w)
+    return np.array(out, bool)
+
+
 def _ranges(again: np.ndarray, sizes: np.ndarray, rid: np.ndarray, first: np.ndarray) -> pd.DataFrame:
     """Runs of repeated strings within each extent as byte ranges of its document."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -316,7 +397,7 @@ def repeated_in_large_groups(found: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (y for x in it for y in C.batches([x], 1 << 20)):
-            raws = b.column(5).to_pylist()
+            raws = b.column(4).to_pylist()
             sizes = np.array([len(r) - LENGTH + 1 for r in raws], np.int64)
             h = xxhash.xxh3_128_digest
             w = np.frombuffer(b"".join([h(r[i : i + LENGTH]) for r in raws for i in range(len(r) - LENGTH + 1)]), "<i8").reshape(-1, 2)
@@ -325,7 +406,7 @@ def repeated_in_large_groups(found: DataFrame) -> DataFrame:
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), b.column(1).take(take), b.column(2).take(take), pa.array(at.astype(np.int32))], ["w1", "w2", "rid", "doc_id", "at"])
 
-    strings = found.select("name", "rid", "doc_id", "first", "offset", "bytes").mapInArrow(run, "w1 long, w2 long, rid long, doc_id long, at int")
+    strings = found.select("name", "rid", "doc_id", "first", "bytes").mapInArrow(C.tidied(run), "w1 long, w2 long, rid long, doc_id long, at int")
     spot = F.struct("doc_id", "rid", "at")
     earliest, _ = C.stage(strings.groupBy("w1", "w2").agg(F.min(spot).alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1"), "earliest")
     return strings.join(earliest, ["w1", "w2"]).where(~spot.eqNullSafe(F.col("one"))).select("rid", F.col("at").alias("first"), (F.col("at") + LENGTH).alias("end"))
@@ -349,42 +430,40 @@ def batches_of(docs: DataFrame, doc_id: str, n: int) -> list[DataFrame]:
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
     """(rid, first int, end int): byte ranges under repeated strings (they may overlap); rid as ``numbered`` gives it."""
     spark = docs.sparkSession
+    rows = numbered(docs, doc_id, text)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
-    family, names = Family(spark, shards), []
-    for part in batches_of(docs, doc_id, batches):
-        names.append(family.append(part, doc_id, text))
+    family, found = Family(spark, shards), []
+    for part in batches_of(rows, "doc_id", batches):
+        found.append(family.append(part))
         C.release_shuffles(spark)
     family.drop()
-    known = names[0]
-    for x in names[1:]:
-        known = known.unionByName(x)
+    return matched(functools.reduce(DataFrame.unionByName, found), rows, shards)
+
+
+def matched(found: DataFrame, rows: DataFrame, shards: int) -> DataFrame:
+    """(rid, first, end): byte ranges under repeated strings. ``found``: what the family's scans have given; ``rows`` (rid, doc_id, text): all
+    rows that it has seen."""
+    spark = rows.sparkSession
 
-    def unroll(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for raw in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, "<i8"))], ["name"])
+                x = unpack(raw, MARK)
+                first = x["first"].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x["rid"]), pa.array(first), pa.array(first + x["more"] + LENGTH, pa.int32())], ["rid", "first", "end"])
 
-    size = known.agg(F.coalesce(F.sum(F.length("names")), F.lit(0)).alias("n")).first()["n"] // 8
-    again = C.bloom(known.select("names").mapInArrow(unroll, "name long"), size, BLOOM)
-    rows = numbered(docs, doc_id, text)
-    found, _ = C.stage(recurring(rows, again), "recurring")
-    place = F.struct("doc_id", "rid", "first")
-    kinds, _ = C.stage(found.groupBy("name", "x").agg(F.min(place).alias("one"), F.count(F.lit(1)).alias("n")), "extents")
-    C.release_shuffles(spark)
-    whole = found.join(kinds.where("n > 1"), ["name", "x"]).where(~place.eqNullSafe(F.col("one"))).select("rid", "first", (F.col("last") + LENGTH).alias("end"))
-    several, _ = C.stage(kinds.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared-anchors")
-    firsts, _ = C.stage(kinds.join(several, "name").select("one.rid", "one.first"), "first-extents")
-
-    def named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([pa.array(place_name(*(np.array(b.column(k).to_pylist(), np.int64) for k in (0, 1))))], ["place"])
+            for raw in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, "<i8"))], ["place"])
 
-    wanted = C.bloom(firsts.mapInArrow(named, "place long"), firsts.count(), BLOOM)
+    size = found.agg(F.coalesce(F.sum(F.length("parts")), F.lit(0)).alias("n")).first()["n"] // 8
+    wanted = C.bloom(found.select("parts").mapInArrow(places, "place long"), size, BLOOM)
     extents, _ = C.stage(contexts(rows, wanted), "contexts")
-    large = several.where(F.col("c") > LARGE).select("name")
+    large = extents.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LARGE).select("name")
     some = repeated_strings(extents.join(large, "name", "left_anti"), shards)
     more = repeated_in_large_groups(extents.join(large, "name", "left_semi"))
-    marks, _ = C.stage(whole.unionByName(some).unionByName(more), "repeats")
+    marks, _ = C.stage(found.select("marks").mapInArrow(whole, MARKS).unionByName(some).unionByName(more), "repeats")
     C.release_shuffles(spark)
     return marks
 

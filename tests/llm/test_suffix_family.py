@@ -59,19 +59,71 @@ def test_pieces_that_overlap(spark, tmp_path, monkeypatch, large):
 
 
 def test_levels_grow_geometrically(spark):
-    docs = C.table(spark, cases.SF, "documents")
+    rows = X.numbered(C.table(spark, cases.SF, "documents"), "doc_id", "text")
     family = X.Family(spark, 4)
     sizes = []
-    for part in X.batches_of(docs, "doc_id", 7):
+    for part in X.batches_of(rows, "doc_id", 7):
         family.append(part)
         sizes.append([n for n, _, _ in family.levels])
     assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1], [4, 1, 1], [4, 2, 1]]
     entries = np.concatenate([X.unpack(r["packed"]) for _, level, _ in family.levels for r in level.collect()])
-    keys = entries[["k0", "k1", "k2"]]
+    keys = entries[list(X.CLASS)]
     assert len(np.unique(keys)) == len(keys) > 1000
     one = X.unpack(family.levels[0][1].first()["packed"])
-    order = np.lexsort((one["k2"], one["k1"], one["k0"]))
-    assert (order == np.arange(len(one))).all()
+    assert (X.ordered(one) == one).all()
+
+
+def kept_rows(spark, rows, marks):
+    """doc_id and what stays of it, from marks (rid, first, end)."""
+    gone = {}
+    for r in marks.collect():
+        gone.setdefault(r["rid"], []).append((r["first"], r["end"]))
+    out = []
+    for r in rows.collect():
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        stay = np.ones(len(raw), bool)
+        for a, b in gone.get(r["rid"], ()):
+            stay[a:b] = False
+        out.append((r["doc_id"], X.digest(bytes(raw[stay]))))
+    return sorted(out, key=repr)
+
+
+def test_matches_come_from_the_family(spark, monkeypatch):
+    """Without what the merge-scans find, nothing is removed: no other path finds repeats."""
+    docs = C.table(spark, cases.SF, "documents")
+    rows = X.numbered(docs, "doc_id", "text")
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    family = X.Family(spark, 4)
+    found = [family.append(part) for part in X.batches_of(rows, "doc_id", 3)]
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    assert kept_rows(spark, rows, X.matched(every, rows, 4)) == sorted(((d, h) for d, *_, h in want), key=repr)
+    assert X.matched(every.limit(0), rows, 4).count() == 0
+
+
+def test_a_saved_family_takes_another_batch(spark, tmp_path):
+    docs = C.table(spark, cases.SF, "documents")
+    rows = X.numbered(docs, "doc_id", "text")
+    first, second, third = X.batches_of(rows, "doc_id", 3)
+    family = X.Family(spark, 5, f"file://{tmp_path}/family")
+    found = family.append(first).unionByName(family.append(second))
+    family.save()
+    again = X.Family.open(spark, f"file://{tmp_path}/family")
+    assert [n for n, _, _ in again.levels] == [1, 1] and again.shards == 5
+    found = found.unionByName(again.append(third))
+    again.save()
+    assert [n for n, _, _ in X.Family.open(spark, f"file://{tmp_path}/family").levels] == [2, 1]
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert kept_rows(spark, rows, X.matched(found, rows, 5)) == sorted(((d, h) for d, *_, h in want), key=repr)
+
+
+def test_strings_are_compared_by_their_bytes():
+    raws = [b"a" * 150, b"x" + b"a" * 120, b"ab" * 80]
+    seen, want = set(), []
+    for r in raws:
+        for i in range(len(r) - 99):
+            want.append(r[i : i + 100] in seen)
+            seen.add(r[i : i + 100])
+    assert X._again(raws).tolist() == want
 
 
 def test_anchors_cover_every_string():
