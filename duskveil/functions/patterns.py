@@ -143,20 +143,29 @@ class Pattern:
         return self._replacement(lambda n: f"\\g<{n}>", lambda s: s.replace("\\", "\\\\"))
 
     def column(self, value: Column) -> Column:
-        return F.regexp_replace(value, F.lit(self.java), F.lit(self.java_replacement))
+        out = lambda v: F.regexp_replace(v, F.lit(self.java), F.lit(self.java_replacement))
+        first = None if self._tree is None else _edge(self._tree, "u" in self.flags, "i" in self.flags, False)
+        if self.literal and not (first and first.word()):  # tries most places: look for the literal before
+            return F.transform(F.array(value), lambda v: F.when(v.contains(self.literal), out(v)).otherwise(v))[0]
+        return out(value)
 
     def text(self, value: str) -> str:
         return self.python.sub(self.python_replacement, value)
 
+    @property
+    def literal(self) -> str:
+        """A text of two characters or more, or an at sign, that every match holds; else nothing."""
+        run = "" if self._tree is None else max(_literals(self._tree), key=len, default="")
+        return run if (len(run) > 1 or run == "@") and "i" not in self.flags else ""
+
     @cached_property
     def necessary(self) -> str:
-        """A Java regex that finds something wherever the pattern does: a literal of two characters or more or an at sign, a run of
-        three or more digits, or the pattern itself."""
+        """A Java regex that finds something wherever the pattern does: its literal in any case of letters, a run of three or more digits,
+        or the pattern itself."""
         if self._tree is not None and not {"i", "u"} <= set(self.flags):
             run = max(_literals(self._tree), key=len, default="")
-            if len(run) > 1 or run == "@":
-                run = re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", run)
-                return f"(?i:{run})" if "i" in self.flags else run
+            if "i" in self.flags and len(run) > 1:
+                return "(?i:" + re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", run) + ")"
             if (n := _digits(self._tree)) > 2:
                 return ("(?U:\\d)" if "u" in self.flags else "[0-9]") + f"{{{n}}}"
         return f"(?:{self.java})"
@@ -304,22 +313,30 @@ def compiled(patterns: Mapping[str, str] | None = None) -> list[Pattern]:
     return [Pattern(p, r) for p, r in (dict(DEFAULTS) if patterns is None else patterns).items()]
 
 
-def prefilter(patterns: list[Pattern]) -> str:
-    """One Java regex that finds something in every text that any of the patterns would change."""
-    parts = list(dict.fromkeys(p.necessary for p in patterns))
-    runs = {n: [int(m[1]) for x in parts if (m := re.fullmatch(re.escape(n) + r"\{(\d+)\}", x))] for n in ("[0-9]", "(?U:\\d)")}
-    least = {f"{n}{{{min(k)}}}" for n, k in runs.items() if k}  # a shorter run is in every longer one
-    return "|".join(x for x in parts if x in least or not any(x == f"{n}{{{k}}}" for n, ks in runs.items() for k in ks))
+def guards(patterns: list[Pattern]) -> tuple[list[str], list[str]]:
+    """(literals, Java regexes): some of them is in every text that any of the patterns would change."""
+    literals = list(dict.fromkeys(p.literal for p in patterns if p.literal))
+    found = list(dict.fromkeys(p.necessary for p in patterns if not p.literal))
+    runs = {n: [int(m[1]) for x in found if (m := re.fullmatch(re.escape(n) + r"\{(\d+)\}", x))] for n in ("[0-9]", "(?U:\\d)")}
+    least = [f"{n}{{{min(k)}}}" for n, k in runs.items() if k]  # a shorter run is in every longer one
+    every = {f"{n}{{{k}}}" for n, ks in runs.items() for k in ks}
+    return literals, [*least, *(x for x in found if x not in every)]
+
+
+def may_change(value: Column, patterns: list[Pattern]) -> Column:
+    """Whether any of the patterns may find something; cheap tests come first, and the first that holds is enough."""
+    literals, regexes = guards(patterns)
+    return reduce(or_, [*(value.contains(x) for x in literals), *(value.rlike(x) for x in regexes)])
 
 
 def apply_patterns(value: Column, patterns: list[Pattern], guarded: bool = True) -> Column:
-    """The value after all patterns in turn. Guarded: texts that no pattern can change skip the chain, after one search."""
+    """The value after all patterns in turn. Guarded: texts that no pattern can change skip the chain."""
     if not patterns:
         return value
     out = value
     for p in patterns:
         out = p.column(out)
-    return F.when(value.rlike(prefilter(patterns)), out).otherwise(value) if guarded else out
+    return F.when(may_change(value, patterns), out).otherwise(value) if guarded else out
 
 
 def apply_text(value: str, patterns: list[Pattern]) -> str:
@@ -332,7 +349,7 @@ def matched_labels(value: Column, patterns: list[Pattern]) -> Column:
     """The distinct replacements whose pattern finds something in the value, in order (array<string>)."""
     hits = F.array(*(F.when(value.rlike(p.java), F.lit(p.replacement)) for p in patterns))
     found = F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))
-    return F.when(value.rlike(prefilter(patterns)), found).otherwise(F.array().cast("array<string>"))
+    return F.when(may_change(value, patterns), found).otherwise(F.array().cast("array<string>"))
 
 
 def matches(value: Column, pattern: Pattern) -> Column:
