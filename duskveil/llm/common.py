@@ -39,7 +39,7 @@ def below(h: np.ndarray, n: int) -> np.ndarray:
 STEP = MIX2
 BACK = pow(MIX2, -1, 1 << 64)
 #: Bytes that are hashed at once, about.
-SPAN = 1 << 20
+SPAN = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -148,7 +148,7 @@ class Known:
         for k, x in values.items():
             self.beside[k][self.n : end] = x
         self.n = end
-        if end - len(self.old) > max(50_000, len(self.old) // 8):
+        if end - len(self.old) > max(50_000, len(self.old) // 16):
             self.old, self.recent = pd.Index(self.keys[:end].copy()), pd.Index(self.keys[:0])
         else:
             self.recent = pd.Index(self.keys[len(self.old) : end].copy())
@@ -246,7 +246,7 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 #: Bytes of rows that go to a Python worker, or come back, at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -8,7 +8,7 @@ The fit takes a bounded sample of labelled rows: the ``max_rows`` labels with th
 most ``2**bits`` distinct features. Scores cover every whole text.
 
 Defined results: a null or empty text has the bias alone; very long texts are scored whole; rows without label, or with a null label, teach
-nothing; a label table without rows gives a score of 0.0 for every text; a row that repeats with the same
+nothing; a label table without rows, or with too few to teach any weight, gives a score of 0.0 for every text; a row that repeats with the same
 label teaches once; an empty table gives an empty result; extra columns stay, whatever their names (a result whose name is taken gets more
 underscores).
 """
@@ -21,55 +21,63 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common as C
 
 BITS = 20
 MAX_ROWS = 16_000
-MEMO = 300_000
 #: Characters of a word, as the features see it.
 LETTERS = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 
 
-@dataclass
+class Stems(C.Words):
+    """Two hashes for each word: of the word, and of its first five characters."""
+
+    def spans(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first, last = self.edges(x)
+        starts = np.flatnonzero((x & 0xC0) != 0x80)  # of characters
+        sixth = np.searchsorted(starts, first) + 5
+        end = np.where(sixth < len(starts), starts[np.minimum(sixth, len(starts) - 1)], len(x)) if len(starts) else first
+        return np.stack(self.hashes(x, first, last, np.minimum(end, last)), axis=1), first, last
+
+
 class Featurizer:
-    bits: int = BITS
+    """Features of texts: hashes of words, stems, pairs, triples and skip-grams, by their upper bits."""
 
-    def __post_init__(self):
-        self.memo: dict[bytes, tuple[int, int]] = {}
+    def __init__(self, bits: int = BITS):
+        self.bits, self.words = bits, Stems(LETTERS)
 
-    def _word(self, w: bytes) -> tuple[int, int]:
-        stem = w.decode("utf-8", "ignore")[:5].encode()
-        return xxhash.xxh3_64_intdigest(w), xxhash.xxh3_64_intdigest(stem, seed=5)
+    def occurrences(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the text, index) of each occurrence of a feature."""
+        both, n = self.words(raws)
+        both = both.reshape(-1, 2)
+        h, stem, of = both[:, 0], both[:, 1], np.repeat(np.arange(len(raws)), n)
+        m = np.uint64(C.GOLDEN)
+        parts, texts = [h, stem], [of, of]
+        for seed, gap in ((1, 1), (2, 2), (3, 3)):  # next words, then skip-grams over one and two words
+            one = of[:-gap] == of[gap:]
+            parts.append(((h[:-gap] * m + h[gap:] + np.uint64(seed)) * np.uint64(C.MIX1))[one])
+            texts.append(of[:-gap][one])
+        one = of[:-2] == of[2:]
+        parts.append((((h[:-2] * m + h[1:-1]) * m + h[2:] + np.uint64(4)) * np.uint64(C.MIX2))[one])
+        texts.append(of[:-2][one])
+        return np.concatenate(texts), (np.concatenate(parts) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def distinct(self, raws: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the text, index) of each feature of a text once, in order; only those that ``keep`` has, where it is given."""
+        of, at = self.occurrences(raws)
+        if keep is not None:
+            some = np.flatnonzero(keep[at])
+            of, at = of[some], at[some]
+        both = np.unique(of << self.bits | at)
+        return both >> self.bits, both & (1 << self.bits) - 1
 
     def __call__(self, raw: bytes) -> np.ndarray:
         """The distinct feature indices of a text, ascending."""
-        return np.unique(self.occurrences(raw))
-
-    def occurrences(self, raw: bytes) -> np.ndarray:
-        """The index of each occurrence of a feature."""
-        ws = raw.translate(LETTERS).split()
-        if not ws:
-            return np.zeros(0, np.int64)
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in ws:
-            if w not in memo:
-                memo[w] = self._word(w)
-        both = np.array([memo[w] for w in ws], np.uint64)
-        h, stem = both[:, 0], both[:, 1]
-        m = np.uint64(C.GOLDEN)
-        parts = [h, stem]
-        for seed, gap in ((1, 1), (2, 2), (3, 3)):  # next words, then skip-grams over one and two words
-            parts.append((h[:-gap] * m + h[gap:] + np.uint64(seed)) * np.uint64(C.MIX1))
-        parts.append(((h[:-2] * m + h[1:-1]) * m + h[2:] + np.uint64(4)) * np.uint64(C.MIX2))
-        return (np.concatenate(parts) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return self.distinct([raw])[1]
 
 
 def packed(at: np.ndarray) -> bytes:
@@ -107,7 +115,7 @@ class Model:
     index: np.ndarray  # ascending feature indices with a weight
     weight: np.ndarray
     bias: float
-    known: bool  # whether any labelled row was seen
+    known: bool  # whether anything was learnt
     bits: int = BITS
 
     def dense(self) -> np.ndarray:
@@ -125,11 +133,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Featurizer(bits)
-        for b in it:
+        for b in (y for x in it for y in C.batches([x], 2 * C.SPAN)):
             at = [packed(f(x)) for x in C.utf8(b.column(3))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(at, pa.binary())], ["k", "t", "y", "at"])
 
-    sample = rows.mapInArrow(features, "k long, t long, y int, at binary").dropDuplicates(["k", "t", "y"])
+    sample = rows.mapInArrow(C.tidied(features), "k long, t long, y int, at binary").dropDuplicates(["k", "t", "y"])
     ready, path = C.stage(sample, "labelled-features", "none")
     got = heapq.nsmallest(max_rows, ((r["k"], r["t"], r["y"], r["at"]) for r in ready.toLocalIterator()))
     C.drop_path(ready.sparkSession, path)
@@ -143,26 +151,29 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             model.learn(at, got[k][2], positive if got[k][2] else 1.0)
     w = model.weights(np.arange((1 << bits) + 1))
     at = np.flatnonzero(w[:-1])
-    return Model(at, w[at], float(w[-1]), True, bits)
+    return Model(at, w[at], float(w[-1]), len(at) > 0 or w[-1] != 0, bits)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with _score (double, 0 to 1) after its own columns."""
     (name,) = C.fresh(docs.columns, "_score")
-    at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         f, w = Featurizer(m.bits), m.dense()
         heavy = w != 0
-        for b in it:
-            found = (f.occurrences(x) for x in C.utf8(b.column(at)))
-            z = np.array([m.bias + w[np.unique(x[heavy[x]])].sum() for x in found])
-            p = 1 / (1 + np.exp(-np.clip(z, -35, 35))) if m.known else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, name])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+        for x in it:
+            out = [np.zeros(0)]
+            for raws in C.chunks(C.utf8(x), 2 * C.SPAN, len):
+                of, at = f.distinct(raws, heavy)
+                z = m.bias + np.bincount(of, w[at], len(raws))
+                out.append(1 / (1 + np.exp(-np.clip(z, -35, 35))) if m.known else np.zeros(len(raws)))
+            yield pa.array(np.concatenate(out))
+        C.tidy()
+
+    return docs.withColumn(name, scored(F.col(f"`{text}`")))
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame) -> Model:

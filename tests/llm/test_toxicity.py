@@ -1,9 +1,9 @@
+import functools
 import math
 import re
 import zlib
 
 import numpy as np
-import xxhash
 from pyspark.sql import functions as F
 
 from duskveil.llm import common as C
@@ -70,11 +70,20 @@ def test_features():
     assert C.utf8 and (f(b"a b c d") != f(b"d c b a")).any()
 
 
+HASHER = C.Words(X.LETTERS)
+
+
+@functools.cache
+def h(x, seed=0):
+    """The hash of one word."""
+    x = np.frombuffer(x, np.uint8)
+    return int(HASHER.hashes(x, np.zeros(1, np.int64), *[np.array([len(x)])] * 2)[seed][0])
+
+
 def plain_features(text, bits):
     """Feature indices, word by word."""
-    h = lambda x, seed=0: xxhash.xxh3_64_intdigest(x, seed=seed)
     ws = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode())]
-    out = [x for w in ws for x in (h(w), h(w.decode("utf-8", "ignore")[:5].encode(), 5))]
+    out = [x for w in ws for x in (h(w), h(w.decode()[:5].encode(), 1))]
     for seed, gap in ((1, 1), (2, 2), (3, 3)):
         out += [(h(a) * C.GOLDEN + h(b) + seed) * C.MIX1 for a, b in zip(ws, ws[gap:])]
     out += [((h(a) * C.GOLDEN + h(b)) * C.GOLDEN + h(c) + 4) * C.MIX2 for a, b, c in zip(ws, ws[1:], ws[2:])]
