@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common as C
 
@@ -158,26 +157,32 @@ def _search(rows: DataFrame, shared) -> DataFrame:
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([[{"a": x, "b": y} for x, y in got[k][0]] for k in some], kind), pa.array([list(got[k][1]) for k in some], pa.list_(pa.string()))], ["rid", "ranges", "items"])
 
-    return rows.mapInArrow(run, f"rid long, ranges {RANGES}, items array<string>")
+    return rows.mapInArrow(C.tidied(run), f"rid long, ranges {RANGES}, items array<string>")
 
 
 def _counted(docs: DataFrame, text: str, names: list[str], shared=None) -> DataFrame:
-    """``docs`` with the counts; without patterns, from the ranges and items in its last two columns, which go."""
-    at, fields = docs.columns.index(text), docs.schema.fields
-    own = fields if shared is not None else fields[:-2]
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            cut = [words(raw) for raw in C.utf8(b.column(at))]
-            if shared is not None:
-                got = [shared.value.hits(ws) for ws in cut]
-            else:
-                got = [(joined([(x["a"], x["b"]) for x in r or ()]), set(i or ())) for r, i in zip(b.column(len(own)).to_pylist(), b.column(len(own) + 1).to_pylist())]
-            new = [pa.array([len(ws) for ws in cut], pa.int64()), pa.array([sum(y - x for x, y in r) for r, _ in got], pa.int64()), pa.array([sorted(i) for _, i in got], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *new], names=[*(f.name for f in own), *names])
-
-    kinds = (T.LongType(), T.LongType(), T.ArrayType(T.StringType()))
-    return docs.mapInArrow(run, T.StructType([*own, *(T.StructField(n, k) for n, k in zip(names, kinds))]))
+    """``docs`` with the counts; without patterns, from the ranges and items in its last two columns, which go. Only texts go to Python
+    and only counts come back."""
+
+    def rows(cut: list[list[bytes]], got: list[tuple]) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array([len(ws) for ws in cut], pa.int64()), pa.array([sum(y - x for x, y in r) for r, _ in got], pa.int64()), pa.array([sorted(i) for _, i in got], pa.list_(pa.string()))], ["a", "b", "c"])
+
+    @F.arrow_udf("struct<a: long, b: long, c: array<string>>")
+    def searched(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in it:
+            cut = [words(raw) for raw in C.utf8(x)]
+            yield rows(cut, [shared.value.hits(ws) for ws in cut])
+        C.tidy()
+
+    @F.arrow_udf("struct<a: long, b: long, c: array<string>>")
+    def counted(it: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, ranges, items in it:
+            yield rows([words(raw) for raw in C.utf8(x)], [(joined([(y["a"], y["b"]) for y in r or ()]), set(i or ())) for r, i in zip(ranges.to_pylist(), items.to_pylist())])
+
+    own = docs.columns if shared is not None else docs.columns[:-2]
+    found = searched(F.col(f"`{text}`")) if shared is not None else counted(F.col(f"`{text}`"), *docs.columns[-2:])
+    (at,) = C.fresh([*docs.columns, *names], "found")
+    return docs.withColumn(at, found).select(*(F.col(f"`{c}`") for c in own), *(F.col(at)[k].alias(n) for k, n in zip("abc", names)))
 
 
 def contaminated(n_words: str = "_n_words", n_hit: str = "_n_hit", share: int = 20):
