@@ -134,7 +134,7 @@ def count_ngrams(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         words, n = held[1]
         return pd.DataFrame({"bucket": [int(key[0])], "words": [pack(words, n)], "n": [int(n.sum())], "v": [len(n)], "segment": [segment(held[1], held[2], bits_for(entries))]})
 
-    return docs.select(text).mapInArrow(count, "kind int, bucket int, packed binary").groupBy("bucket").applyInPandas(add, "bucket int, words binary, n long, v long, segment binary")
+    return docs.select(text).mapInArrow(C.tidied(count), "kind int, bucket int, packed binary").groupBy("bucket").applyInPandas(add, "bucket int, words binary, n long, v long, segment binary")
 
 
 def bits_for(entries: int) -> int:
@@ -324,11 +324,11 @@ def probe(docs: DataFrame, model: Model, counts: DataFrame, mus: np.ndarray) ->
         )
 
     rows = C.placed(docs, "rid").select("rid", "doc_id", "text", "fit")
-    asks = rows.mapInArrow(ask, "chunk long, bucket int, words binary, pairs binary")
+    asks = rows.mapInArrow(C.tidied(ask), "chunk long, bucket int, words binary, pairs binary")
     found = asks.groupBy("bucket").cogroup(counts.select("bucket", "words", "segment").groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, counts binary, words binary, pairs binary")
     answers, path = C.stage(found, "lm-levels")
     C.release_shuffles(spark)  # of the questions, before the chunks are shuffled
-    bodies = rows.mapInArrow(body, f"chunk long, ids array<{kind}>, words binary, rank binary, order binary, fit binary, sizes binary")
+    bodies = rows.mapInArrow(C.tidied(body), f"chunk long, ids array<{kind}>, words binary, rank binary, order binary, fit binary, sizes binary")
     each = bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(gather, f"doc_id {kind}, n_tokens long, n_known long, base double, scores array<double>, codes array<long>, code_n array<long>")
     out, _ = C.stage(each, "lm-scores")
     C.drop_path(spark, path)

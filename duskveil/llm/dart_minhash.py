@@ -193,7 +193,7 @@ def sketches(docs: DataFrame, text: str = "text", by_text: bool = False) -> Data
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(have * BANDS)]), pa.int32()), pa.array(keys[have].reshape(-1)))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(ids, pa.int64()), bands], names=[*others, "cid", "bands"])
 
-    return docs.select(text, *others).mapInArrow(run, kinds + ", cid long, bands array<long>")
+    return docs.select(text, *others).mapInArrow(C.tidied(run), kinds + ", cid long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str, key: str) -> DataFrame:
@@ -211,7 +211,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str, key: str
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([distinct(s.astype("<u4")).tobytes() for s in sets], pa.binary())], ["cid", "sig", "shingles"])
 
     rows = docs.select(F.col(text).alias("text"), F.xxhash64(key).alias("place"))
-    found = rows.mapInArrow(run, "cid long, sig binary, shingles binary").groupBy("cid").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
+    found = rows.mapInArrow(C.tidied(run), "cid long, sig binary, shingles binary").groupBy("cid").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
     return wanted.drop("place").join(found, "cid")
 
 
@@ -231,7 +231,7 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
     one, two = (sets.select(F.col("cid").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(C.tidied(run), "a long, b long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -252,7 +252,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
     one, two = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(C.tidied(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def _rest(members: DataFrame, root: DataFrame, sets: DataFrame) -> DataFrame:
                         found.append((min(cx[k], cy[j]), max(cx[k], cy[j])))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return light.join(every, "key").select("band", "main", "lights", "rows").mapInArrow(meet, "a long, b long").distinct()
+    return light.join(every, "key").select("band", "main", "lights", "rows").mapInArrow(C.tidied(meet), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", by_text: bool = False) -> DataFrame:

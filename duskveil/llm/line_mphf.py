@@ -147,7 +147,7 @@ def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(text).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(C.tidied(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def build_shards(counts: DataFrame, n_keys: int, keys_per_shard: int) -> tuple[DataFrame, int]:
@@ -214,7 +214,7 @@ def _found(rows: DataFrame, shared, shards: int, min_docs: int) -> DataFrame:
             some = [k for k, x in enumerate(out) if len(x)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([out[k].astype(np.int32) for k in some], pa.list_(pa.int32()))], ["rid", "places"])
 
-    return rows.mapInArrow(run, "rid long, places array<int>")
+    return rows.mapInArrow(C.tidied(run), "rid long, places array<int>")
 
 
 def _frequent(texts: list[list[bytes]], held: Shards, min_docs: int) -> list[np.ndarray]:
@@ -247,7 +247,7 @@ def _cut(docs: DataFrame, text: str, names: list[str], shared=None, shards: int
             counts = [pa.array([len(x) for x in texts], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*(f.name for f in own), *names])
 
-    return docs.mapInArrow(run, T.StructType([*own, *(T.StructField(n, T.LongType()) for n in names)]))
+    return docs.mapInArrow(C.tidied(run), T.StructType([*own, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

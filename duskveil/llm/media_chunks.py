@@ -116,7 +116,7 @@ def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raws], pa.int64()), pa.array(sha, pa.binary()), pa.array([b"".join(map(digest, x)) for x in cut], pa.binary())], ["doc_id", "n_bytes", "media", "recipe"])
 
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, recipe binary")
+    return docs.mapInArrow(C.tidied(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, recipe binary")
 
 
 def sharing(table: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def sharing(table: DataFrame) -> DataFrame:
                 part += sorted(own)
             yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), pa.array(part, pa.binary())], ["media", "digest"])
 
-    each = table.select("media", "recipe").dropDuplicates(["media"]).mapInArrow(split, "media binary, digest binary")
+    each = table.select("media", "recipe").dropDuplicates(["media"]).mapInArrow(C.tidied(split), "media binary, digest binary")
     owner = each.groupBy("digest").agg(F.min("media").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "owner")
     missing = each.join(owner, "digest").where("media <> owner").select("media", F.col("digest").alias("missing"), F.lit(None).cast("binary").alias("lent"))
     lent = owner.select(F.col("owner").alias("media"), F.lit(None).cast("binary").alias("missing"), F.col("digest").alias("lent"))
@@ -196,11 +196,11 @@ def write_store(docs: DataFrame, shared: DataFrame, some, to: str, dictionary: b
                     kinds = [pa.binary(), pa.binary(), *[pa.list_(pa.binary())] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["media", "recipe", "held", "blobs", "lent", "missing"])
 
-        return docs.select(text).mapInArrow(run, STORE)
+        return docs.select(text).mapInArrow(C.tidied(run), STORE)
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Without the chunks that another media lends."""
-        for b in it:
+        for b in (y for x in it for y in C.batches([x], 4 << 20)):
             held, blobs = [], []
             missing = [x or [] for x in b.column(4).to_pylist()]
             for names, data, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), missing):
@@ -212,7 +212,7 @@ def write_store(docs: DataFrame, shared: DataFrame, some, to: str, dictionary: b
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, kind) for x in (held, blobs, lent, missing))], ["media", "recipe", "held", "blobs", "lent", "missing"])
 
     once = press(True).groupBy("media").agg(*(F.first(c).alias(c) for c in ("recipe", "held", "blobs")))
-    gathered = once.join(shared, "media", "left").select("media", "recipe", "held", "blobs", "missing", "lent").mapInArrow(keep, STORE)
+    gathered = once.join(shared, "media", "left").select("media", "recipe", "held", "blobs", "missing", "lent").mapInArrow(C.tidied(keep), STORE)
     press(False).unionByName(gathered).write.option("compression", "none").parquet(to)
 
 
@@ -244,7 +244,7 @@ def read_store(spark, at: str, dictionary: bytes) -> DataFrame:
                 wavs.append(wav)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wavs, pa.binary())], ["media", "wav"])
 
-    return whole.mapInArrow(run, "media binary, wav binary").unionByName(filled.select(*(c.split()[0] for c in kind.split(", "))).mapInArrow(run, "media binary, wav binary"))
+    return whole.mapInArrow(C.tidied(run), "media binary, wav binary").unionByName(filled.select(*(c.split()[0] for c in kind.split(", "))).mapInArrow(C.tidied(run), "media binary, wav binary"))
 
 
 def media_features(medias: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def media_features(medias: DataFrame) -> DataFrame:
             size = lambda rows: pa.array([len(x) for x in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size(samples), sha(samples), pa.array([zlib.crc32(x[-16:]) for x in samples], pa.int64()), size(wavs), sha(wavs), pa.array([features(x) for x in samples], pa.string())], ["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return medias.mapInArrow(run, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return medias.mapInArrow(C.tidied(run), "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def store_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str, bytes]:

@@ -40,7 +40,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Segments that a worker remembers, before it starts anew.
-MEMO = 1_500_000
+MEMO = 400_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -307,7 +307,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", doc_id: str =
             import sentencepiece
 
             other = sentencepiece.SentencePieceProcessor(model_file=path)
-        for b in (y for x in it for y in C.batches([x], 4 << 20)):
+        for b in (y for x in it for y in C.batches([x], 1 << 20)):
             raws = C.utf8(b.column(1))
             texts = [x.decode() for x in raws]
             flat, sizes = codec.encode(raws)

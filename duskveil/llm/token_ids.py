@@ -179,7 +179,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
             ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, ends, pa.py_buffer(flat)])
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(C.tidied(run), "doc_id long, ids binary")
 
 
 def write_token_files(docs: DataFrame, path: str, to: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = None, shards: int | None = None) -> None:
@@ -202,7 +202,7 @@ def write_token_files(docs: DataFrame, path: str, to: str, doc_id: str = "doc_id
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["id", "n"])
 
-    counted = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = ids.select("ids").mapInArrow(C.tidied(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counted = counted.sort_values(["n", "id"], ascending=[False, True], ignore_index=True)
     rank = np.zeros(vocab, np.uint32)
     rank[counted["id"].to_numpy()] = np.arange(len(counted), dtype=np.uint32)
@@ -235,7 +235,7 @@ def write_token_files(docs: DataFrame, path: str, to: str, doc_id: str = "doc_id
     shards = shards or max(1, ids.rdd.getNumPartitions())
     # the hash beside doc_id keeps repeated doc_ids from meeting in one range when their texts differ
     placed = ids.withColumn("_tie", F.xxhash64("ids")).repartitionByRange(shards, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "ids")
-    placed.mapInArrow(blocks, "shard int, block int, first long, n long, doc_ids binary, nulls binary, sizes binary, control binary, data binary").write.mode("overwrite").option("compression", "none").parquet(f"{to}/blocks")
+    placed.mapInArrow(C.tidied(blocks), "shard int, block int, first long, n long, doc_ids binary, nulls binary, sizes binary, control binary, data binary").write.mode("overwrite").option("compression", "none").parquet(f"{to}/blocks")
     C.drop_path(spark, staged)
 
 
@@ -253,7 +253,7 @@ def read_token_files(spark, at: str) -> DataFrame:
                 raw = [ids[e - n : e].tobytes() for e, n in zip(ends, sizes)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start), pa.array(raw, pa.binary())], ["doc_id", "start", "ids"])
 
-    return blocks.mapInArrow(run, "doc_id long, start long, ids binary")
+    return blocks.mapInArrow(C.tidied(run), "doc_id long, start long, ids binary")
 
 
 def _ids_by_rank(spark, at: str):
@@ -291,7 +291,7 @@ def token_digests(spark, at: str) -> DataFrame:
                 crc = [zlib.crc32(raw[e - 4 * n : e]) for e, n in zip(ends, sizes.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.mapInArrow(C.tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenizer_path(name: str) -> str:

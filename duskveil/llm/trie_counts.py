@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .sentencepiece_backend import MARK, NORMAL, UNIGRAM, USER_DEFINED, ModelFile, codec_of, model_path
 
-TERMINALS = 1_500_000
+TERMINALS = 400_000
 #: Pre-tokens of more characters take a path of their own, without shared prefixes.
 WIDTH = 40
 ROWS = 10_000  # pre-tokens inserted together
@@ -160,7 +160,7 @@ def piece_scores(docs: DataFrame, path: str, text: str = "text") -> dict[str, fl
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["id", "n"])
 
     n = np.zeros(size, np.int64)
-    for r in docs.select(F.col(text).alias("text")).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # as long as the vocabulary
+    for r in docs.select(F.col(text).alias("text")).mapInArrow(C.tidied(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # as long as the vocabulary
         n[r["id"]] = r["n"]
     own = [k for k, (p, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER_DEFINED) and p]
     return _probabilities([model.pieces[k][0] for k in own], n[own])
@@ -190,7 +190,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
             count, best = trie.measure([t])
             return int(bool(t)), count[0], best[0], int(codec.encode([raw])[1][0])
 
-        for b in (y for x in it for y in C.batches([x], 4 << 20)):
+        for b in (y for x in it for y in C.batches([x], 2 << 20)):
             raws = C.utf8(b.column(1))
             if codec.by_segment:
                 parts = []
@@ -205,7 +205,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.astype(t)) for x, t in zip(out, ("i8", "i8", "f8", "i8")))], ["doc_id", "n_pretokens", "n_tokens", "score", "n_model_tokens"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pretokens long, n_tokens long, score double, n_model_tokens long")
+    return rows.mapInArrow(C.tidied(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pretokens long, n_tokens long, score double, n_model_tokens long")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:

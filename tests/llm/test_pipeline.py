@@ -63,7 +63,7 @@ def test_documents(spark):
 
 
 def test_cases(spark, tmp_path):
-    labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")  # too few to teach anything: all stay
     bench = spark.createDataFrame([(1, "mixed case words 12 34")], "item_id long, text string")
     check(spark, cases.write(spark, tmp_path, cases.rows() + [(200, " . ", "en", "s", 3, 0, ""), (201, "!", "en", "s", 1, 0, ""), (202, "!", "en", "s", 1, 0, "")], labels=labels, benchmark=bench))
     none = cases.write(spark, tmp_path / "none", [], labels=labels.limit(0), benchmark=bench.limit(0))
